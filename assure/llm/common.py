@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,6 +42,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """The whole row in _row, beside the columns needed: names in other columns then clash with nothing."""
+    return docs.select(F.struct(*docs.columns).alias("_row"), *needed)
+
+
 def remove(path: str, spark: SparkSession) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -80,6 +86,22 @@ def arrow_map(df: DataFrame, of_batch: Callable[[pa.RecordBatch], dict], schema:
     return df.mapInArrow(run, schema)
 
 
+def arrow_extend(df: DataFrame, of_batch: Callable[[pa.RecordBatch], list], added: str) -> DataFrame:
+    """df with the columns `added` (a schema string), for which of_batch returns a list of sequences for each batch."""
+    fields = [(n, KINDS[k]) for n, k in (c.split() for c in added.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                new = [pa.array(x, k) for x, (_, k) in zip(of_batch(batch), fields)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *[n for n, _ in fields]])
+
+    schema = T.StructType(list(df.schema.fields))
+    for name, kind in (c.split() for c in added.split(", ")):
+        schema = schema.add(name, kind)
+    return df.mapInArrow(run, schema)
+
+
 KINDS = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(),
     "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64()),
