@@ -86,3 +86,23 @@ def line_dedup(docs: DataFrame, sites: int = SITES) -> DataFrame:
         F.col(REMOVED).cast("long").alias("n_removed"),
         F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"),
     )
+
+
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce('s' || source, '-') AS site, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), x AS (
+  SELECT doc_id, site, unnest(ls) AS raw, generate_subscripts(ls, 1) AS pos FROM d
+), l AS (
+  SELECT *, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line FROM x
+), b AS (
+  SELECT line, min([doc_id, pos]) AS first FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 10
+), k AS (
+  SELECT l.doc_id, l.pos, l.raw, b.line IS NOT NULL AND [l.doc_id, l.pos] <> b.first AS gone FROM l LEFT JOIN b ON l.line = b.line
+), t AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+    coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
+  FROM k GROUP BY doc_id
+)
+SELECT doc_id, n_lines, n_removed, length(text) AS n_chars, sha256(text) AS text_sha256 FROM t
+"""

@@ -4,14 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, quality, simhash, tokens, url_filter
+from . import html_extract, line_dedup, mixing, pii, quality, simhash, tokens, topk, url_filter
 from .common import table
 
 
+def op1_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op2_html_min_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -33,11 +45,18 @@ def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii_bootstrap": op1_pii_bootstrap,
+    "op2_html_min_cut": op2_html_min_cut,
     "op3_url_filters": op3_url_filters,
+    "op4_exact_top_k": op4_exact_top_k,
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing_sources": op9_mixing_sources,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_url_filters": url_filter.sql(),
+    "op4_exact_top_k": topk.SQL,
+    "op8_line_dedup": line_dedup.SQL,
+}

@@ -155,3 +155,32 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, blocked: tuple[str,
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url")
     return arrow_map(rows, of_batch, "page_id long, host string, path string, rule string, verdict string")
+
+
+def sql(rules: tuple[Rule, ...] = RULES, blocked: tuple[str, ...] = BLOCKED_GLOBS) -> str:
+    """judge() over the view pages, for DuckDB."""
+    fits = "\n".join(
+        f"    WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.name}'"
+        for r in sorted(rules, key=lambda r: -len(r.name))
+    )
+    verdicts = "\n".join(f"    WHEN rule = '{r.name}' THEN '{r.verdict}'" for r in rules)
+    parts_of = {"**": ".*", "*": "[^/]*"}
+    globs = "|".join("".join(parts_of.get(x, re.escape(x)) for x in re.findall(r"\*+|[^*]", g)) for g in blocked)
+    letters = "".join(map(chr, range(65, 91)))
+    return f"""
+WITH u AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), s AS (
+  SELECT page_id, translate(regexp_extract(rest, '(?s)^[^/?#]*'), '{letters}', '{letters.lower()}') AS host,
+    regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM u
+), r AS (
+  SELECT *, CASE
+{fits}
+  END AS rule FROM s
+)
+SELECT page_id, host, path, rule, CASE
+{verdicts}
+    WHEN regexp_full_match(host || path, '(?s)(?:{globs})') THEN 'block' ELSE 'allow'
+  END AS verdict
+FROM r
+"""
