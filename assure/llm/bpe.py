@@ -1,34 +1,100 @@
 """Byte-level BPE by higher-order functions: ranked merges fold over the byte arrays of distinct words.
 
-The rank map is a literal: an array of small maps, from a pair of ids to the id of the merged piece, which in
-these vocabularies is also its rank; a pair's bucket is computed, so a lookup scans a handful of entries.
+In these vocabularies a piece's rank is its id, and all ids are below 55,296, so an id is written as the
+character with that code point and a sequence of ids as a string. The rank map is a literal: an array of small
+maps from two neighbouring ids to the id of the merged piece, a pair's bucket being computed from its hash. A
+word starts as the ids of its bytes; each step of the fold merges the leftmost pair of the least rank.
+
+Words of a text are the matches of the pattern. The frequent ones, a bounded table, are encoded once; a text
+takes them from there, and the words that the table lacks are folded where they stand.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
+from collections.abc import Callable, Iterator
 from functools import cache
 
+import numpy as np
 import public_tokenizers
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import stored
 
-PAIR_BUCKETS = 65_521
+PAIR_BUCKETS = 16_381
+#: Words in the table of frequent ones at most; ties at its end are left out together.
+TABLE_WORDS = 1 << 20
+#: Bytes of a word from which its merges are found with a heap: a fold's steps are as many as its bytes.
+LONG = 200
+#: Most ids: code points below the surrogates.
+IDS = 0xD800
+NO_MERGE, EDGE, ZERO = "￿", "￾", "퟿"
 
 
 class Vocabulary:
-    """The pieces of a rank file, by id."""
+    """The pieces of a rank file: ids, the merges of two pieces, and the literals made from them."""
 
     def __init__(self, path: str):
         with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            self.ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        if max(self.ids.values()) >= IDS - 1:
+            raise ValueError(f"{path}: ids must be below {IDS - 1}")
+        self.merges = {}
+        for piece, n in self.ids.items():
+            for k in range(1, len(piece)):
+                a, b = self.ids.get(piece[:k]), self.ids.get(piece[k:])
+                if a is not None and b is not None:
+                    self.merges[chr(a) + chr(b)] = chr(n)
+        self.bytes_ = "".join(chr(self.ids[bytes([b])]) for b in range(256))
+        #: Pieces that their own merges don't lead to; the tokenizer takes a word that is a piece at once.
+        self.whole = {p: chr(n) for p, n in self.ids.items() if self.merge(p) != chr(n)}
+
+    def merge(self, word: bytes) -> str:
+        """The ids of a word of any length, by a heap of its neighbouring pairs."""
+        ids = [self.bytes_[b] for b in word]
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        merges = self.merges
+        heap = [(m, i, i + 1) for i in range(len(ids) - 1) if (m := merges.get(ids[i] + ids[i + 1]))]
+        heapq.heapify(heap)
+        while heap:
+            m, i, j = heapq.heappop(heap)
+            if ids[i] is None or after[i] != j or merges.get(ids[i] + ids[j]) != m:
+                continue  # one of the two has been merged since
+            ids[i], ids[j] = m, None
+            after[i] = k = after[j]
+            if k < len(ids):
+                before[k] = i
+                if new := merges.get(m + ids[k]):
+                    heapq.heappush(heap, (new, i, k))
+            h = before[i]
+            if h >= 0 and (new := merges.get(ids[h] + m)):
+                heapq.heappush(heap, (new, h, i))
+        return "".join(x for x in ids if x is not None)
+
+    def encode(self, word: str) -> str:
+        raw = word.encode("utf-8", "replace")
+        return chr(self.ids[raw]) if raw in self.ids else self.merge(raw)
+
+    def rank_map(self) -> Column:
+        buckets: list[dict[str, str]] = [{} for _ in range(PAIR_BUCKETS)]
+        for pair, merged in self.merges.items():
+            h = xxhash.xxh64_intdigest(pair.encode("utf-8"), 42)
+            buckets[(h - (h >> 63 << 64)) % PAIR_BUCKETS][pair] = merged
+        return _literal(buckets, "array<map<string,string>>")
 
-    def pairs(self) -> list[tuple[int, int, int]]:
-        """left, right and merged id of each two pieces that together are a piece."""
-        r = self.ranks
-        cut = ((r.get(p[:k]), r.get(p[k:]), n) for p, n in r.items() for k in range(1, len(p)))
-        return [(a, b, n) for a, b, n in cut if a is not None and b is not None]
+    def pieces(self) -> Column:
+        """The hex of each piece, by id."""
+        table = [""] * (max(self.ids.values()) + 1)
+        for piece, n in self.ids.items():
+            table[n] = piece.hex()
+        return _literal(table, "array<string>")
 
 
 @cache
@@ -37,5 +103,162 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def _literal(value, kind: str) -> Column:
-    """A constant of any type: Spark folds the parsing away."""
+    """A constant of any type: parsing a constant is folded when the plan is made."""
     return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def encoder(vocab: Vocabulary) -> Callable[[Column], Column]:
+    """word -> its ids, as an expression: the fold of ranked merges over the word's bytes."""
+    ranks = vocab.rank_map()
+    latin = "".join(map(chr, range(256)))
+    # translate() would drop a character that goes to U+0000
+    start = vocab.bytes_.replace("\0", ZERO)
+
+    def rank(pair: Column) -> Column:
+        bucket = F.get(ranks, F.pmod(F.xxhash64(pair), F.lit(PAIR_BUCKETS)).cast("int"))
+        return F.coalesce(bucket[pair], F.lit(NO_MERGE))
+
+    def step(state: Column) -> Column:
+        s, r = state["s"], state["r"]
+
+        def merged(p: Column) -> Column:
+            m = F.get(r, p - 1)
+            around = F.array(F.concat(F.substr(s, p - 1, F.lit(1)), m), F.concat(m, F.substr(s, p + 2, F.lit(1))))
+            return F.struct(
+                F.concat(F.substr(s, F.lit(1), p - 1), m, F.substr(s, p + 2)).alias("s"),
+                F.concat(F.slice(r, F.lit(1), p - 2), F.transform(around, rank), F.slice(r, p + 2, F.size(r))).alias("r"),
+            )
+
+        least = F.array_min(r)
+        return F.when(least == NO_MERGE, state).otherwise(_let(F.array_position(r, least).cast("int"), merged))
+
+    def fold(s: Column) -> Column:
+        # an edge at both ends merges with nothing, so that every merge has a neighbour on both sides
+        first = F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: rank(F.substr(s, i, F.lit(2))))
+        steps = F.sequence(F.lit(1), F.greatest(F.length(s) - 2, F.lit(1)))
+        done = F.aggregate(steps, F.struct(s.alias("s"), first.alias("r")), lambda state, _: step(state))
+        return F.translate(done["s"], EDGE, "")
+
+    def encode(word: Column) -> Column:
+        raw = F.replace(F.translate(F.decode(word.cast("binary"), "ISO-8859-1"), latin, start), F.lit(ZERO), F.lit("\0"))
+        ids = _let(F.concat(F.lit(EDGE), raw, F.lit(EDGE)), fold)
+        for piece, n in vocab.whole.items():
+            ids = F.when(word.cast("binary") == F.lit(piece), F.lit(n)).otherwise(ids)
+        return F.when(F.length(word) == 0, F.lit("")).otherwise(ids)
+
+    return encode
+
+
+def decoder(vocab: Vocabulary) -> Callable[[Column], Column]:
+    """ids -> the bytes of their pieces one after the other, as an expression."""
+    pieces = vocab.pieces()
+
+    def decode(ids: Column) -> Column:
+        places = F.when(F.length(ids) > 0, F.sequence(F.lit(1), F.length(ids))).otherwise(F.array().cast("array<int>"))
+        return F.unhex(F.array_join(F.transform(places, lambda i: F.get(pieces, F.ascii(F.substr(ids, i, F.lit(1))))), ""))
+
+    return decode
+
+
+def words(text: Column, pattern: str = public_tokenizers.PATTERN) -> Column:
+    """The matches of the tokenizer's pattern; \\s is Unicode white space there."""
+    pattern = pattern.replace(r"\s", r"\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}")
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
+
+
+def frequent(docs: DataFrame, encode: Callable, decode: Callable, most: int = TABLE_WORDS) -> DataFrame:
+    """word, ids, other (the decoded bytes where they aren't the word's): the words that occur most, twice at least."""
+    counts = stored(docs.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    counts = counts.where(F.col("n") > 1).where(F.octet_length("word") <= LONG)
+    by_count = counts.groupBy("n").agg(F.count("*").alias("m")).orderBy(F.desc("n")).toLocalIterator()
+    least, room = None, most
+    for row in by_count:
+        if row["m"] > room:
+            break
+        least, room = row["n"], room - row["m"]
+    kept = counts.where(F.col("n") >= least) if least else counts.limit(0)
+    known = kept.select("word", encode(F.col("word")).alias("ids"))
+    back = decode(F.col("ids"))
+    return known.select("word", "ids", F.when(back != F.col("word").cast("binary"), back.cast("string")).alias("other"))
+
+
+def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """docs' columns with _ids (a string of id characters) and _decoded (their bytes) of each text.
+
+    docs: text and any other columns; a null text counts as empty.
+    """
+    path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    vocab = vocabulary(path)
+    encode, decode = encoder(vocab), decoder(vocab)
+    table = stored(frequent(docs, encode, decode)).toArrow()
+    table = docs.sparkSession.sparkContext.broadcast({c: table[c].combine_chunks() for c in table.column_names})
+    own = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_words")
+            flat = lists.flatten()
+            at = pc.index_in(flat, value_set=table.value["word"])
+            ids, other = table.value["ids"].take(at), table.value["other"].take(at)
+            gone = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+            bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            # runs of known words, each up to a word that the table lacks or to its text's end
+            cuts = pa.array(np.sort(np.concatenate([bounds, gone + 1])), pa.int32())
+            known = pc.is_valid(at)
+            parts = [
+                pc.binary_join(pa.ListArray.from_arrays(cuts, x), "")
+                for x in (pc.fill_null(ids, ""), pc.if_else(known, pc.coalesce(other, flat), ""))
+            ]
+            per_text = np.searchsorted(gone, bounds)
+            segments = pa.array(per_text + np.arange(len(bounds)), pa.int32())
+            lacking = flat.take(pa.array(gone))
+            long = pc.greater(pc.binary_length(lacking), LONG)
+            by_heap = pa.array([vocabulary(path).encode(w.as_py()) if x.as_py() else None for w, x in zip(lacking, long)], pa.string()) if pc.any(long).as_py() else pa.nulls(len(lacking), pa.string())
+            new = [
+                pa.ListArray.from_arrays(segments, parts[0]), pa.ListArray.from_arrays(segments, parts[1]),
+                pa.ListArray.from_arrays(pa.array(per_text, pa.int32()), lacking), pa.ListArray.from_arrays(pa.array(per_text, pa.int32()), by_heap),
+            ]
+            rest = [batch.column(c) for c in own]
+            yield pa.RecordBatch.from_arrays([*rest, *new], [*own, "_parts", "_bytes", "_lacking", "_long"])
+
+    cut = docs.withColumn("_words", words(F.col("text")))
+    schema = T.StructType(list(docs.schema.fields))
+    for name in ("_parts", "_bytes", "_lacking", "_long"):
+        schema = schema.add(name, T.ArrayType(T.StringType()))
+    rows = cut.mapInArrow(run, schema)
+    folded = F.zip_with("_lacking", "_long", lambda w, by_heap: F.coalesce(by_heap, encode(w)))
+    rows = rows.withColumn("_new", F.when(F.size("_lacking") > 0, folded).otherwise(F.array().cast("array<string>")))
+    back = F.transform("_new", lambda ids: decode(ids).cast("string"))
+
+    def joined(parts: Column, between: Column) -> Column:
+        return F.array_join(F.zip_with(parts, between, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    ids, text = joined(F.col("_parts"), F.col("_new")), joined(F.col("_bytes"), back)
+    return rows.select(*own, ids.alias("_ids"), text.cast("binary").alias("_decoded"))
+
+
+def id_bytes(ids: Column) -> Column:
+    """ids as little-endian unsigned 32-bit integers."""
+    return F.encode(F.regexp_replace(ids, "(?s)(.)", "$1\0"), "UTF-16LE")
+
+
+def id_array(ids: Column) -> Column:
+    """ids as an array of whole numbers."""
+    return F.when(F.length(ids) > 0, F.transform(F.sequence(F.lit(1), F.length(ids)), lambda i: F.ascii(F.substr(ids, i, F.lit(1))))).otherwise(F.array().cast("array<int>"))
+
+
+def byte_bpe(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of docs (doc_id, text).
+
+    A null text counts as empty: no tokens, hashes of no bytes. Whole texts and words of any length are
+    encoded; repeated rows give repeated results, an empty table an empty one; other columns are ignored.
+    """
+    rows = encoded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path)
+    return rows.select(
+        "doc_id", F.length("_ids").cast("long").alias("n_tokens"), F.sha2(id_bytes(F.col("_ids")), 256).alias("ids_sha256"),
+        F.sha2("_decoded", 256).alias("decoded_sha256"),
+    )

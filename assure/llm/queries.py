@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, line_dedup, mixing, pii, quality, simhash, tokens, topk, url_filter
+from . import bpe, html_extract, line_dedup, mixing, pii, quality, simhash, tokens, topk, url_filter
 from .common import table
 
 
@@ -44,6 +44,10 @@ def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.byte_bpe(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii_bootstrap": op1_pii_bootstrap,
     "op2_html_min_cut": op2_html_min_cut,
@@ -54,6 +58,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing_sources": op9_mixing_sources,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 SQL: dict[str, str] = {
     "op3_url_filters": url_filter.sql(),
