@@ -33,6 +33,8 @@ PAIR_BUCKETS = 16_381
 TABLE_WORDS = 1 << 20
 #: Bytes of a word from which its merges are found with a heap: a fold's steps are as many as its bytes.
 LONG = 200
+#: Bytes of words that a Python worker gets at once.
+BATCH_BYTES = 8 << 20
 #: Most ids: code points below the surrogates.
 IDS = 0xD800
 NO_MERGE, EDGE, ZERO = "￿", "￾", "퟿"
@@ -82,19 +84,19 @@ class Vocabulary:
         raw = word.encode("utf-8", "replace")
         return chr(self.ids[raw]) if raw in self.ids else self.merge(raw)
 
-    def rank_map(self) -> Column:
+    def rank_map(self) -> list[dict[str, str]]:
         buckets: list[dict[str, str]] = [{} for _ in range(PAIR_BUCKETS)]
         for pair, merged in self.merges.items():
             h = xxhash.xxh64_intdigest(pair.encode("utf-8"), 42)
             buckets[(h - (h >> 63 << 64)) % PAIR_BUCKETS][pair] = merged
-        return _literal(buckets, "array<map<string,string>>")
+        return buckets
 
-    def pieces(self) -> Column:
+    def pieces(self) -> list[str]:
         """The hex of each piece, by id."""
         table = [""] * (max(self.ids.values()) + 1)
         for piece, n in self.ids.items():
             table[n] = piece.hex()
-        return _literal(table, "array<string>")
+        return table
 
 
 @cache
@@ -102,18 +104,24 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _literal(value, kind: str) -> Column:
-    """A constant of any type: parsing a constant is folded when the plan is made."""
-    return F.from_json(F.lit(json.dumps(value)), kind)
+def with_literals(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """rows with _ranks and _pieces: the rank map and the pieces as constants of the plan.
+
+    They are scalar subqueries over a stored row: literals once the plan runs, in Spark's compact form, and not
+    printed with the plan. An expression is to use each column once; Spark then puts the constant into it.
+    """
+    text = [(json.dumps(vocab.rank_map()), json.dumps(vocab.pieces()))]
+    made = rows.sparkSession.createDataFrame(text, "ranks string, pieces string")
+    row = stored(made.select(F.from_json("ranks", "array<map<string,string>>").alias("ranks"), F.from_json("pieces", "array<string>").alias("pieces")))
+    return rows.withColumns({"_ranks": row.select("ranks").scalar(), "_pieces": row.select("pieces").scalar()})
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def encoder(vocab: Vocabulary) -> Callable[[Column], Column]:
+def encoder(vocab: Vocabulary, ranks: Column) -> Callable[[Column], Column]:
     """word -> its ids, as an expression: the fold of ranked merges over the word's bytes."""
-    ranks = vocab.rank_map()
     latin = "".join(map(chr, range(256)))
     # translate() would drop a character that goes to U+0000
     start = vocab.bytes_.replace("\0", ZERO)
@@ -153,9 +161,8 @@ def encoder(vocab: Vocabulary) -> Callable[[Column], Column]:
     return encode
 
 
-def decoder(vocab: Vocabulary) -> Callable[[Column], Column]:
+def decoder(pieces: Column) -> Callable[[Column], Column]:
     """ids -> the bytes of their pieces one after the other, as an expression."""
-    pieces = vocab.pieces()
 
     def decode(ids: Column) -> Column:
         places = F.when(F.length(ids) > 0, F.sequence(F.lit(1), F.length(ids))).otherwise(F.array().cast("array<int>"))
@@ -170,7 +177,7 @@ def words(text: Column, pattern: str = public_tokenizers.PATTERN) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
 
 
-def frequent(docs: DataFrame, encode: Callable, decode: Callable, most: int = TABLE_WORDS) -> DataFrame:
+def frequent(docs: DataFrame, vocab: Vocabulary, most: int = TABLE_WORDS) -> DataFrame:
     """word, ids, other (the decoded bytes where they aren't the word's): the words that occur most, twice at least."""
     counts = stored(docs.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
     counts = counts.where(F.col("n") > 1).where(F.octet_length("word") <= LONG)
@@ -181,9 +188,15 @@ def frequent(docs: DataFrame, encode: Callable, decode: Callable, most: int = TA
             break
         least, room = row["n"], room - row["m"]
     kept = counts.where(F.col("n") >= least) if least else counts.limit(0)
-    known = kept.select("word", encode(F.col("word")).alias("ids"))
-    back = decode(F.col("ids"))
-    return known.select("word", "ids", F.when(back != F.col("word").cast("binary"), back.cast("string")).alias("other"))
+    both = _let(
+        F.col("_ranks"),
+        lambda ranks: _let(
+            F.col("_pieces"),
+            lambda pieces: _let(encoder(vocab, ranks)(F.col("word")), lambda ids: F.struct(ids.alias("ids"), decoder(pieces)(ids).alias("back"))),
+        ),
+    )
+    known = with_literals(kept, vocab).select("word", both.alias("e")).select("word", "e.ids", "e.back")
+    return known.select("word", "ids", F.when(F.col("back") != F.col("word").cast("binary"), F.col("back").cast("string")).alias("other"))
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -193,9 +206,11 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     vocab = vocabulary(path)
-    encode, decode = encoder(vocab), decoder(vocab)
-    table = stored(frequent(docs, encode, decode)).toArrow()
-    table = docs.sparkSession.sparkContext.broadcast({c: table[c].combine_chunks() for c in table.column_names})
+    spark = docs.sparkSession
+    table = stored(frequent(docs, vocab)).toArrow()
+    table = spark.sparkContext.broadcast({c: table[c].combine_chunks() for c in table.column_names})
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"  # of what a worker holds of the words at once
+    spark.conf.set(bound, BATCH_BYTES)
     own = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,14 +245,22 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     for name in ("_parts", "_bytes", "_lacking", "_long"):
         schema = schema.add(name, T.ArrayType(T.StringType()))
     rows = cut.mapInArrow(run, schema)
-    folded = F.zip_with("_lacking", "_long", lambda w, by_heap: F.coalesce(by_heap, encode(w)))
-    rows = rows.withColumn("_new", F.when(F.size("_lacking") > 0, folded).otherwise(F.array().cast("array<string>")))
-    back = F.transform("_new", lambda ids: decode(ids).cast("string"))
+    folded = _let(
+        F.col("_ranks"),
+        lambda ranks: _let(
+            F.col("_pieces"),
+            lambda pieces: _let(
+                F.zip_with("_lacking", "_long", lambda w, by_heap: F.coalesce(by_heap, encoder(vocab, ranks)(w))),
+                lambda new: F.struct(new.alias("ids"), F.transform(new, lambda ids: decoder(pieces)(ids).cast("string")).alias("back")),
+            ),
+        ),
+    )
+    rows = with_literals(rows, vocab).select(*own, "_parts", "_bytes", folded.alias("_new"))
 
     def joined(parts: Column, between: Column) -> Column:
         return F.array_join(F.zip_with(parts, between, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
-    ids, text = joined(F.col("_parts"), F.col("_new")), joined(F.col("_bytes"), back)
+    ids, text = joined(F.col("_parts"), F.col("_new")["ids"]), joined(F.col("_bytes"), F.col("_new")["back"])
     return rows.select(*own, ids.alias("_ids"), text.cast("binary").alias("_decoded"))
 
 
