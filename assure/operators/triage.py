@@ -70,7 +70,7 @@ def within_budget(spent: DataFrame, budget: int = BATCH_BUDGET) -> DataFrame:
 
 def terminal_states(records: DataFrame, outcomes: DataFrame) -> DataFrame:
     """key, state: the worst outcome of each record, clean without one. outcomes: key, outcome."""
-    rank = F.array_position(F.array(*[F.lit(o) for o in OUTCOMES]), "outcome")
+    rank = F.array_position(F.array(*[F.lit(o) for o in OUTCOMES]), F.col("outcome"))
     worst = outcomes.groupBy("key").agg(F.max(rank).alias("w"))
     state = F.element_at(F.array(*[F.lit(o) for o in OUTCOMES]), F.coalesce("w", F.lit(1)).cast("int"))
     return records.join(worst, "key", "left").select("key", state.alias("state"))
