@@ -154,7 +154,7 @@ def bootstrap(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         scores = pairs.where("not seed").join(confident, ["pattern", "kind"]).groupBy("instance", "kind").agg(doubt.alias("weight"))
         accepted = stored(scores.where(1 - F.exp(-F.col("weight") / 1e6) >= SCORE))
         known = stored(known.union(accepted.select("instance", "kind")).distinct())
-    order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), "kind")
+    order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     return accepted.groupBy("instance").agg(F.max_by("kind", F.struct("weight", -order)).alias("kind"))
 
 

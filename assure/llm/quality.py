@@ -144,9 +144,9 @@ class Model:
 
     def __init__(self, rows: pa.Table):
         self.arrays: dict[tuple[str | None, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        langs = rows["lang"].to_pylist()
-        codes = {x: k for k, x in enumerate(dict.fromkeys(langs))}
-        own = np.fromiter((codes[x] for x in langs), np.int32, len(langs))
+        langs = rows["lang"].combine_chunks().dictionary_encode(null_encoding="encode")
+        codes = {x: k for k, x in enumerate(langs.dictionary.to_pylist())}
+        own = langs.indices.to_numpy()
         n, g = rows["n"].to_numpy(), rows["g"].to_numpy()
         logp, gamma = rows["logp"].to_numpy(), np.nan_to_num(rows["loggamma"].to_numpy(zero_copy_only=False))
         order = np.lexsort((g, n, own))
