@@ -328,29 +328,33 @@ def _joined_scores(docs: DataFrame, grams: DataFrame) -> DataFrame:
     return base.join(sums, base["_own"] == sums["_key"], "left").drop("_own", "_key").withColumnRenamed("_ppl", "logppl")
 
 
-def judged(docs: DataFrame) -> DataFrame:
+def judged(docs: DataFrame, carry: tuple[str, ...] | None = None) -> DataFrame:
     """docs (doc_id, text, lang and others) with the columns of BASE, logppl, low, high and kept.
 
-    A null text counts as empty and fails the base rules; a null language is a language of its own. Repeated
-    rows are judged alike; an empty table gives an empty one. Texts within the fences of their language, or
-    of a language in which no text passes the base rules, are kept if they pass the base rules.
+    carry: the columns of docs to return, all by default; scores are stored with these alone. A null text counts
+    as empty and fails the base rules; a null language is a language of its own. Repeated rows are judged alike;
+    an empty table gives an empty one. Texts within the fences of their language, or of a language in which no
+    text passes the base rules, are kept if they pass the base rules.
     """
     model = trained(docs)
     by_join = isinstance(model, DataFrame)
-    rows = stored(_joined_scores(docs, model) if by_join else scored(docs, model))
-    fence = small(stored(bands(rows.withColumn("_text", F.xxhash64("text")))).withColumnRenamed("lang", "_l"))
-    rows = rows.join(fence, rows["lang"].eqNullSafe(fence["_l"]), "left").drop("_l")
+    rows = _joined_scores(docs, model) if by_join else scored(docs, model)
+    own = docs.columns if carry is None else list(carry)
+    made = [c.split()[0] for c in BASE.split(", ")] + ["logppl"]
+    rows = stored(rows.select(*own, F.col("lang").alias("_lang"), F.xxhash64("text").alias("_text"), *made))
+    fence = small(stored(bands(rows.withColumnRenamed("_lang", "lang") if "lang" not in own else rows)).withColumnRenamed("lang", "_l"))
+    rows = rows.join(fence, rows["_lang"].eqNullSafe(fence["_l"]), "left").drop("_l", "_lang", "_text")
     inside = F.coalesce((F.col("logppl") >= F.col("low")) & (F.col("logppl") <= F.col("high")), F.lit(True))
     return rows.withColumn("kept", ~F.col("base_failed") & inside)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, the columns of BASE, kept, logppl, low and high of each row of docs (doc_id, text, lang)."""
-    rows = judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"))
-    return rows.drop("lang", "text").select("doc_id", *[c.split()[0] for c in BASE.split(", ")], "kept", "logppl", "low", "high")
+    rows = judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"), carry=("doc_id",))
+    return rows.select("doc_id", *[c.split()[0] for c in BASE.split(", ")], "kept", "logppl", "low", "high")
 
 
 def passing(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with their own columns."""
     row = F.struct(*docs.columns).alias("_row")
-    return judged(docs.select(row, "doc_id", "lang", "text")).where("kept").select("_row.*")
+    return judged(docs.select(row, "lang", "text"), carry=("_row",)).where("kept").select("_row.*")

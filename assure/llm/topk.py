@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small, stored
 
 
 @dataclass(frozen=True)
 class Index:
     scale: int = 256
-    pivots: int = 16  # sampled vectors, those with the smallest hashes; and the zero vector for each length
+    pivots: int = 16  # sampled vectors, those with the smallest hashes; the zero vector for a length that has none
     annuli: int = 8  # of each pivot, of equal width
     block_rows: int = 512  # vectors in a block, on average
     query_rows: int = 4096  # queries that meet a block at once, on average
@@ -103,14 +103,14 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, index: Index = Index(
     rows = stored(whole(vectors, index.scale))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(index.pivots).collect()
     pivots = {
-        dim: np.array([*[r["v"] for r in sample if r["dim"] == dim], [0] * dim], np.float64) for dim in {r["dim"] for r in sample}
+        dim: np.array([r["v"] for r in sample if r["dim"] == dim], np.float64) for dim in {r["dim"] for r in sample}
     }
     keyed = stored(_keyed(rows, pivots))
     cell = ["dim", "pivot"]
     spans = keyed.groupBy(cell).agg(F.min("dist").alias("low"), F.max("dist").alias("high"))
     width = (F.col("high") - F.col("low")) / index.annuli
     annulus = F.when(width > 0, F.least(F.floor((F.col("dist") - F.col("low")) / width), F.lit(index.annuli - 1))).otherwise(0).cast("int")
-    placed = keyed.join(spans, cell).withColumn("annulus", annulus).drop("low", "high")
+    placed = keyed.join(small(stored(spans)), cell).withColumn("annulus", annulus).drop("low", "high")
     block = [*cell, "annulus"]
     sizes = stored(
         placed.groupBy(block).agg(
@@ -119,7 +119,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, index: Index = Index(
     )
     subs = F.ceil(F.col("n") / index.block_rows).cast("int")
     stored_blocks = stored(
-        placed.join(sizes.select(*block, subs.alias("subs")), block).withColumn(
+        placed.join(small(sizes.select(*block, subs.alias("subs"))), block).withColumn(
             "sub", F.pmod(F.xxhash64("vec_id"), F.col("subs")).cast("int")
         )
     )
@@ -146,7 +146,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, index: Index = Index(
     first = stored(own.withColumn("place", ranked).where(F.col("place") == k).select("query_id", F.col("score").cast("double").alias("beat")))
     known = stored(asked.join(first, "query_id", "left").withColumn("beat", F.coalesce("beat", F.lit(float("-inf")))))
 
-    # all annuli: a bounded table, (pivots + 1) * annuli rows for each vector length
+    # all annuli: a bounded table, pivots * annuli rows for each vector length
     limits: dict[int, dict[str, np.ndarray]] = {}
     for r in sizes.withColumn("subs", subs).collect():
         limits.setdefault(r["dim"], []).append(r)
