@@ -95,6 +95,7 @@ def _discounts(level: DataFrame) -> DataFrame:
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
     """lang, n, g, logp, loggamma of each n-gram of each order 1 to ORDER; loggamma is its weight as a context.
+    logp is null where an n-gram is a context only.
 
     counts: lang, g, c of the highest order. Lower orders have continuation counts: of distinct one character
     longer n-grams that end so.
@@ -131,8 +132,11 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     for n, (level, _) in enumerate(made, 1):
         rows = level.select("lang", F.lit(n).alias("n"), "g", F.log("p").alias("logp"))
         if n < ORDER:
-            context = made[n][1].select(F.col("_l"), F.col("_x"), F.log("gamma").alias("loggamma"))
-            rows = rows.join(context, rows["lang"].eqNullSafe(F.col("_l")) & (F.col("g") == F.col("_x")), "left").drop("_l", "_x")
+            # contexts that end in START are n-grams of no count: they get a row for their weight alone
+            context = made[n][1].select("_l", F.lit(n).alias("_n"), "_x", F.log("gamma").alias("loggamma"))
+            rows = rows.join(context, rows["lang"].eqNullSafe(F.col("_l")) & (F.col("g") == F.col("_x")), "full")
+            lang = F.when(F.col("g").isNull(), F.col("_l")).otherwise(F.col("lang"))
+            rows = rows.select(lang.alias("lang"), F.coalesce("n", "_n").alias("n"), F.coalesce("g", "_x").alias("g"), "logp", "loggamma")
         else:
             rows = rows.withColumn("loggamma", F.lit(None).cast("double"))
         out = rows if out is None else out.unionByName(rows)
@@ -148,7 +152,7 @@ class Model:
         codes = {x: k for k, x in enumerate(langs.dictionary.to_pylist())}
         own = langs.indices.to_numpy()
         n, g = rows["n"].to_numpy(), rows["g"].to_numpy()
-        logp, gamma = rows["logp"].to_numpy(), np.nan_to_num(rows["loggamma"].to_numpy(zero_copy_only=False))
+        logp, gamma = (np.nan_to_num(rows[c].to_numpy(zero_copy_only=False)) for c in ("logp", "loggamma"))
         order = np.lexsort((g, n, own))
         own, n, g, logp, gamma = own[order], n[order], g[order], logp[order].astype(np.float32), gamma[order].astype(np.float32)
         for lang, k in codes.items():
