@@ -111,10 +111,10 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         rows = level.join(cut, level["lang"].eqNullSafe(cut["_l"])).drop("_l")
         rows = rows.withColumn("ctx", F.shiftrightunsigned("g", 16))
         taken = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        context = rows.groupBy("lang", "ctx").agg(
+        context = stored(rows.groupBy("lang", "ctx").agg(
             F.sum("c").alias("total"),
             ((F.first("d1") * F.count_if(F.col("c") == 1) + F.first("d2") * F.count_if(F.col("c") == 2) + F.first("d3") * F.count_if(F.col("c") > 2)) / F.sum("c")).alias("gamma"),
-        ).withColumnsRenamed({"lang": "_l", "ctx": "_x"})
+        ).withColumnsRenamed({"lang": "_l", "ctx": "_x"}))
         rows = rows.join(context, rows["lang"].eqNullSafe(context["_l"]) & (rows["ctx"] == context["_x"]))
         own = (F.col("c") - taken) / F.col("total")
         if known is None:
@@ -294,9 +294,13 @@ def bands(rows: DataFrame) -> DataFrame:
 def model_rows(docs: DataFrame) -> DataFrame:
     """kneser_ney() of each language of docs, its top order mixed with that of all languages together."""
     own = stored(gram_counts(docs))
-    rows = kneser_ney(own)
-    pooled = kneser_ney(own.groupBy(F.lit("").alias("lang"), "g").agg(F.sum("c").alias("c")))
-    pooled = pooled.where(F.col("n") == ORDER).select(F.col("g").alias("_g"), F.col("logp").alias("_all"))
+    # all languages together are one language more; a letter before each keeps its name apart
+    named = own.withColumn("lang", F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("-")))
+    together = own.groupBy(F.lit("*").alias("lang"), "g").agg(F.sum("c").alias("c"))
+    both = stored(kneser_ney(stored(named.select("lang", "g", "c").unionByName(together))))
+    pooled = both.where((F.col("lang") == "*") & (F.col("n") == ORDER)).select(F.col("g").alias("_g"), F.col("logp").alias("_all"))
+    lang = F.when(F.col("lang") != "-", F.substr("lang", F.lit(2)))
+    rows = both.where(F.col("lang") != "*").withColumn("lang", lang)
     top = rows.where(F.col("n") == ORDER).join(pooled, F.col("g") == F.col("_g"))
     mix = F.log((1 - POOLED) * F.exp("logp") + POOLED * F.exp("_all"))
     return rows.where(F.col("n") < ORDER).unionByName(top.select("lang", "n", "g", mix.alias("logp"), "loggamma"))
