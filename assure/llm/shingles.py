@@ -1,0 +1,170 @@
+"""Near copies by true similarity: all pairs of texts whose sets of word shingles have a Jaccard of 4/5 or more.
+
+The join is exact. In any one order of all shingles, two sets that similar share one among the first
+n - ceil(4n/5) + 1 of each (prefix filter), and their first common place bounds what they can share. The order
+puts shingles that are common in a sample last: it decides how many candidates there are, never the result.
+Candidates are compared on their whole sets. Each bucket of the prefix join is first compared with its least
+member only; all pairs are then made only in buckets that still hold several components.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import arrow_map, small, stored, texts_of
+from .components import components
+
+#: Words of a shingle; the least similarity as a fraction.
+WORDS, NUM, DEN = 5, 4, 5
+#: One text in so many is in the sample that orders shingles; its count from which one is common; common ones that are listed.
+SAMPLE, COMMON, LISTED = 16, 3, 200_000
+
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of lower-cased (A-Z) words; fewer words: one of them all; none: empty."""
+    found = text.encode("utf-8", "replace").lower().split()
+    if not found:
+        return np.empty(0, np.int64)
+    one = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+    width = min(words, len(found))
+    h = np.full(len(one) - width + 1, width, np.uint64)
+    for k in range(width):
+        h = h * _STEP + one[k : len(one) - width + 1 + k]
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    return np.unique((h ^ (h >> np.uint64(29))).view(np.int64))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sets is NUM / DEN at least; two empty sets are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return DEN * both >= NUM * (len(a) + len(b) - both)
+
+
+def _name(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63)
+
+
+def _text_key() -> Column:
+    return F.xxhash64("text")
+
+
+def _common(docs: DataFrame) -> np.ndarray:
+    """Common shingles of the sample, the most common last."""
+
+    def of_batch(batch: pa.RecordBatch) -> dict:
+        return {"h": np.concatenate([shingle_set(t) for t in texts_of(batch)])}
+
+    picked = docs.where(F.pmod(_text_key(), F.lit(SAMPLE)) == 0).select("text").distinct()
+    counts = stored(arrow_map(picked, of_batch, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON))
+    least, listed = None, 0
+    for n, shingles in sorted(map(tuple, counts.groupBy("n").count().collect()), reverse=True):
+        if listed + shingles > LISTED:
+            break
+        least, listed = n, listed + shingles
+    if least is None:
+        return np.empty(0, np.int64)
+    rows = counts.where(F.col("n") >= least).toArrow()
+    n, h = rows.column("n").to_numpy(), rows.column("h").to_numpy()
+    return h[np.lexsort((h, n))]
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """name, first (the least doc_id, nulls last, with its text's hash), n and prefix of each distinct set."""
+    common = _common(docs)
+    by_hash = np.argsort(common)
+    keys = common[by_hash]
+
+    def prefix(s: np.ndarray) -> np.ndarray:
+        rank = np.zeros(len(s), np.int64)
+        if len(keys) and len(s):
+            at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+            rank = np.where(keys[at] == s, by_hash[at] + 1, 0)
+        return s[np.lexsort((s, rank))[: len(s) - -(-NUM * len(s) // DEN) + 1]]
+
+    def of_batch(batch: pa.RecordBatch) -> dict:
+        sets = [shingle_set(t) for t in texts_of(batch)]
+        return {
+            "doc_id": batch.column("doc_id"), "t": batch.column("t"), "name": [_name(s) for s in sets], "n": [len(s) for s in sets], "prefix": [prefix(s) for s in sets],
+        }
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("t"), "text")
+    own = arrow_map(rows, of_batch, "doc_id long, t long, name long, n long, prefix array<long>")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("first")
+    return own.groupBy("name").agg(first, F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+
+
+def _rows_of(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The rows of docs that firsts (first) names by doc_id and text; null doc_ids are equal here."""
+    keys = firsts.select(F.col("first.doc_id").alias("_near_id"), F.col("first.t").alias("_near_text")).distinct()
+    return docs.join(small(keys), F.col("doc_id").cast("long").eqNullSafe(F.col("_near_id")) & (_text_key() == F.col("_near_text")), "left_semi")
+
+
+def _reach(pairs: DataFrame) -> DataFrame:
+    """a, b of the candidates (a, b, na, nb, i, j) that can still be similar after their first common place."""
+    first = pairs.groupBy("a", "b").agg(*[F.min(c).alias(c) for c in ("na", "nb", "i", "j")])
+    most = F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j"))
+    return first.where((NUM + DEN) * most >= NUM * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def _sizes_fit(a: str, b: str) -> Column:
+    return DEN * F.least(F.col(a), F.col(b)) >= NUM * F.greatest(F.col(a), F.col(b))
+
+
+def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar."""
+    pairs = stored(pairs)
+    named = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
+
+    def whole(batch: pa.RecordBatch) -> dict:
+        found = [shingle_set(t) for t in texts_of(batch)]
+        return {"name": [_name(s) for s in found], "hashes": [s.tobytes() for s in found]}
+
+    rows = _rows_of(docs, stored(sets.join(named, "name", "left_semi").select("first"))).select("text")
+    held = stored(arrow_map(rows, whole, "name long, hashes binary").dropDuplicates(["name"]))
+    both = pairs.join(held.select(F.col("name").alias("a"), F.col("hashes").alias("x")), "a").join(held.select(F.col("name").alias("b"), F.col("hashes").alias("y")), "b")
+
+    def compared(batch: pa.RecordBatch) -> dict:
+        x, y = batch.column("x"), batch.column("y")
+        fit = [similar(np.frombuffer(x[k].as_py(), np.int64), np.frombuffer(y[k].as_py(), np.int64)) for k in range(batch.num_rows)]
+        return {"a": batch.column("a"), "b": batch.column("b"), "fit": fit}
+
+    return stored(arrow_map(both, compared, "a long, b long, fit boolean").where("fit").select("a", "b"))
+
+
+def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) between names of sets that join exactly what all similar pairs join."""
+    places = stored(sets.select("name", "n", F.posexplode("prefix").alias("i", "h")))
+    me = F.struct("name", "n", "i")
+    shared = places.groupBy("h").agg(F.min(me).alias("m"), F.count("*").alias("sets")).where("sets > 1").select("h", "m")
+    shared = stored(places.join(shared, "h"))
+    stars = shared.where(F.col("name") != F.col("m.name")).select(F.col("m.name").alias("a"), F.col("name").alias("b"), F.col("m.n").alias("na"), F.col("n").alias("nb"), F.col("m.i").alias("i"), F.col("i").alias("j"))
+    edges = _verified(docs, sets, _reach(stars.where(_sizes_fit("na", "nb"))))
+
+    roots = components(edges).withColumnRenamed("node", "name")
+    held = stored(shared.select("h", "name", "n", "i").join(roots, "name", "left").withColumn("root", F.coalesce("root", "name")))
+    mixed = held.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
+    open_ = stored(held.join(mixed, "h", "left_semi"))
+    x, y = open_.alias("x"), open_.alias("y")
+    near = (F.col("x.h") == F.col("y.h")) & (F.col("x.name") < F.col("y.name")) & (F.col("x.root") != F.col("y.root")) & _sizes_fit("x.n", "y.n")
+    pairs = x.join(y, near).select(F.col("x.name").alias("a"), F.col("y.name").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.i").alias("i"), F.col("y.i").alias("j"))
+    return edges.unionByName(_verified(docs, sets, _reach(pairs)))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Of each group of near copies the row with the smallest doc_id.
+
+    A group is what similar pairs connect. Rows without a doc_id come after all others, and those are told
+    apart by their text; rows equal to the one that stays in doc_id and text stay with it. A null text counts
+    as empty, and texts without words are copies of each other; an empty table gives an empty one.
+    """
+    sets = stored(_sets(docs))
+    roots = components(links(docs, sets)).withColumnRenamed("node", "name")
+    classes = sets.select("name", "first").join(roots, "name", "left")
+    best = classes.groupBy(F.coalesce("root", "name").alias("root")).agg(F.min("first").alias("first"))
+    return _rows_of(docs, stored(best.select("first")))
