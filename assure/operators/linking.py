@@ -109,31 +109,39 @@ def grouped_sums(sums: DataFrame, banks: DataFrame) -> DataFrame:
 
     sums: settlement_id, place, target. A single credit equal to a settlement's sum decides first: if it is
     the only free one, the earliest settlement with that sum claims it; several are a tie for each of them.
-    Subsets are tried only where no more than POOL credits are left, so that routine is one small task.
+    Subsets are tried only where no more than POOL credits are left, so that routine is one small task. Until a
+    claim leaves that few, only single credits decide, in a closed form. Places are distinct.
     """
-    n = banks.select("bank_id").limit(2 * POOL + 1).count()
-    if n > 2 * POOL or _stays_large(banks, sums):
-        same = banks.groupBy(F.col("amount").alias("target")).agg(F.count("*").alias("free"), F.min("bank_id").alias("only"))
-        first = F.row_number().over(W.partitionBy("target").orderBy("place"))
-        met = sums.withColumn("turn", first).join(same, "target")
-        won = met.where((F.col("free") == 1) & (F.col("turn") == 1)).select("settlement_id", F.lit("unique").alias("status"), F.col("only").alias("bank_id"))
-        torn = met.where("free > 1").select("settlement_id", "target").join(banks.select("bank_id", F.col("amount").alias("target")), "target")
-        return won.unionByName(torn.select("settlement_id", F.lit("ambiguous").alias("status"), "bank_id"))
-    return _sequential(sums, banks)
-
-
-def _stays_large(banks: DataFrame, sums: DataFrame) -> bool:
-    """Whether more than POOL credits stay free whatever the settlements claim."""
-    claims = sums.join(banks.select(F.col("amount").alias("target")), "target").select("settlement_id").distinct().limit(POOL + 1).count()
-    return banks.limit(2 * POOL + 1).count() - claims > POOL
+    extra = banks.count() - POOL  # claims after which subsets are tried
+    if extra <= 0:
+        return _sequential(sums, banks)
+    same = banks.groupBy(F.col("amount").alias("target")).agg(F.count("*").alias("free"), F.min("bank_id").alias("only"))
+    first = F.row_number().over(W.partitionBy("target").orderBy("place"))
+    met = sums.withColumn("turn", first).join(same, "target").checkpoint()
+    won = met.where((F.col("free") == 1) & (F.col("turn") == 1))
+    claims = won.count()
+    if claims < extra:
+        return _closed(met, won, banks)
+    # the place of claim number `extra`, counted from the last: POOL + 1 rows at most
+    turning = won.select("place").orderBy(F.desc("place")).limit(claims - extra + 1).agg(F.min("place")).first()[0]
+    early = won.where(F.col("place") <= turning)
+    left = banks.join(early.select(F.col("only").alias("bank_id")), "bank_id", "left_anti")
+    return _closed(met.where(F.col("place") <= turning), early, banks).unionByName(_sequential(sums.where(F.col("place") > turning), left))
+
+
+def _closed(met: DataFrame, won: DataFrame, banks: DataFrame) -> DataFrame:
+    """grouped_sums() of settlements that meet single credits (met), of which won claim theirs."""
+    torn = met.where("free > 1").select("settlement_id", "target").join(banks.select("bank_id", F.col("amount").alias("target")), "target")
+    unique = won.select("settlement_id", F.lit("unique").alias("status"), F.col("only").alias("bank_id"))
+    return unique.unionByName(torn.select("settlement_id", F.lit("ambiguous").alias("status"), "bank_id"))
 
 
 def _sequential(sums: DataFrame, banks: DataFrame) -> DataFrame:
-    """Settlements in turn against what is still free of at most 2 * POOL credits.
+    """Settlements in turn against what is still free of at most POOL credits.
 
     A settlement whose sum neither one nor several credits can reach is left out beforehand, so few remain.
     """
-    pool = banks.select("bank_id", "amount").collect()  # bounded: 2 * POOL rows at most
+    pool = banks.select("bank_id", "amount").collect()  # bounded: POOL rows at most
     free = {r["bank_id"]: r["amount"] for r in pool}
     most, least = sum(max(a, 0) for a in free.values()), sum(min(a, 0) for a in free.values())
 

@@ -77,6 +77,33 @@ def test_the_closed_form_is_the_sequential_routine(spark):
     assert got == want
 
 
+def one_by_one(pending, banks):
+    """The sequential routine over any pool."""
+    free, want = {i: a for i, a, _ in banks}, set()
+    for i, target, s, _ in sorted(pending):
+        single = [k for k, a in free.items() if a == target]
+        status, hits = ("unique" if len(single) == 1 else "ambiguous", [(k,) for k in single]) if single else linking.find_subset(target, [(a, k) for k, a in free.items()])
+        want |= {(s, status, k) for hit in hits for k in hit}
+        if status == "unique":
+            for k in hits[0]:
+                del free[k]
+    return want
+
+
+@pytest.mark.parametrize(("credits", "claims"), [(100, 70), (100, 60), (100, 59), (60, 20), (45, 4), (40, 0)])
+def test_subsets_are_tried_once_claims_leave_few_credits(spark, credits, claims):
+    # cubes keep most sums of two unique
+    banks = [(i, 1_000_000 + 7 * i * i * i, 0) for i in range(credits)]
+    pair = lambda a, b: banks[a][1] + banks[b][1]
+    pending = [(0, pair(credits - 1, credits - 2), 900, 5)]  # too early unless the pool is small
+    pending += [(1 + i, banks[i][1], 100 + i, 5) for i in range(claims)]
+    pending += [(200, pair(credits - 3, credits - 5), 800, 5), (201, banks[credits - 7][1], 801, 5), (202, pair(credits - 9, credits - 12), 802, 5), (203, banks[0][1], 803, 5)]
+    p, b = frames(spark, pending, banks)
+    got = {tuple(r) for r in linking.grouped_sums(linking.settlements(p), b).collect()}
+    want = one_by_one(pending, banks)
+    assert got == want and any(s == 802 for s, _, _ in want)
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(1, 6), st.integers(0, 3), st.integers(0, 2)), min_size=1, max_size=8), st.lists(st.tuples(st.integers(1, 9), st.integers(0, 3)), min_size=1, max_size=8))
 def test_nothing_is_claimed_twice_or_lost(spark, chains, credits):
