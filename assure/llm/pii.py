@@ -1,7 +1,7 @@
 """PII: fixed patterns find seed entities; bootstrapped contexts find identifiers that the patterns miss.
 
 Seeds induce lexical patterns, the words around them. Patterns and the identifier-like strings that occur in
-them form a bipartite graph, which Spark scores in rounds: a pattern's confidence is the share of its
+them form a bipartite graph, which Spark scores in rounds until one accepts nothing new: a pattern's confidence is the share of its
 instances that are known, an instance's score the chance that not all of its patterns err. Instances that
 score high become known and lend their weight to further patterns.
 """
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, stored, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds of the bootstrap; known instances that a pattern needs; least confidence of a pattern, score of an instance.
-ROUNDS, SUPPORT, CONFIDENCE, SCORE = 2, 3, 0.7, 0.7
+#: Known instances that a pattern needs; least confidence of a pattern, score of an instance.
+SUPPORT, CONFIDENCE, SCORE = 3, 0.7, 0.7
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -137,15 +137,15 @@ def scanned(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), of_batch, schema)
 
 
-def bootstrap(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """instance, kind of the identifier-like strings that the graph accepts.
+def bootstrap(pairs: DataFrame, rounds: int = 100) -> DataFrame:
+    """instance, kind of the identifier-like strings that the graph accepts, in rounds until nothing new is accepted.
 
-    pairs: distinct pattern, instance, kind, seed. Sums are of whole numbers, so a result does not depend on
+    pairs: distinct pattern, instance, kind, seed. What is known only grows, so a round accepts all that the one
+    before it did; a graph that has not settled after `rounds` is an error. Sums are of whole numbers, so a result does not depend on
     the order in which they are taken.
     """
     known = stored(pairs.where("seed").select("instance", "kind").distinct())
     sizes = stored(pairs.groupBy("pattern").agg(F.count_distinct("instance").alias("instances")))
-    accepted = None
     for _ in range(rounds):
         support = pairs.join(known, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.count_distinct("instance").alias("good"))
         confident = support.where(F.col("good") >= SUPPORT).join(sizes, "pattern")
@@ -153,7 +153,12 @@ def bootstrap(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         doubt = F.sum(F.round(-1e6 * F.log1p(-F.col("confidence"))).cast("long"))
         scores = pairs.where("not seed").join(confident, ["pattern", "kind"]).groupBy("instance", "kind").agg(doubt.alias("weight"))
         accepted = stored(scores.where(1 - F.exp(-F.col("weight") / 1e6) >= SCORE))
-        known = stored(known.union(accepted.select("instance", "kind")).distinct())
+        more = stored(accepted.select("instance", "kind").join(known, ["instance", "kind"], "left_anti"))
+        if more.isEmpty():
+            break
+        known = stored(known.union(more))
+    else:
+        raise RuntimeError(f"the bootstrap did not settle in {rounds} rounds")
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     return accepted.groupBy("instance").agg(F.max_by("kind", F.struct("weight", -order)).alias("kind"))
 
