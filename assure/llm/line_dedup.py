@@ -6,7 +6,7 @@ aggregation, estimates it; lines whose estimate is near the threshold get an exa
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import packed, stored
@@ -19,6 +19,11 @@ LG_K, MARGIN = 12, 0.1
 REMOVED = "_lines_removed"
 
 
+def _place() -> Column:
+    """Of a line: by doc_id, then by pos; rows without a doc_id last, told apart by their text."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), "_text").alias("doc"), "pos")
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """A row for each line with a word: doc_id, _text (the text's hash), site, pos, and the trimmed line's hashes."""
     texts = docs.where("text is not null").select(
@@ -30,11 +35,11 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def boilerplate(found: DataFrame, sites: int = SITES) -> DataFrame:
-    """h1, h2 of each line on at least `sites` sites, and its first place: the smallest (doc_id, pos)."""
+    """h1, h2 of each line on at least `sites` sites, and its first place: the smallest _place()."""
     site = F.coalesce(F.concat(F.lit("s"), F.col("site")), F.lit("-"))
     sketched = (
         found.groupBy("h1", "h2")
-        .agg(F.hll_sketch_agg(site, LG_K).alias("sketch"), F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"))
+        .agg(F.hll_sketch_agg(site, LG_K).alias("sketch"), F.min(_place()).alias("first"), F.count("*").alias("n"))
         .where(F.col("n") >= sites)
         .withColumn("spread", F.hll_sketch_estimate("sketch"))
         .drop("sketch")
@@ -55,7 +60,7 @@ def removals(docs: DataFrame, sites: int = SITES) -> DataFrame:
     """doc_id, _text and _gone (0-based places of the lines to remove) of the documents that lose a line."""
     found = lines(docs)
     known = stored(boilerplate(found, sites))
-    hits = found.join(known, ["h1", "h2"]).where(F.struct("doc_id", "pos") != F.col("first"))
+    hits = found.join(known, ["h1", "h2"]).where(_place() != F.col("first"))
     return hits.groupBy("doc_id", "_text").agg(F.collect_set("pos").alias("_gone"))
 
 
@@ -64,12 +69,13 @@ def cleaned(docs: DataFrame, sites: int = SITES) -> DataFrame:
 
     A boilerplate line stays in the document with the smallest doc_id that has it, at its first place there.
     A text of which no line is left is empty; a null text stays null, and lines without a word are never
-    removed. A null source is a site of its own. Repeated rows are treated alike; an empty table gives an
+    removed. A null source is a site of its own. Rows without a doc_id come after all others and are told apart
+    by their text. Repeated rows are treated alike; an empty table gives an
     empty one; other columns are kept.
     """
     gone = removals(docs, sites).withColumnsRenamed({"doc_id": "_id", "_text": "_hash"})
     rows = packed(docs, F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_own"))
-    joined = rows.join(gone, (F.col("_doc") == F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
+    joined = rows.join(gone, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
     text = F.col("_row")["text"]
     left = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
     text = F.when(F.col("_gone").isNull(), text).otherwise(left)

@@ -167,7 +167,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found of each row of docs (doc_id, text).
 
     The counts and base_sha256 are of the fixed patterns alone; spans holds theirs and, beside them, the
-    n_found that the contexts discovered. A null text counts as empty. Whole texts of any length are read;
+    n_found that the contexts discovered. A null text counts as empty; rows without a doc_id are told
+    apart by their text. Whole texts of any length are read;
     repeated rows give repeated results, and copies of a text count once as evidence of a pattern, since
     instances are counted as distinct strings. An empty table gives an empty one; other columns are ignored.
     """
@@ -200,5 +201,6 @@ def personal_data(docs: DataFrame) -> DataFrame:
         ),
     )
     spans = F.array_join(F.transform(F.array_sort(F.concat(base, more)), lambda x: x["span"]), ",")
-    joined = rows.join(found, ["doc_id", "key"], "left")
+    found = found.withColumnsRenamed({"doc_id": "_id", "key": "_key"})
+    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
     return joined.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", spans.alias("spans"), F.size(more).cast("long").alias("n_found"))
