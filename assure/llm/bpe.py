@@ -3,10 +3,11 @@
 In these vocabularies a piece's rank is its id, and all ids are below 55,296, so an id is written as the
 character with that code point and a sequence of ids as a string. The rank map is a literal: an array of small
 maps from two neighbouring ids to the id of the merged piece, a pair's bucket being computed from its hash. A
-word starts as the ids of its bytes; each step of the fold merges the leftmost pair of the least rank.
+word starts as the ids of its bytes; each step of the fold merges the pair of the least rank.
 
-Words of a text are the matches of the pattern. The frequent ones, a bounded table, are encoded once; a text
-takes them from there, and the words that the table lacks are folded where they stand.
+Words of a text are the matches of the pattern. The frequent ones, a table of bounded size, are folded once.
+Texts are taken in groups of bounded bytes: a group's distinct words are looked up in that table by hash, those
+that it lacks are folded once for the group, and each text takes its ids by position.
 """
 
 from __future__ import annotations
@@ -28,16 +29,17 @@ from pyspark.sql import types as T
 
 from .common import stored
 
-PAIR_BUCKETS = 16_381
+PAIR_BUCKETS = 32_749
 #: Words in the table of frequent ones at most; ties at its end are left out together.
 TABLE_WORDS = 1 << 20
-#: Bytes of a word from which its merges are found with a heap: a fold's steps are as many as its bytes.
-LONG = 200
-#: Bytes of words that a Python worker gets at once.
-BATCH_BYTES = 8 << 20
+#: Bytes of words in the texts whose distinct words are folded together; a longer text is a group of its own.
+GROUP_BYTES = 4 << 20
 #: Most ids: code points below the surrogates.
 IDS = 0xD800
-NO_MERGE, EDGE, ZERO = "￿", "￾", "퟿"
+#: All pairs of a rank are merged in one step, or the leftmost one.
+ALL, FIRST = "a", "f"
+#: Stands for the id 0 in a call that would drop it.
+ZERO = "\ud7ff"
 
 
 class Vocabulary:
@@ -57,6 +59,23 @@ class Vocabulary:
         self.bytes_ = "".join(chr(self.ids[bytes([b])]) for b in range(256))
         #: Pieces that their own merges don't lead to; the tokenizer takes a word that is a piece at once.
         self.whole = {p: chr(n) for p, n in self.ids.items() if self.merge(p) != chr(n)}
+        self.one_by_one = self._one_by_one()
+
+    def _one_by_one(self) -> frozenset[str]:
+        """Merged ids of which only the leftmost pair may be merged in a step.
+
+        All pairs of the least rank may be merged at once, from left to right, unless a merge opens a pair of a
+        still lower rank, or two different pairs of that rank can share the piece between them.
+        """
+        pairs: dict[str, list[str]] = {}
+        found = set()
+        for pair, merged in self.merges.items():
+            pairs.setdefault(merged, []).append(pair)
+            found.update(x for x in pair if merged < x)
+        for merged, ways in pairs.items():
+            if any(x != y and x[1] == y[0] for x in ways for y in ways):
+                found.add(merged)
+        return frozenset(found)
 
     def merge(self, word: bytes) -> str:
         """The ids of a word of any length, by a heap of its neighbouring pairs."""
@@ -85,10 +104,11 @@ class Vocabulary:
         return chr(self.ids[raw]) if raw in self.ids else self.merge(raw)
 
     def rank_map(self) -> list[dict[str, str]]:
+        """Buckets of pair -> the merged id, and how pairs of that rank are merged."""
         buckets: list[dict[str, str]] = [{} for _ in range(PAIR_BUCKETS)]
         for pair, merged in self.merges.items():
             h = xxhash.xxh64_intdigest(pair.encode("utf-8"), 42)
-            buckets[(h - (h >> 63 << 64)) % PAIR_BUCKETS][pair] = merged
+            buckets[(h - (h >> 63 << 64)) % PAIR_BUCKETS][pair] = merged + (FIRST if merged in self.one_by_one else ALL)
         return buckets
 
     def pieces(self) -> list[str]:
@@ -126,34 +146,38 @@ def encoder(vocab: Vocabulary, ranks: Column) -> Callable[[Column], Column]:
     # translate() would drop a character that goes to U+0000
     start = vocab.bytes_.replace("\0", ZERO)
 
-    def rank(pair: Column) -> Column:
-        bucket = F.get(ranks, F.pmod(F.xxhash64(pair), F.lit(PAIR_BUCKETS)).cast("int"))
-        return F.coalesce(bucket[pair], F.lit(NO_MERGE))
+    def ranked(pair: Column) -> Column:
+        """The merged id of a pair, how it is merged, and the pair; null if there is no such merge."""
+        return F.concat(F.get(ranks, F.pmod(F.xxhash64(pair), F.lit(PAIR_BUCKETS)).cast("int"))[pair], pair)
+
+    def least(s: Column) -> Column:
+        """ranked() of a pair of the least rank in s: of the leftmost one where only that may be merged."""
+
+        def of_pairs(found: Column) -> Column:
+            return _let(F.array_min(found), lambda m: F.when(F.substr(m, F.lit(2), F.lit(1)) == FIRST, first(found, m)).otherwise(m))
 
-    def step(state: Column) -> Column:
-        s, r = state["s"], state["r"]
+        def first(found: Column, m: Column) -> Column:
+            return F.get(F.filter(found, lambda x: F.startswith(x, F.substr(m, F.lit(1), F.lit(1)))), F.lit(0))
 
-        def merged(p: Column) -> Column:
-            m = F.get(r, p - 1)
-            around = F.array(F.concat(F.substr(s, p - 1, F.lit(1)), m), F.concat(m, F.substr(s, p + 2, F.lit(1))))
-            return F.struct(
-                F.concat(F.substr(s, F.lit(1), p - 1), m, F.substr(s, p + 2)).alias("s"),
-                F.concat(F.slice(r, F.lit(1), p - 2), F.transform(around, rank), F.slice(r, p + 2, F.size(r))).alias("r"),
-            )
+        def of_ids(ids: Column) -> Column:
+            return F.transform(F.slice(ids, 2, F.size(ids) - 1), lambda x, i: ranked(F.concat(F.get(ids, i), x)))
 
-        least = F.array_min(r)
-        return F.when(least == NO_MERGE, state).otherwise(_let(F.array_position(r, least).cast("int"), merged))
+        return _let(_let(F.split(s, ""), of_ids), of_pairs)
+
+    def step(now: Column) -> Column:
+        s, found = now["s"], now["least"]
+        m, pair = F.substr(found, F.lit(1), F.lit(1)), F.substr(found, F.lit(3), F.lit(2))
+        one = _let(F.instr(s, pair), lambda at: F.concat(F.substr(s, F.lit(1), at - 1), m, F.substr(s, at + 2)))
+        merged = F.when(F.substr(found, F.lit(2), F.lit(1)) == FIRST, one).otherwise(F.replace(s, pair, m))
+        return F.when(found.isNull(), now).otherwise(_let(merged, lambda s: F.struct(s.alias("s"), least(s).alias("least"))))
 
     def fold(s: Column) -> Column:
-        # an edge at both ends merges with nothing, so that every merge has a neighbour on both sides
-        first = F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: rank(F.substr(s, i, F.lit(2))))
-        steps = F.sequence(F.lit(1), F.greatest(F.length(s) - 2, F.lit(1)))
-        done = F.aggregate(steps, F.struct(s.alias("s"), first.alias("r")), lambda state, _: step(state))
-        return F.translate(done["s"], EDGE, "")
+        steps = F.sequence(F.lit(1), F.greatest(F.length(s) - 1, F.lit(1)))
+        return F.aggregate(steps, F.struct(s.alias("s"), least(s).alias("least")), lambda now, _: step(now))["s"]
 
     def encode(word: Column) -> Column:
         raw = F.replace(F.translate(F.decode(word.cast("binary"), "ISO-8859-1"), latin, start), F.lit(ZERO), F.lit("\0"))
-        ids = _let(F.concat(F.lit(EDGE), raw, F.lit(EDGE)), fold)
+        ids = _let(raw, fold)
         for piece, n in vocab.whole.items():
             ids = F.when(word.cast("binary") == F.lit(piece), F.lit(n)).otherwise(ids)
         return F.when(F.length(word) == 0, F.lit("")).otherwise(ids)
@@ -165,8 +189,8 @@ def decoder(pieces: Column) -> Callable[[Column], Column]:
     """ids -> the bytes of their pieces one after the other, as an expression."""
 
     def decode(ids: Column) -> Column:
-        places = F.when(F.length(ids) > 0, F.sequence(F.lit(1), F.length(ids))).otherwise(F.array().cast("array<int>"))
-        return F.unhex(F.array_join(F.transform(places, lambda i: F.get(pieces, F.ascii(F.substr(ids, i, F.lit(1))))), ""))
+        each = F.when(F.length(ids) > 0, F.split(ids, "")).otherwise(F.array().cast("array<string>"))
+        return F.unhex(F.array_join(F.transform(each, lambda n: F.get(pieces, F.ascii(n))), ""))
 
     return decode
 
@@ -177,10 +201,30 @@ def words(text: Column, pattern: str = public_tokenizers.PATTERN) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
 
 
+def _groups(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of rows of up to GROUP_BYTES each, one row at least."""
+    runs, first, held = [], 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > first and held + size > GROUP_BYTES:
+            runs.append((first, i))
+            first, held = i, 0
+        held += size
+    return [*runs, (first, len(sizes))] if len(sizes) else runs
+
+
+def _of_word(vocab: Vocabulary, then: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """then(word -> struct of its ids and of the decoded bytes, back), with the literals of with_literals()."""
+
+    def made(ranks: Column, pieces: Column) -> Callable[[Column], Column]:
+        encode, decode = encoder(vocab, ranks), decoder(pieces)
+        return lambda word: _let(encode(word), lambda ids: F.struct(ids.alias("ids"), decode(ids).cast("string").alias("back")))
+
+    return _let(F.col("_ranks"), lambda ranks: _let(F.col("_pieces"), lambda pieces: then(made(ranks, pieces))))
+
+
 def frequent(docs: DataFrame, vocab: Vocabulary, most: int = TABLE_WORDS) -> DataFrame:
-    """word, ids, other (the decoded bytes where they aren't the word's): the words that occur most, twice at least."""
-    counts = stored(docs.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
-    counts = counts.where(F.col("n") > 1).where(F.octet_length("word") <= LONG)
+    """hash, word, ids, other (the decoded bytes where they aren't the word's): the words that occur most, twice at least."""
+    counts = stored(docs.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n > 1"))
     by_count = counts.groupBy("n").agg(F.count("*").alias("m")).orderBy(F.desc("n")).toLocalIterator()
     least, room = None, most
     for row in by_count:
@@ -188,80 +232,71 @@ def frequent(docs: DataFrame, vocab: Vocabulary, most: int = TABLE_WORDS) -> Dat
             break
         least, room = row["n"], room - row["m"]
     kept = counts.where(F.col("n") >= least) if least else counts.limit(0)
-    both = _let(
-        F.col("_ranks"),
-        lambda ranks: _let(
-            F.col("_pieces"),
-            lambda pieces: _let(encoder(vocab, ranks)(F.col("word")), lambda ids: F.struct(ids.alias("ids"), decoder(pieces)(ids).alias("back"))),
-        ),
-    )
-    known = with_literals(kept, vocab).select("word", both.alias("e")).select("word", "e.ids", "e.back")
-    return known.select("word", "ids", F.when(F.col("back") != F.col("word").cast("binary"), F.col("back").cast("string")).alias("other"))
-
-
-def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
+    known = with_literals(kept, vocab).select("word", _of_word(vocab, lambda of: of(F.col("word"))).alias("e"))
+    return known.select(F.xxhash64("word").alias("hash"), "word", F.col("e.ids").alias("ids"), F.when(F.col("e.back") != F.col("word"), F.col("e.back")).alias("other"))
+
+
+class Table:
+    """The frequent words, sorted by hash."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.sort_by("hash")
+        self.hashes = rows["hash"].to_numpy()
+        self.word, self.ids, self.other = (rows[c].combine_chunks() for c in ("word", "ids", "other"))
+
+    def known(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """ids and decoded bytes of each word; null where the table lacks it."""
+        if not len(self.hashes) or not len(words):
+            return pa.nulls(len(words), pa.string()), pa.nulls(len(words), pa.string())
+        own = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words)).view(np.int64)
+        at = pa.array(np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1))
+        same = pc.equal(self.word.take(at), words)
+        none = pa.scalar(None, pa.string())
+        return pc.if_else(same, self.ids.take(at), none), pc.if_else(same, pc.coalesce(self.other.take(at), words), none)
+
+
+def encoded(docs: DataFrame, path: str | None = None, carry: tuple[str, ...] | None = None) -> DataFrame:
     """docs' columns with _ids (a string of id characters) and _decoded (their bytes) of each text.
 
-    docs: text and any other columns; a null text counts as empty.
+    docs: text and any other columns; carry: those of them to return, all by default. A null text counts as empty.
     """
-    path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    vocab = vocabulary(path)
-    spark = docs.sparkSession
-    table = stored(frequent(docs, vocab)).toArrow()
-    table = spark.sparkContext.broadcast({c: table[c].combine_chunks() for c in table.column_names})
-    bound = "spark.sql.execution.arrow.maxBytesPerBatch"  # of what a worker holds of the words at once
-    spark.conf.set(bound, BATCH_BYTES)
-    own = docs.columns
+    vocab = vocabulary(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    own = list(carry) if carry is not None else docs.columns
+    table = docs.sparkSession.sparkContext.broadcast(Table(stored(frequent(docs, vocab)).toArrow()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("_words")
-            flat = lists.flatten()
-            at = pc.index_in(flat, value_set=table.value["word"])
-            ids, other = table.value["ids"].take(at), table.value["other"].take(at)
-            gone = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
-            bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
-            # runs of known words, each up to a word that the table lacks or to its text's end
-            cuts = pa.array(np.sort(np.concatenate([bounds, gone + 1])), pa.int32())
-            known = pc.is_valid(at)
-            parts = [
-                pc.binary_join(pa.ListArray.from_arrays(cuts, x), "")
-                for x in (pc.fill_null(ids, ""), pc.if_else(known, pc.coalesce(other, flat), ""))
-            ]
-            per_text = np.searchsorted(gone, bounds)
-            segments = pa.array(per_text + np.arange(len(bounds)), pa.int32())
-            lacking = flat.take(pa.array(gone))
-            long = pc.greater(pc.binary_length(lacking), LONG)
-            by_heap = pa.array([vocabulary(path).encode(w.as_py()) if x.as_py() else None for w, x in zip(lacking, long)], pa.string()) if pc.any(long).as_py() else pa.nulls(len(lacking), pa.string())
-            new = [
-                pa.ListArray.from_arrays(segments, parts[0]), pa.ListArray.from_arrays(segments, parts[1]),
-                pa.ListArray.from_arrays(pa.array(per_text, pa.int32()), lacking), pa.ListArray.from_arrays(pa.array(per_text, pa.int32()), by_heap),
-            ]
-            rest = [batch.column(c) for c in own]
-            yield pa.RecordBatch.from_arrays([*rest, *new], [*own, "_parts", "_bytes", "_lacking", "_long"])
-
-    cut = docs.withColumn("_words", words(F.col("text")))
-    schema = T.StructType(list(docs.schema.fields))
-    for name in ("_parts", "_bytes", "_lacking", "_long"):
-        schema = schema.add(name, T.ArrayType(T.StringType()))
-    rows = cut.mapInArrow(run, schema)
-    folded = _let(
-        F.col("_ranks"),
-        lambda ranks: _let(
-            F.col("_pieces"),
-            lambda pieces: _let(
-                F.zip_with("_lacking", "_long", lambda w, by_heap: F.coalesce(by_heap, encoder(vocab, ranks)(w))),
-                lambda new: F.struct(new.alias("ids"), F.transform(new, lambda ids: decoder(pieces)(ids).cast("string")).alias("back")),
-            ),
-        ),
-    )
-    rows = with_literals(rows, vocab).select(*own, "_parts", "_bytes", folded.alias("_new"))
-
-    def joined(parts: Column, between: Column) -> Column:
-        return F.array_join(F.zip_with(parts, between, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-
-    ids, text = joined(F.col("_parts"), F.col("_new")["ids"]), joined(F.col("_bytes"), F.col("_new")["back"])
-    return rows.select(*own, ids.alias("_ids"), text.cast("binary").alias("_decoded"))
+            if not batch.num_rows:
+                continue
+            rows, lists = batch.column("_row"), batch.column("_words")
+            ends = lists.offsets.to_numpy()
+            bytes_ = np.concatenate([[0], np.cumsum(pc.binary_length(lists.values).to_numpy(zero_copy_only=False))])
+            for a, b in _groups(np.diff(bytes_[ends])):
+                coded = lists.values.slice(ends[a], ends[b] - ends[a]).dictionary_encode()
+                at = pa.ListArray.from_arrays(pa.array(ends[a : b + 1] - ends[a], pa.int32()), coded.indices)
+                ids, back = table.value.known(coded.dictionary)
+                lacking = pc.if_else(pc.is_valid(ids), pa.scalar(None, pa.string()), coded.dictionary)
+                columns = (rows.slice(a, b - a), at, ids, back, lacking)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in columns], names)
+
+    names = ["_rows", "_at", "_known", "_back", "_lacking"]
+    cut = docs.select(F.struct(*[F.col(c) for c in own], F.lit(0).alias("_")).alias("_row"), words(F.col("text")).alias("_words"))
+    strings = T.ArrayType(T.StringType())
+    kinds = [T.ArrayType(cut.schema["_row"].dataType), T.ArrayType(T.ArrayType(T.IntegerType())), strings, strings, strings]
+    groups = with_literals(cut.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])), vocab)
+
+    def joined(known: Column, at: Column) -> Column:
+        return F.array_join(F.transform(at, lambda i: F.get(known, i)), "")
+
+    def of_texts(new: Column) -> Column:
+        ids = F.zip_with("_known", new, lambda a, b: F.coalesce(a, b["ids"]))
+        back = F.zip_with("_back", new, lambda a, b: F.coalesce(a, b["back"]))
+        text = lambda ids, back: F.zip_with("_rows", "_at", lambda row, at: F.struct(row.alias("row"), joined(ids, at).alias("ids"), joined(back, at).alias("back")))
+        return _let(ids, lambda ids: _let(back, lambda back: text(ids, back)))
+
+    new = _of_word(vocab, lambda of: F.transform("_lacking", lambda w: F.when(w.isNotNull(), of(w))))
+    texts = groups.select(F.inline(_let(new, of_texts)))
+    return texts.select(*[F.col("row")[c].alias(c) for c in own], F.col("ids").alias("_ids"), F.col("back").cast("binary").alias("_decoded"))
 
 
 def id_bytes(ids: Column) -> Column:
@@ -280,7 +315,7 @@ def byte_bpe(docs: DataFrame, path: str | None = None) -> DataFrame:
     A null text counts as empty: no tokens, hashes of no bytes. Whole texts and words of any length are
     encoded; repeated rows give repeated results, an empty table an empty one; other columns are ignored.
     """
-    rows = encoded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path)
+    rows = encoded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path, carry=("doc_id",))
     return rows.select(
         "doc_id", F.length("_ids").cast("long").alias("n_tokens"), F.sha2(id_bytes(F.col("_ids")), 256).alias("ids_sha256"),
         F.sha2("_decoded", 256).alias("decoded_sha256"),
