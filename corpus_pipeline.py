@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document of the mix."""
-    rows = bpe.encoded(docs.select("doc_id", "lang", "source", "text"))
+    rows = bpe.encoded(docs, carry=("doc_id", "lang", "source"))
     return rows.select("doc_id", "lang", "source", F.length("_ids").cast("long").alias("n_tokens"), bpe.id_bytes(F.col("_ids")).alias("ids"))
 
 
