@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map
 
+#: Elements that may stand in a head; any other, or text, ends it.
+IN_HEAD = frozenset("title base basefont bgsound link meta style script noscript noframes template".split())
+#: Elements of other languages, which a slash closes; in HTML a slash closes nothing.
+FOREIGN = frozenset("svg math".split())
 #: Elements whose content is no text of the page.
 SKIPPED = frozenset("head script style noscript template iframe svg math canvas object select option button textarea audio video dialog".split())
 #: Those of which the content is not even markup.
@@ -27,21 +31,40 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split()
 )
-#: What elements, roles and names say about the text below them, in log odds of content.
-BY_ELEMENT = {"article": 3.0, "main": 3.0, "nav": -6.0, "footer": -6.0, "aside": -6.0, "form": -6.0, "header": -6.0, "menu": -6.0, "fieldset": -6.0, "address": -2.0, "h1": 0.5, "h2": 0.5, "h3": 0.5, "blockquote": 0.5, "p": 0.5, "pre": 0.5}
-BY_ROLE = {"main": 3.0, "article": 3.0, "navigation": -6.0, "banner": -6.0, "contentinfo": -6.0, "complementary": -6.0, "search": -6.0, "form": -6.0, "dialog": -6.0, "alert": -6.0, "menu": -6.0, "menubar": -6.0}
-NAMES_AGAINST = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|adv|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|breadcrumbs?|footer\w*|foot|sidebar\w*|side|widget\w*|cookies?\w*|consent\w*|gdpr|notices?|notification\w*|popup\w*|modal\w*|overlay\w*|subscribe\w*|newsletter\w*|signup|login|share\w*|sharing|social\w*|related\w*|recommend\w*|comments?\w*|respond|repl(?:y|ies)|disqus\w*|discussion|pagination|pager|toolbar|masthead|copyright|legal|skip|hidden|topbar|header|site-header|page-header|tags|search\w*|form)(?:$|[^a-z])"
+#: What elements, roles and names say about the text below them, in log odds of content: no more than the smoothness
+#: edges around a block can outweigh together, so that its neighbours decide with it.
+BY_ELEMENT = {"article": 0.75, "main": 0.75, "nav": -4.0, "footer": -4.0, "aside": -4.0, "form": -4.0, "header": -4.0, "menu": -4.0, "fieldset": -4.0, "address": -1.5, "h1": 1.5, "h2": 0.5, "h3": 0.5, "blockquote": 0.5, "p": 0.5, "pre": 0.5}
+BY_ROLE = {"main": 0.75, "article": 0.75, "navigation": -4.0, "banner": -4.0, "contentinfo": -4.0, "complementary": -4.0, "search": -4.0, "form": -4.0, "dialog": -4.0, "alert": -4.0, "menu": -4.0, "menubar": -4.0}
+#: Words of names that speak for or against content, and those that only tell the kind of box.
+WORDS_AGAINST = re.compile(
+    r"ads?|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|breadcrumbs?|footer|foot|sidebar\w*|side|widgets?|cookies?|consent|gdpr|notices?|notifications?|popup\w*|modals?|overlay\w*|subscri\w*|newsletters?|signup|login|shar(?:e|ing)|social\w*|related|recommend\w*|comments?|respond|repl(?:y|ies)|disqus|discussions?|pagination|pager|toolbar|masthead|copyright|legal|skip|hidden|topbar|header|tags|search|form"
 )
-NAMES_FOR = re.compile(r"(?:^|[^a-z])(?:article\w*|content|post|entry|story|text|body|main|prose)(?:$|[^a-z])")
-AGAINST, FOR = -6.0, 1.5
+WORDS_FOR = frozenset("article articles content contents post posts entry story stories text body main prose".split())
+WORDS_OF_BOXES = WORDS_FOR | frozenset(
+    "area bar block box bottom buttons button card cards class col column container cta digest global group hd holder icon icons inner item items label left link links list message module outer page panel policy primary reader right row secondary section site slot sub title top unit user users view wrap wrapper js id thread".split()
+)
+#: Of a name all of whose words are known, of one with other words in it, and of one for content.
+AGAINST, DOUBTFUL, FOR = -4.0, -1.0, 1.0
 #: Smoothness: of neighbours in one element, and of others over their distance in the tree.
 SAME, APART = 2.0, 0.5
 
+#: The classifier's constant, and its weight of the binary logarithm of the number of words, up to a bound.
+BIAS, LENGTH, LONGEST = -2.0, 0.6, 2.5
+
 ATTRIBUTE = re.compile(r"""(class|id|role|style|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(\shidden(?=[\s/>=]|$))""", re.I)
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 
 
+def name_hint(name: str) -> tuple[float, float]:
+    """What a class or id says against and for content; a word that is not known makes it doubtful."""
+    words = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
+    against = [w for w in words if WORDS_AGAINST.fullmatch(w)]
+    if against:
+        known = all(w in WORDS_OF_BOXES for w in words if w not in against)
+        return (AGAINST if known else DOUBTFUL), 0.0
+    return 0.0, FOR if any(w in WORDS_FOR for w in words) else 0.0
+
+
 class Block:
     __slots__ = ("text", "linked", "node")
 
@@ -74,17 +97,15 @@ class Page:
         if attributes:
             worst, best = 0.0, 0.0
             for key, a, b, c, bare in ATTRIBUTE.findall(attributes):
-                key, value = key.lower(), (a or b or c).lower()
-                if bare or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+                key, value = key.lower(), a or b or c
+                if bare or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                     worst = AGAINST
                 elif key == "role":
-                    hint += BY_ROLE.get(value, 0.0)
-                elif key in ("class", "id"):
-                    value = value.replace("_", "-")
-                    if NAMES_AGAINST.search(value) and name not in ("body", "html"):
-                        worst = AGAINST
-                    elif NAMES_FOR.search(value):
-                        best = FOR
+                    hint += BY_ROLE.get(value.lower(), 0.0)
+                elif key in ("class", "id") and name not in ("body", "html"):
+                    for one in value.split():
+                        against, good = name_hint(one)
+                        worst, best = min(worst, against), max(best, good)
             hint += worst or best
         return hint
 
@@ -92,6 +113,8 @@ class Page:
         stack: list[tuple[str, int]] = [("", 0)]  # open block elements with their nodes
         opened: dict[str, int] = {}
         skip: list[str] = []
+        inner: dict[str, int] = {}  # elements open within those skipped
+        ended: set[str] = set()  # skipped elements of which no end comes any more
         links = 0
         at, end = 0, len(s)
         missing: set[str] = set()  # quotes that don't come any more
@@ -105,6 +128,8 @@ class Page:
             lt = s.find("<", at)
             if lt < 0:
                 lt = end
+            if lt > at and skip == ["head"] and s[at:lt].strip():
+                skip.clear()  # text ends a head
             if lt > at and not skip:
                 self._parts.append(s[at:lt])
                 if links:
@@ -130,24 +155,21 @@ class Page:
             if gt < 0:
                 break  # a tag that is cut off
             name, attributes, at = m[0].lower(), s[m.end() : gt], gt + 1
-            if skip:
-                if closing and name == skip[-1]:
-                    skip.pop()
-                elif not closing and name in SKIPPED and not attributes.endswith("/"):
-                    skip.append(name)
+            if skip and self._skips(s, name, closing, attributes, skip, inner, opened, ended):
+                if skip and skip[-1] in RAW and not closing and name == skip[-1]:
                     at = self._after_raw(s, name, at, skip)
-                elif closing and name in skip:
-                    del skip[skip.index(name) :]
-                elif name in ("body", "html") and "head" in skip:
-                    skip.clear()
                 continue
             node = stack[-1][1]
             if not closing and (name in SKIPPED or name in RAW):
                 if name not in INLINE:
                     self._flush(node)
-                if not attributes.endswith("/"):
+                if not (name in FOREIGN and attributes.endswith("/")):
                     skip.append(name)
+                    inner.clear()
                     at = self._after_raw(s, name, at, skip)
+                    if name not in RAW and name != "head" and name not in ended:
+                        if not re.compile(rf"</{name}(?=[\s/>])", re.I).search(s, at):
+                            ended.add(name)
                 continue
             if name in INLINE or name in VOID:
                 if name == "a":
@@ -177,6 +199,39 @@ class Page:
             opened[name] = opened.get(name, 0) + 1
         self._flush(stack[-1][1])
 
+    @staticmethod
+    def _skips(s: str, name: str, closing: bool, attributes: str, skip: list[str], inner: dict[str, int], opened: dict[str, int], ended: set[str]) -> bool:
+        """Whether a tag within skipped elements is skipped too; if not, they have ended.
+
+        They end with their own end tag; with that of an element around them; a head also with whatever can't be
+        in it; and one whose end tag never comes with the next block.
+        """
+        if closing and name in skip:
+            del skip[len(skip) - 1 - skip[::-1].index(name) :]
+            return True
+        if skip[-1] == "head" and not closing and name not in IN_HEAD and name != "head":
+            skip.clear()
+            return name in ("body", "html")
+        if not closing and (name in SKIPPED or name in RAW):
+            if name != skip[-1] and not (name in FOREIGN and attributes.endswith("/")):
+                skip.append(name)
+            elif name in RAW:
+                skip.append(name)
+            return True
+        if name in INLINE or name in VOID:
+            return True
+        if skip[-1] in ended:
+            skip.clear()
+            return False
+        if not closing:
+            inner[name] = inner.get(name, 0) + (not attributes.endswith("/"))
+        elif inner.get(name):
+            inner[name] -= 1
+        elif opened.get(name) and skip[-1] != "head":
+            skip.clear()
+            return False
+        return True
+
     @staticmethod
     def _after_raw(s: str, name: str, at: int, skip: list[str]) -> int:
         if name not in RAW:
@@ -229,7 +284,7 @@ class Page:
 def log_odds(page: Page, block: Block) -> float:
     """The classifier: of content, from hints above the block, length, links and signs of boilerplate."""
     words = block.text.count(" ") + 1
-    odds = page.prior[block.node] - 1.2 + min(2.5, 0.6 * math.log2(1 + words))
+    odds = page.prior[block.node] + BIAS + min(LONGEST, LENGTH * math.log2(1 + words))
     odds -= 4.0 * block.linked / len(block.text)
     if "©" in block.text or re.search(r"all rights reserved|cookies?\b", block.text, re.I) and words < 40:
         odds -= 2.0
@@ -306,8 +361,11 @@ def main_blocks(source: str) -> list[str]:
     edges = []
     for step, share in ((1, 1.0), (2, 0.5)):
         for i in range(len(blocks) - step):
-            a, b = page.container(blocks[i]), page.container(blocks[i + step])
-            if a == b and page.prior[blocks[i].node] * page.prior[blocks[i + step].node] >= 0:
+            x, y = blocks[i], blocks[i + step]
+            if page.prior[x.node] * page.prior[y.node] < 0:
+                continue  # what is above them contradicts
+            a, b = page.container(x), page.container(y)
+            if a == b:
                 edges.append((i, i + step, SAME * share))
             elif step == 1:
                 edges.append((i, i + 1, APART / max(1, page.distance(a, b))))
