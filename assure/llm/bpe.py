@@ -7,7 +7,7 @@ word starts as the ids of its bytes; each step of the fold merges the pair of th
 
 Words of a text are the matches of the pattern. The frequent ones, a table of bounded size, are folded once.
 Texts are taken in groups of bounded bytes: a group's distinct words are looked up in that table by hash, those
-that it lacks are folded once for the group, and each text takes its ids by position.
+that it lacks are folded once for the group, and each text takes their ids by position.
 """
 
 from __future__ import annotations
@@ -36,6 +36,11 @@ TABLE_WORDS = 1 << 20
 GROUP_BYTES = 4 << 20
 #: Most ids: code points below the surrogates.
 IDS = 0xD800
+#: Bytes of a word up to which a step of the fold merges one pair: few steps, each a few lookups. In a longer word it
+#: merges all pairs of a rank, so that the steps are as many as the ranks in it; the ids are the same.
+SHORT = 64
+#: No merge, and the edge of a word: above all ids.
+NONE, EDGE = "\uffff", "\ufffe"
 #: All pairs of a rank are merged in one step, or the leftmost one.
 ALL, FIRST = "a", "f"
 #: Stands for the id 0 in a call that would drop it.
@@ -146,12 +151,35 @@ def encoder(vocab: Vocabulary, ranks: Column) -> Callable[[Column], Column]:
     # translate() would drop a character that goes to U+0000
     start = vocab.bytes_.replace("\0", ZERO)
 
-    def ranked(pair: Column) -> Column:
-        """The merged id of a pair, how it is merged, and the pair; null if there is no such merge."""
-        return F.concat(F.get(ranks, F.pmod(F.xxhash64(pair), F.lit(PAIR_BUCKETS)).cast("int"))[pair], pair)
+    def rank(pair: Column) -> Column:
+        """The merged id of a pair and how pairs of that rank are merged; null if there is no such merge."""
+        return F.get(ranks, F.pmod(F.xxhash64(pair), F.lit(PAIR_BUCKETS)).cast("int"))[pair]
+
+    def one_merge(state: Column) -> Column:
+        """A step of a short word: the leftmost pair of the least rank is merged, and its two neighbours looked up."""
+        s, r = state["s"], state["r"]
+
+        def merged(p: Column) -> Column:
+            m = F.substr(F.get(r, p - 1), F.lit(1), F.lit(1))
+            around = F.array(F.concat(F.substr(s, p - 1, F.lit(1)), m), F.concat(m, F.substr(s, p + 2, F.lit(1))))
+            return F.struct(
+                F.concat(F.substr(s, F.lit(1), p - 1), m, F.substr(s, p + 2)).alias("s"),
+                F.concat(F.slice(r, F.lit(1), p - 2), F.transform(around, lambda x: F.coalesce(rank(x), F.lit(NONE))), F.slice(r, p + 2, F.size(r))).alias("r"),
+            )
+
+        least = F.array_min(r)
+        return F.when(least == NONE, state).otherwise(_let(F.array_position(r, least).cast("int"), merged))
+
+    def short(raw: Column) -> Column:
+        # an edge at both ends merges with nothing, so that every merge has a neighbour on both sides
+        s = F.concat(F.lit(EDGE), raw, F.lit(EDGE))
+        first = F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.coalesce(rank(F.substr(s, i, F.lit(2))), F.lit(NONE)))
+        steps = F.sequence(F.lit(1), F.greatest(F.length(s) - 2, F.lit(1)))
+        done = F.aggregate(steps, F.struct(s.alias("s"), first.alias("r")), lambda state, _: one_merge(state))
+        return F.translate(done["s"], EDGE, "")
 
     def least(s: Column) -> Column:
-        """ranked() of a pair of the least rank in s: of the leftmost one where only that may be merged."""
+        """rank() and pair of the least rank in s: of the leftmost pair where only that may be merged."""
 
         def of_pairs(found: Column) -> Column:
             return _let(F.array_min(found), lambda m: F.when(F.substr(m, F.lit(2), F.lit(1)) == FIRST, first(found, m)).otherwise(m))
@@ -160,20 +188,25 @@ def encoder(vocab: Vocabulary, ranks: Column) -> Callable[[Column], Column]:
             return F.get(F.filter(found, lambda x: F.startswith(x, F.substr(m, F.lit(1), F.lit(1)))), F.lit(0))
 
         def of_ids(ids: Column) -> Column:
-            return F.transform(F.slice(ids, 2, F.size(ids) - 1), lambda x, i: ranked(F.concat(F.get(ids, i), x)))
+            pairs = F.transform(F.slice(ids, 2, F.size(ids) - 1), lambda x, i: F.concat(F.get(ids, i), x))
+            return F.transform(pairs, lambda p: F.concat(rank(p), p))
 
         return _let(_let(F.split(s, ""), of_ids), of_pairs)
 
-    def step(now: Column) -> Column:
+    def all_merges(now: Column) -> Column:
+        """A step of a long word: all pairs of the least rank are merged, where that comes to the same."""
         s, found = now["s"], now["least"]
         m, pair = F.substr(found, F.lit(1), F.lit(1)), F.substr(found, F.lit(3), F.lit(2))
         one = _let(F.instr(s, pair), lambda at: F.concat(F.substr(s, F.lit(1), at - 1), m, F.substr(s, at + 2)))
         merged = F.when(F.substr(found, F.lit(2), F.lit(1)) == FIRST, one).otherwise(F.replace(s, pair, m))
         return F.when(found.isNull(), now).otherwise(_let(merged, lambda s: F.struct(s.alias("s"), least(s).alias("least"))))
 
-    def fold(s: Column) -> Column:
-        steps = F.sequence(F.lit(1), F.greatest(F.length(s) - 1, F.lit(1)))
-        return F.aggregate(steps, F.struct(s.alias("s"), least(s).alias("least")), lambda now, _: step(now))["s"]
+    def long(raw: Column) -> Column:
+        steps = F.sequence(F.lit(1), F.greatest(F.length(raw) - 1, F.lit(1)))
+        return F.aggregate(steps, F.struct(raw.alias("s"), least(raw).alias("least")), lambda now, _: all_merges(now))["s"]
+
+    def fold(raw: Column) -> Column:
+        return F.when(F.length(raw) <= SHORT, short(raw)).otherwise(long(raw))
 
     def encode(word: Column) -> Column:
         raw = F.replace(F.translate(F.decode(word.cast("binary"), "ISO-8859-1"), latin, start), F.lit(ZERO), F.lit("\0"))
@@ -273,28 +306,34 @@ def encoded(docs: DataFrame, path: str | None = None, carry: tuple[str, ...] | N
             bytes_ = np.concatenate([[0], np.cumsum(pc.binary_length(lists.values).to_numpy(zero_copy_only=False))])
             for a, b in _groups(np.diff(bytes_[ends])):
                 coded = lists.values.slice(ends[a], ends[b] - ends[a]).dictionary_encode()
-                at = pa.ListArray.from_arrays(pa.array(ends[a : b + 1] - ends[a], pa.int32()), coded.indices)
                 ids, back = table.value.known(coded.dictionary)
-                lacking = pc.if_else(pc.is_valid(ids), pa.scalar(None, pa.string()), coded.dictionary)
-                columns = (rows.slice(a, b - a), at, ids, back, lacking)
+                lacks = ids.is_null().to_numpy(zero_copy_only=False)
+                # runs of known words, each up to a word that the table lacks or to its text's end
+                gone = np.flatnonzero(lacks[coded.indices.to_numpy()])
+                bounds = ends[a : b + 1] - ends[a]
+                cuts = pa.array(np.sort(np.concatenate([bounds, gone + 1])), pa.int32())
+                runs = [pc.binary_join(pa.ListArray.from_arrays(cuts, pc.fill_null(x, "").take(coded.indices)), "") for x in (ids, back)]
+                per_text = np.searchsorted(gone, bounds)
+                segments, places = pa.array(per_text + np.arange(len(bounds)), pa.int32()), pa.array(per_text, pa.int32())
+                at = pa.array((np.cumsum(lacks) - 1)[coded.indices.to_numpy()[gone]], pa.int32())
+                parts = [*(pa.ListArray.from_arrays(segments, x) for x in runs), pa.ListArray.from_arrays(places, at)]
+                columns = (rows.slice(a, b - a), *parts, coded.dictionary.filter(pa.array(lacks)))
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in columns], names)
 
-    names = ["_rows", "_at", "_known", "_back", "_lacking"]
+    names = ["_rows", "_ids", "_back", "_at", "_lacking"]
     cut = docs.select(F.struct(*[F.col(c) for c in own], F.lit(0).alias("_")).alias("_row"), words(F.col("text")).alias("_words"))
     strings = T.ArrayType(T.StringType())
-    kinds = [T.ArrayType(cut.schema["_row"].dataType), T.ArrayType(T.ArrayType(T.IntegerType())), strings, strings, strings]
+    kinds = [T.ArrayType(cut.schema["_row"].dataType), T.ArrayType(strings), T.ArrayType(strings), T.ArrayType(T.ArrayType(T.IntegerType())), strings]
     groups = with_literals(cut.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])), vocab)
 
-    def joined(known: Column, at: Column) -> Column:
-        return F.array_join(F.transform(at, lambda i: F.get(known, i)), "")
+    def joined(text: Column, new: Column, name: str) -> Column:
+        return F.array_join(F.zip_with(text[f"_{name}"], text["_at"], lambda part, i: F.concat(part, F.coalesce(F.get(new, i)[name], F.lit("")))), "")
 
     def of_texts(new: Column) -> Column:
-        ids = F.zip_with("_known", new, lambda a, b: F.coalesce(a, b["ids"]))
-        back = F.zip_with("_back", new, lambda a, b: F.coalesce(a, b["back"]))
-        text = lambda ids, back: F.zip_with("_rows", "_at", lambda row, at: F.struct(row.alias("row"), joined(ids, at).alias("ids"), joined(back, at).alias("back")))
-        return _let(ids, lambda ids: _let(back, lambda back: text(ids, back)))
+        each = F.arrays_zip("_rows", "_ids", "_back", "_at")
+        return F.transform(each, lambda t: F.struct(t["_rows"].alias("row"), joined(t, new, "ids").alias("ids"), joined(t, new, "back").alias("back")))
 
-    new = _of_word(vocab, lambda of: F.transform("_lacking", lambda w: F.when(w.isNotNull(), of(w))))
+    new = _of_word(vocab, lambda of: F.transform("_lacking", of))
     texts = groups.select(F.inline(_let(new, of_texts)))
     return texts.select(*[F.col("row")[c].alias(c) for c in own], F.col("ids").alias("_ids"), F.col("back").cast("binary").alias("_decoded"))
 

@@ -17,6 +17,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that a side may have to be broadcast; beyond it the join is left to Spark.
 SMALL_ROWS = 10_000
 
+#: Bytes of rows that a Python worker gets at once, where an application calls small_batches().
+BATCH_BYTES = 8 << 20
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -28,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; a temporary one only where the cluster names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -42,6 +47,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds of its input; for applications, which own the session: operators don't call it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def packed(docs: DataFrame, *needed: str) -> DataFrame:
     """The whole row in _row, beside the columns needed: names in other columns then clash with nothing."""
     return docs.select(F.struct(*docs.columns).alias("_row"), *needed)
@@ -58,8 +68,8 @@ def drop_stored() -> None:
         spark, path = _written.pop()
         try:
             remove(path, spark)
-        except Exception:  # noqa: BLE001  the session may be gone
-            return
+        except Exception:  # noqa: BLE001  the session may be gone; the next table may be another's
+            continue
 
 
 atexit.register(drop_stored)

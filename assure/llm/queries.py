@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, html_extract, line_dedup, mixing, pii, quality, simhash, tokens, topk, url_filter
-from .common import table
+from .common import small_batches, table
 
 
 def op1_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,7 @@ def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return bpe.byte_bpe(table(spark, sf_dir, "documents"))
 
 
