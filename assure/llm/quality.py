@@ -1,80 +1,108 @@
 """Quality rules: base counts of words, symbols and repetitions, and bands of n-gram perplexity.
 
-The language model is a modified Kneser-Ney model of the characters in words, one for each language. Spark
-counts all n-grams of the corpus and derives discounts, continuation counts and probabilities by joins and
-aggregations. An n-gram is packed into 64 bits, 16 a character (code points beyond 16 bits share 2,048
-classes), and the model is stored in arrays sorted by that hash. Each language's perplexities have quartiles;
+The language model is a modified Kneser-Ney model of the characters of a text, its words joined by single spaces,
+so that n-grams cross from word to word; there is one for each language. Spark counts all n-grams of the corpus
+and derives discounts, continuation counts and probabilities by joins and aggregations. An n-gram is packed
+into 64 bits, 16 a character (code points beyond 16 bits share 2,048 classes), and the model is stored in arrays
+sorted by that hash, with log probabilities in whole millionths. Each language's perplexities have quartiles;
 documents outside their fences are rejected.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import arrow_extend, small, stored, texts_of
 
 ORDER = 4
 START, END = "\x02", "\x03"
-#: Distinct words that a task keeps counts of before it hands on their n-grams.
-WORDS_KEPT = 150_000
-#: n-grams of a model up to which it is broadcast; a larger one is joined.
-BROADCAST_GRAMS = 6_000_000
+#: Distinct n-grams that a task keeps counts of before it hands them on.
+GRAMS_KEPT = 1 << 20
+#: n-grams of a model, 12 bytes each, up to which it is broadcast; a larger one is joined, with equal scores.
+BROADCAST_GRAMS = 4_000_000
 #: Fences: so many interquartile ranges beyond the quartiles, and at least so far (natural log of perplexity).
-FENCE, LEAST_WIDTH = 4.0, 0.1
+FENCE, LEAST_WIDTH = 3.0, 0.1
 #: Share of the model of all languages together in a top-order probability: a passage in another language is no junk.
 POOLED = 0.3
 #: Steps of log perplexity in the histogram that the quartiles are read from.
 STEP = 1e-4
+#: Units of a natural logarithm that scores are summed in.
+UNIT = 1e6
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
+#: Bytes of text that are taken together; characters whose n-grams are made at once.
+GROUP_BYTES, PIECE = 1 << 20, 1 << 20
 
 
-def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of the words, one for each character and the end, one word after the other; and how many a word has."""
-    pad = START * (ORDER - 1)
-    a = np.frombuffer("".join(pad + w + END for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
-    a = np.where(a > 0xFFFF, 0xD800 + (a & 0x7FF), a).astype(np.uint64)
-    n = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    first = np.concatenate([[0], np.cumsum(n + ORDER - 1)[:-1]]) + ORDER - 1
-    at = np.arange(int(n.sum())) + np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-    grams = np.zeros(len(at), np.uint64)
-    for back in range(ORDER - 1, -1, -1):
-        grams = (grams << np.uint64(16)) | a[at - back]
-    return grams.view(np.int64), n
+def _pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The n-grams of the texts, one for each character and the end, and the number of the text that each is of."""
+    a = np.frombuffer("".join(START * (ORDER - 1) + t + END for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    a = np.where(a > 0xFFFF, 0xD800 + (a & 0x7FF), a).astype(np.uint16)
+    size = np.fromiter(map(len, texts), np.int64, len(texts)) + ORDER
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+    inside = np.ones(len(a), bool)
+    for k in range(ORDER - 1):
+        inside[np.cumsum(size) - size + k] = False
+    for first in range(0, len(a), PIECE):
+        at = first + np.flatnonzero(inside[first : first + PIECE])
+        grams = np.zeros(len(at), np.uint64)
+        for back in range(ORDER - 1, -1, -1):
+            grams = (grams << np.uint64(16)) | a[at - back]
+        yield grams.view(np.int64), text[at]
 
 
-def _grams_of(counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-    grams, n = _codes([w.decode("utf-8", "replace") for w in counts])
-    weights = np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), n)
-    found, place = np.unique(grams, return_inverse=True)
-    return found, np.bincount(place, weights, len(found)).astype(np.int64)
+def _text_of(words: list[bytes]) -> str:
+    return b" ".join(words).decode("utf-8", "replace")
+
+
+def _summed(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    found, place = np.unique(np.concatenate(grams), return_inverse=True)
+    return found, np.bincount(place, np.concatenate(counts), len(found)).astype(np.int64)
+
+
+def _counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of some texts, and how often each is there."""
+    parts = [np.unique(g, return_counts=True) for g, _ in _pieces(texts)]
+    return parts[0] if len(parts) == 1 else _summed([g for g, _ in parts], [c for _, c in parts])
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
     """lang, g, c: how often each n-gram of the highest order is in the texts of a language; all documents count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str | None, Counter] = {}
+        waiting: dict[str | None, list[str]] = {}
+        size: dict[str | None, int] = {}
+        held: dict[str | None, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def count(lang: str | None) -> None:
+            held.setdefault(lang, []).append(_counted(waiting.pop(lang)))
+            size[lang] = 0
+            if sum(len(g) for g, _ in held[lang]) > GRAMS_KEPT:
+                held[lang] = [_summed([g for g, _ in held[lang]], [c for _, c in held[lang]])]
 
         def flush(lang: str | None) -> pa.RecordBatch:
-            g, c = _grams_of(words.pop(lang))
+            g, c = _summed([g for g, _ in held[lang]], [c for _, c in held.pop(lang)])
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(c)], ["lang", "g", "c"])
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), texts_of(batch)):
-                own = words.setdefault(lang, Counter())
-                own.update(text.encode("utf-8", "replace").split())
-                if len(own) > WORDS_KEPT:
-                    yield flush(lang)
-        for lang in [x for x in words if words[x]]:
+                words = text.encode("utf-8", "replace").split()
+                if words:
+                    waiting.setdefault(lang, []).append(_text_of(words))
+                    size[lang] = size.get(lang, 0) + len(text)
+                    if size[lang] > GROUP_BYTES:
+                        count(lang)
+                        if len(held[lang]) == 1 and len(held[lang][0][0]) > GRAMS_KEPT // 2:
+                            yield flush(lang)
+        for lang in list(waiting):
+            count(lang)
+        for lang in list(held):
             yield flush(lang)
 
     counted = docs.select("lang", "text").mapInArrow(run, "lang string, g long, c long")
@@ -144,53 +172,26 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Sorted arrays of n-gram hashes with their log probabilities and context weights, by language and order."""
+    """The n-grams of the highest order of each language, sorted by hash, with their log probabilities in UNITs."""
 
     def __init__(self, rows: pa.Table):
-        self.arrays: dict[tuple[str | None, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.arrays: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
         langs = rows["lang"].combine_chunks().dictionary_encode(null_encoding="encode")
-        codes = {x: k for k, x in enumerate(langs.dictionary.to_pylist())}
-        own = langs.indices.to_numpy()
-        n, g = rows["n"].to_numpy(), rows["g"].to_numpy()
-        logp, gamma = (np.nan_to_num(rows[c].to_numpy(zero_copy_only=False)) for c in ("logp", "loggamma"))
-        order = np.lexsort((g, n, own))
-        own, n, g, logp, gamma = own[order], n[order], g[order], logp[order].astype(np.float32), gamma[order].astype(np.float32)
-        for lang, k in codes.items():
-            for o in range(1, ORDER + 1):
-                a = np.searchsorted(own, k), np.searchsorted(own, k, "right")
-                b = a[0] + np.searchsorted(n[slice(*a)], o), a[0] + np.searchsorted(n[slice(*a)], o, "right")
-                self.arrays[lang, o] = g[slice(*b)], logp[slice(*b)], gamma[slice(*b)]
-
-    def _find(self, lang: str | None, n: int, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys = self.arrays[lang, n][0]
-        at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-        return at, keys[at] == g
-
-    def logp(self, lang: str | None, grams: np.ndarray) -> np.ndarray:
-        """Of the last character of each n-gram of the highest order, with back-off to what is known."""
-        out = np.zeros(len(grams))
-        open_ = np.arange(len(grams))
-        for n in range(ORDER, 0, -1):
-            g = grams[open_] & np.int64((1 << 16 * n) - 1) if n < 4 else grams[open_]
-            at, found = self._find(lang, n, g)
-            out[open_[found]] += self.arrays[lang, n][1][at[found]]
-            open_, g = open_[~found], g[~found]
-            if not len(open_):
-                return out
-            if n > 1:
-                at, found = self._find(lang, n - 1, (g.view(np.uint64) >> np.uint64(16)).view(np.int64))
-                out[open_[found]] += self.arrays[lang, n - 1][2][at[found]]
-        out[open_] += self.arrays[lang, 1][1].min() - 1
-        return out
-
-    def words(self, lang: str | None, words: list[bytes]) -> dict[bytes, tuple[float, int]]:
-        """Log probability and number of predicted characters of each."""
-        if (lang, 1) not in self.arrays or not words:
-            return {}
-        grams, n = _codes([w.decode("utf-8", "replace") for w in words])
-        found, place = np.unique(grams, return_inverse=True)
-        total = np.add.reduceat(self.logp(lang, found)[place], np.concatenate([[0], np.cumsum(n)[:-1]]))
-        return dict(zip(words, zip(total.tolist(), n.tolist())))
+        own, g, lp = langs.indices.to_numpy(), rows["g"].to_numpy(), rows["lp"].to_numpy()
+        order = np.lexsort((g, own))
+        own, g, lp = own[order], g[order], lp[order].astype(np.int32)
+        for k, lang in enumerate(langs.dictionary.to_pylist()):
+            part = slice(np.searchsorted(own, k), np.searchsorted(own, k, "right"))
+            self.arrays[lang] = g[part], lp[part]
+
+    def sums(self, lang: str | None, texts: list[str]) -> tuple[list[int], list[int]]:
+        """Of each text, whose n-grams the model has counted: its log probability and number of n-grams."""
+        keys, lp = self.arrays[lang]
+        total, n = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for grams, text in _pieces(texts):
+            total += np.bincount(text, lp[np.searchsorted(keys, grams)], len(texts)).astype(np.int64)
+            n += np.bincount(text, minlength=len(texts))
+        return total.tolist(), n.tolist()
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -227,47 +228,35 @@ def base_counts(text: str) -> tuple[list[bytes], list]:
     return words, [n, len(text) - spaces, symbols, dup, repeat, n < 50 or 100 * repeat > 50 * n]
 
 
-#: Bytes of text of which the distinct words are scored together.
-GROUP_BYTES = 2 << 20
-
-
 def scored(docs: DataFrame, model) -> DataFrame:
-    """docs with the columns of BASE and logppl (null where a text has no word or its language no model).
+    """docs with the columns of BASE and logppl (null where a text has no word).
 
-    model: a broadcast Model, or None for the base columns alone.
+    model: a broadcast Model of all words of docs, or None for the base columns alone.
     """
 
     def of_batch(batch: pa.RecordBatch) -> list:
         rows: list[list] = []
-        logppl: list[float | None] = []
+        logppl: list[float | None] = [None] * batch.num_rows
         langs = batch.column("lang").to_pylist() if model else [None] * batch.num_rows
-        waiting: list[tuple[str | None, list[bytes]]] = []
-        size = 0
-
-        def score() -> None:
-            scores = {
-                lang: model.value.words(lang, sorted(set().union(*[w for x, w in waiting if x == lang])))
-                for lang in dict.fromkeys(x for x, _ in waiting)
-            }
-            for lang, words in waiting:
-                own = scores[lang]
-                got = [own[w] for w in words] if own else []
-                logppl.append(-sum(p for p, _ in got) / sum(n for _, n in got) if got else None)
-            waiting.clear()
-
-        for lang, text in zip(langs, texts_of(batch)):
+        waiting: dict[str | None, list[tuple[int, str]]] = {}
+        size: dict[str | None, int] = {}
+
+        def score(lang: str | None) -> None:
+            places, texts = zip(*waiting.pop(lang))
+            size[lang] = 0
+            for i, total, n in zip(places, *model.value.sums(lang, list(texts))):
+                logppl[i] = -float(total) / UNIT / n
+
+        for i, (lang, text) in enumerate(zip(langs, texts_of(batch))):
             words, counts = base_counts(text)
             rows.append(counts)
-            if model:
-                waiting.append((lang, words))
-                size += len(text)
-                if size > GROUP_BYTES:
-                    score()
-                    size = 0
-        if model:
-            score()
-        else:
-            logppl = [None] * len(rows)
+            if model and words:
+                waiting.setdefault(lang, []).append((i, _text_of(words)))
+                size[lang] = size.get(lang, 0) + len(text)
+                if size[lang] > GROUP_BYTES:
+                    score(lang)
+        for lang in list(waiting):
+            score(lang)
         return [*zip(*rows), logppl]
 
     return arrow_extend(docs, of_batch, BASE + ", logppl double")
@@ -280,13 +269,8 @@ def bands(rows: DataFrame) -> DataFrame:
     """
     used = rows.where("not base_failed and logppl is not null").select("lang", "_text", F.round(F.col("logppl") / STEP).cast("long").alias("at"))
     bins = used.distinct().groupBy("lang", "at").agg(F.count("*").alias("n"))
-    upto = W.partitionBy("lang").orderBy("at")
-    bins = bins.withColumn("to", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(W.partitionBy("lang")))
-
-    def quartile(k: int) -> Column:
-        return F.min(F.when(F.col("to") * 4 >= F.col("all") * k, F.col("at"))) * STEP
-
-    q = bins.groupBy("lang").agg(quartile(1).alias("q1"), quartile(3).alias("q3"))
+    q = bins.groupBy("lang").agg(F.expr("percentile(at, array(0.25D, 0.75D), n)").alias("q"))
+    q = q.select("lang", (F.col("q")[0] * STEP).alias("q1"), (F.col("q")[1] * STEP).alias("q3"))
     width = F.greatest((F.col("q3") - F.col("q1")) * FENCE, F.lit(LEAST_WIDTH))
     return q.select("lang", (F.col("q1") - width).alias("low"), (F.col("q3") + width).alias("high"))
 
@@ -308,30 +292,31 @@ def model_rows(docs: DataFrame) -> DataFrame:
 
 def trained(docs: DataFrame):
     """The model of docs as a broadcast variable; as a table where it is too large for that, None without words."""
-    rows = stored(model_rows(docs))
+    top = model_rows(docs).where(F.col("n") == ORDER)
+    rows = stored(top.select("lang", "g", F.round(F.col("logp") * UNIT).cast("long").alias("lp")))
     n = rows.count()
     if not n or n > BROADCAST_GRAMS:
         return rows if n else None
     return docs.sparkSession.sparkContext.broadcast(Model(rows.toArrow()))
 
 
-def _joined_scores(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """scored(), with a model that is too large to broadcast: each document's n-grams meet it in a join."""
+def _joined_scores(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """scored(), with a model that is too large to broadcast: each document's distinct n-grams meet it in a join."""
 
-    def of_doc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, lang, text in zip(batch.column("_key").to_pylist(), batch.column("lang").to_pylist(), texts_of(batch)):
-                words = Counter(text.encode("utf-8", "replace").split())
+                words = text.encode("utf-8", "replace").split()
                 if words:
-                    g, c = _grams_of(words)
+                    g, c = _counted([_text_of(words)])
                     yield pa.RecordBatch.from_arrays([pa.array([key] * len(g), pa.int64()), pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(c)], ["_key", "lang", "g", "c"])
 
     key = F.xxhash64("lang", "text")
     texts = docs.select(key.alias("_key"), "lang", "text").dropDuplicates(["_key"])
-    asked = texts.mapInArrow(of_doc, "_key long, lang string, g long, c long")
-    top = grams.where(F.col("n") == ORDER).select(F.col("lang").alias("_l"), F.col("g").alias("_g"), "logp")
+    asked = texts.mapInArrow(run, "_key long, lang string, g long, c long")
+    top = model.select(F.col("lang").alias("_l"), F.col("g").alias("_g"), "lp")
     met = asked.join(top, asked["lang"].eqNullSafe(F.col("_l")) & (asked["g"] == F.col("_g")))
-    sums = met.groupBy("_key").agg((-F.sum((F.col("logp") * F.col("c")).cast("decimal(30,12)")).cast("double") / F.sum("c")).alias("_ppl"))
+    sums = met.groupBy("_key").agg((-F.sum(F.col("lp") * F.col("c")).cast("double") / UNIT / F.sum("c")).alias("_ppl"))
     base = scored(docs, None).drop("logppl").withColumn("_own", key)
     return base.join(sums, base["_own"] == sums["_key"], "left").drop("_own", "_key").withColumnRenamed("_ppl", "logppl")
 

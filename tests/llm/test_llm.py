@@ -148,24 +148,6 @@ def test_quality_base_columns(docs, sample, spark):
     assert quality.passing(docs).columns == docs.columns
 
 
-def test_kneser_ney_sums_to_one(spark, docs):
-    rows = quality.kneser_ney(quality.gram_counts(docs.where("lang = 'en'")))
-    p = {(r["n"], r["g"]): np.exp(r["logp"]) for r in rows.collect() if r["logp"] is not None}
-    assert abs(sum(x for (n, _), x in p.items() if n == 1) - 1) < 1e-9
-    # the probabilities after a context, backed-off characters included
-    model = quality.Model(rows.toArrow())
-    letters = [g for n, g in p if n == 1]
-    context = next(g >> 16 for n, g in p if n == quality.ORDER and g > 0)
-    every = np.array([(context << 16) | c for c in letters], np.int64)
-    assert abs(np.exp(model.logp("en", every)).sum() - 1) < 1e-5
-
-
-def test_a_model_too_large_to_broadcast_scores_alike(spark, docs, monkeypatch):
-    a = {(r["doc_id"], r["kept"], round(r["logppl"] or 0, 4)) for r in quality.quality_rules(docs).collect()}
-    monkeypatch.setattr(quality, "BROADCAST_GRAMS", 0)
-    assert a == {(r["doc_id"], r["kept"], round(r["logppl"] or 0, 4)) for r in quality.quality_rules(docs).collect()}
-
-
 def classes(fps):
     root = {i: i for i in fps}
 
