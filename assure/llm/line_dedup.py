@@ -15,7 +15,7 @@ from .common import packed, stored
 SITES = 10
 #: log2 of a sketch's buckets, and the relative error of its estimate that is taken as possible (over six deviations).
 LG_K, MARGIN = 12, 0.1
-#: The column that cleaned() adds.
+#: The column that cleaned() adds last; where docs has one of that name, it is called the same with one more underscore.
 REMOVED = "_lines_removed"
 
 
@@ -65,7 +65,7 @@ def removals(docs: DataFrame, sites: int = SITES) -> DataFrame:
 
 
 def cleaned(docs: DataFrame, sites: int = SITES) -> DataFrame:
-    """docs with the text that is left, and _lines_removed.
+    """docs with the text that is left, and as last column _lines_removed.
 
     A boilerplate line stays in the document with the smallest doc_id that has it, at its first place there.
     A text of which no line is left is empty; a null text stays null, and lines without a word are never
@@ -77,10 +77,15 @@ def cleaned(docs: DataFrame, sites: int = SITES) -> DataFrame:
     rows = packed(docs, F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_own"))
     joined = rows.join(gone, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
     text = F.col("_row")["text"]
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
+    # linear in the lines: the places that stay, by hashing, then the lines at them
+    stay = F.array_except(F.sequence(F.lit(0), F.size(F.split(text, "\n")) - 1), F.col("_gone"))
+    left = F.transform(F.array(F.split(text, "\n")), lambda ls: F.array_join(F.transform(stay, lambda i: F.get(ls, i)), "\n"))[0]
     text = F.when(F.col("_gone").isNull(), text).otherwise(left)
     own = [text.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns]
-    return joined.select(*own, F.coalesce(F.array_size("_gone"), F.lit(0)).alias(REMOVED))
+    removed = REMOVED
+    while removed in docs.columns:
+        removed = "_" + removed
+    return joined.select(*own, F.coalesce(F.array_size("_gone"), F.lit(0)).alias(removed))
 
 
 def line_dedup(docs: DataFrame, sites: int = SITES) -> DataFrame:

@@ -11,17 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assure.llm import bpe, line_dedup, mixing, quality, shingles
-from assure.llm.common import stored, table
+from assure.llm.common import small_batches, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or their language's perplexity bands reject go."""
+    small_batches(spark)
     return quality.passing(docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines on many sites stay only where they first appear; n_chars follows the text."""
-    rows = line_dedup.cleaned(docs).drop(line_dedup.REMOVED)
+    rows = line_dedup.cleaned(docs)
     return rows.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))).select(*docs.columns)
 
 
@@ -37,6 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document of the mix."""
+    small_batches(spark)
     rows = bpe.encoded(docs, carry=("doc_id", "lang", "source"))
     return rows.select("doc_id", "lang", "source", F.length("_ids").cast("long").alias("n_tokens"), bpe.id_bytes(F.col("_ids")).alias("ids"))
 
