@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's shared folder; one of our own only where none is set (tests)."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        found = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="assure-")
-        spark.sparkContext.setCheckpointDir(found)
+from assure.sources.shared import checkpoint_dir
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:

@@ -11,14 +11,28 @@ from pyspark.sql import functions as F
 from assure import oracles as O
 from assure.functions import dates, money, text
 from assure.operators import checks, constraints, linking, triage, units
-from assure.operators.components import checkpoint_dir, components
+from assure.operators.components import components
 from assure.plans import close, score, synth
-from assure.plans.projection import AS_OF, Records
+from assure.plans.projection import AS_OF, TABLES, Records
 from assure.sources import normalise
+from assure.sources.shared import checkpoint_dir, stamp, written
 
 
 class Run:
-    """The stages of one run over a folder of driver tables, each planned on first use."""
+    """The stages of one run over a folder of driver tables, each made on first use and written to the shared folder."""
+
+    _open: dict[tuple, Run] = {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> Run:
+        """The run of a folder: the one that is open in this application, as long as the folder's files are the same."""
+        own = (spark.sparkContext.applicationId, checkpoint_dir(spark), sf_dir)
+        files = tuple(stamp(spark, f"{sf_dir}/{t}.parquet") for t in TABLES)
+        found = cls._open.get(own)
+        if found is None or found.files != files or found.spark is not spark:
+            found = cls._open[own] = cls(spark, sf_dir)
+            found.files = files
+        return found
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         checkpoint_dir(spark)
@@ -35,7 +49,7 @@ class Run:
         bank = self.t("bank").select((F.col("bank_id") + F.lit(O.BANK_NODE)).alias("node"), F.col("utr").alias("value"))
         recon = self.t("recon").select(F.col("transfer_id").alias("node"), F.col("utr").alias("value"))
         orders = self.t("intent").select(F.col("k").alias("node"), F.lit(None).cast("string").alias("value"))
-        return components(orders.unionByName(recon).unionByName(bank))
+        return written(components(orders.unionByName(recon).unionByName(bank)))
 
     @cached_property
     def routed(self) -> DataFrame:
@@ -51,20 +65,21 @@ class Run:
             .unionByName(side(self.t("recon"), F.col("transfer_id"), "razorpay", 2, **recon))
             .unionByName(side(self.t("bank"), F.col("bank_id") + F.lit(O.BANK_NODE), "bank", 3))
         )
-        return linking.route(members.join(self.chains, "node"))
+        return written(linking.route(members.join(self.chains, "node")))
 
     @cached_property
     def pending(self) -> DataFrame:
-        return self.routed.where("kind = 'pending'").select(F.col("component").alias("pending_id"), "target_paise", "settlement_id", "settled").checkpoint()
+        return self.routed.where("kind = 'pending'").select(F.col("component").alias("pending_id"), "target_paise", "settlement_id", "settled")
 
     @cached_property
     def orphans(self) -> DataFrame:
         alone = self.chains.where(F.col("component") >= O.BANK_NODE).select((F.col("component") - F.lit(O.BANK_NODE)).alias("bank_id"))
-        return self.t("bank").join(alone, "bank_id").select("bank_id", "amount", "credited").checkpoint()
+        return self.t("bank").join(alone, "bank_id").select("bank_id", "amount", "credited")
 
     @cached_property
     def linked(self) -> linking.Linked:
-        return linking.link(self.pending, self.orphans)
+        made = linking.link(self.pending, self.orphans)
+        return linking.Linked(written(made.groups), written(made.ambiguous), written(made.unmatched_banks))
 
     @cached_property
     def banked(self) -> DataFrame:
@@ -76,7 +91,7 @@ class Run:
 
     @cached_property
     def units(self) -> DataFrame:
-        return checks.amounts(units.units(self.records, AS_OF, self.banked), AS_OF).checkpoint()
+        return written(checks.amounts(units.units(self.records, AS_OF, self.banked), AS_OF))
 
     @cached_property
     def findings(self) -> DataFrame:
@@ -90,7 +105,7 @@ class Run:
         torn = tied.groupBy("pass", "pending_id").agg(F.min("key").alias("k2"), F.min_by("amount", "key").alias("amount"))
         torn = torn.select(F.col("k2").alias("key"), "amount", F.concat(F.lit("ambiguous in "), "pass").alias("reason"))
         found = self.findings.select(F.concat("defect", F.lit("/"), text.record_key("ord", "k")).alias("key"), "amount", F.col("defect").alias("reason"))
-        return triage.queue(loose, torn, found)
+        return written(triage.queue(loose, torn, found))
 
     @cached_property
     def raw_intent(self) -> DataFrame:
@@ -129,7 +144,7 @@ def query(sql: str | None = None):
     """Register a function of a Run under its name, with its SQL."""
 
     def add(f: Callable[[Run], DataFrame]) -> Callable[[Run], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Run(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Run.of(spark, sf_dir))
         if sql is not None:
             SQL[f.__name__] = sql
         return f
@@ -296,7 +311,7 @@ def match_residual(r: Run) -> DataFrame:
 
 @query(f"{O.LINK} SELECT (SELECT COUNT(*) FROM pend) AS chains, (SELECT COUNT(*) FROM pend) AS grouped, (SELECT COUNT(*) FROM orph) AS banks, (SELECT COUNT(*) FROM claims) AS claimed, (SELECT COUNT(*) FROM loose) AS loose, CAST(0 AS BIGINT) AS twice")
 def match_conservation(r: Run) -> DataFrame:
-    groups = r.linked.groups.checkpoint()
+    groups = r.linked.groups
     twice = groups.where("bank_id is not null").groupBy("bank_id").agg(F.count_distinct("pending_id").alias("n"), F.count_distinct("pass").alias("p")).where("p > 1")
     return close.facts(
         r.pending.agg(F.count("*").alias("chains")), groups.agg(F.count_distinct("pending_id").alias("grouped")), r.orphans.agg(F.count("*").alias("banks")),

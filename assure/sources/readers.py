@@ -27,7 +27,7 @@ def numbered(rows: DataFrame, order: str) -> DataFrame:
     spark = rows.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = rows.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    from assure.operators.components import checkpoint_dir
+    from assure.sources.shared import checkpoint_dir
 
     checkpoint_dir(spark)
     placed = placed.checkpoint()
