@@ -1,5 +1,7 @@
 """PII: fixed patterns find seed entities; bootstrapped contexts find identifiers that the patterns miss.
 
+Beside the four kinds of the fixed patterns there are secrets: keys and tokens. Strings in well-known formats are
+their seeds, but none is taken for a secret by its form alone, only where patterns say so.
 Seeds induce lexical patterns, the words around them. Patterns and the identifier-like strings that occur in
 them form a bipartite graph, which Spark scores in rounds until one accepts nothing new: a pattern's confidence is the share of its
 instances that are known, an instance's score the chance that not all of its patterns err. Instances that
@@ -19,6 +21,9 @@ from pyspark.sql import functions as F
 from .common import arrow_map, stored, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = "secret"
+#: Kinds in the order in which spans of one start are listed.
+ORDERED = (*KINDS, SECRET)
 #: Known instances that a pattern needs; least confidence of a pattern, score of an instance.
 SUPPORT, CONFIDENCE, SCORE = 3, 0.7, 0.7
 
@@ -31,6 +36,11 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]+")
 #: Strings that might be identifiers which the patterns above don't take.
 _LIKE = re.compile(r"[^\s@]{1,64}@[^\s@]{1,255}|[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,}|(?<![0-9])[0-9]{1,3}(?:[.,:\x20]{1,3}[0-9]{1,3}){3}")
+#: Strings that might be secrets: long runs of letters and digits mixed.
+_MIXED = re.compile(r"[A-Za-z0-9_+/=-]{16,}")
+# Formats of well-known keys and tokens, as prefixes or as hexadecimal digits of usual lengths.
+_KEYS = re.compile(r"(?:AKIA|ASIA|ghp_|gho_|github_pat_|sk_live_|sk_test_|xoxb-|xoxp-|AIza|eyJ).*|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}", re.S)
+_CONTEXT = re.compile(r"\w+|[=:#@]")
 _EDGE = ".,;:!?\"'()[]{}<>"
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -80,10 +90,29 @@ def _may_be(instance: str) -> list[str]:
     return kinds + ["card"] * (12 <= digits <= 19) + ["phone"] * (7 <= digits <= 15)
 
 
-def like_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, list[str]]]:
-    """start, end and possible kinds of the identifier-like strings that overlap no base span."""
+def mixed_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, bool]]:
+    """start, end and whether it is in a well-known format, of the strings that might be secrets: base spans are within them or apart."""
     out, k = [], 0
     taken = sorted((s, e) for s, e, _ in base)
+    for m in _MIXED.finditer(text):
+        s, e = m.span()
+        own = m[0]
+        digits = sum(map(own.count, "0123456789"))
+        if digits < 3 or sum(map(str.isalpha, own)) < 3:
+            continue
+        while k < len(taken) and taken[k][1] <= s:
+            k += 1
+        # digits inside a key may look like a card by chance; an address reaches beyond the run
+        near = [(a, b) for a, b in taken[max(0, k - 4) : k + 4] if a < e and s < b]
+        if all(s <= a and b <= e for a, b in near):
+            out.append((s, e, bool(_KEYS.fullmatch(own))))
+    return out
+
+
+def like_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, list[str]]]:
+    """start, end and possible kinds of the identifier-like strings that overlap none of the places taken."""
+    out, k = [], 0
+    taken = sorted(taken)
     for m in _LIKE.finditer(text):
         s, e = m.start(), m.end()
         while s < e and text[s] in _EDGE and not (text[s] == "(" and ")" in text[s:e]):
@@ -100,11 +129,21 @@ def like_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns of a place: the two words before it, and the words on both sides."""
-    before = [w.strip(_EDGE).lower() for w in text[max(0, start - 80) : start].split()[-2:]]
-    after = [w.strip(_EDGE).lower() for w in text[end : end + 40].split()[:1]]
-    left, right = (["", ""] + before)[-2:], (after + [""])[0]
-    return [f"{left[0]} {left[1]} _", f"{left[1]} _ {right}"]
+    """The lexical patterns of a place: the two words or signs before it, and those on both sides, whole."""
+    near = 64
+    before: list[str] = []
+    while True:  # as far back as two whole words need
+        first = max(0, start - near)
+        before = _CONTEXT.findall(text[first:start].lower())
+        if len(before) > 2 or first == 0 or near > 4096:
+            break
+        near *= 4
+    after = ""
+    m = _CONTEXT.search(text, end, end + 64)
+    if m:
+        after = _CONTEXT.match(text, m.start(), m.start() + 4096)[0].lower()
+    left = (["", ""] + before[-2:])[-2:]
+    return [f"{left[0]} {left[1]} _", f"{left[1]} _ {after}"]
 
 
 def _span_text(spans: list[tuple[int, int, str]]) -> str:
@@ -121,9 +160,12 @@ def scanned(docs: DataFrame) -> DataFrame:
             joined = _span_text(base)
             row = {"key": xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63), "base": joined, "base_sha256": hashlib.sha256(joined.encode()).hexdigest()}
             row |= {f"n_{k}": sum(x[2] == k for x in base) for k in KINDS}
-            mentions = [(s, e, k, True) for s, e, k in base] + [(s, e, k, False) for s, e, ks in like_spans(text, base) for k in ks]
+            mixed = mixed_spans(text, base)
+            like = like_spans(text, [x[:2] for x in base] + [x[:2] for x in mixed])
+            # 2: a span of its own right, 1: a seed that patterns have to confirm, 0: unknown
+            mentions = [(s, e, k, 2) for s, e, k in base] + [(s, e, SECRET, int(known)) for s, e, known in mixed] + [(s, e, k, 0) for s, e, ks in like for k in ks]
             row |= {"m_start": [m[0] for m in mentions], "m_end": [m[1] for m in mentions], "m_kind": [m[2] for m in mentions]}
-            row |= {"m_seed": [int(m[3]) for m in mentions], "m_text": [text[m[0] : m[1]].lower() for m in mentions]}
+            row |= {"m_seed": [m[3] for m in mentions], "m_text": [text[m[0] : m[1]].lower() for m in mentions]}
             around = [contexts(text, m[0], m[1]) for m in mentions]
             row |= {"m_left": [c[0] for c in around], "m_both": [c[1] for c in around]}
             for name, x in row.items():
@@ -140,18 +182,18 @@ def scanned(docs: DataFrame) -> DataFrame:
 def bootstrap(pairs: DataFrame, rounds: int = 100) -> DataFrame:
     """instance, kind of the identifier-like strings that the graph accepts, in rounds until nothing new is accepted.
 
-    pairs: distinct pattern, instance, kind, seed. What is known only grows, so a round accepts all that the one
+    pairs: distinct pattern, instance, kind, seed (2: known and a span already, 1: known, 0: not known). What is known only grows, so a round accepts all that the one
     before it did; a graph that has not settled after `rounds` is an error. Sums are of whole numbers, so a result does not depend on
     the order in which they are taken.
     """
-    known = stored(pairs.where("seed").select("instance", "kind").distinct())
+    known = stored(pairs.where("seed > 0").select("instance", "kind").distinct())
     sizes = stored(pairs.groupBy("pattern").agg(F.count_distinct("instance").alias("instances")))
     for _ in range(rounds):
         support = pairs.join(known, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.count_distinct("instance").alias("good"))
         confident = support.where(F.col("good") >= SUPPORT).join(sizes, "pattern")
         confident = confident.withColumn("confidence", F.col("good") / (F.col("instances") + 1)).where(F.col("confidence") >= CONFIDENCE)
         doubt = F.sum(F.round(-1e6 * F.log1p(-F.col("confidence"))).cast("long"))
-        scores = pairs.where("not seed").join(confident, ["pattern", "kind"]).groupBy("instance", "kind").agg(doubt.alias("weight"))
+        scores = pairs.where("seed < 2").select("pattern", "instance", "kind").join(confident, ["pattern", "kind"]).groupBy("instance", "kind").agg(doubt.alias("weight"))
         accepted = stored(scores.where(1 - F.exp(-F.col("weight") / 1e6) >= SCORE))
         more = stored(accepted.select("instance", "kind").join(known, ["instance", "kind"], "left_anti"))
         if more.isEmpty():
@@ -159,7 +201,7 @@ def bootstrap(pairs: DataFrame, rounds: int = 100) -> DataFrame:
         known = stored(known.union(more))
     else:
         raise RuntimeError(f"the bootstrap did not settle in {rounds} rounds")
-    order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
+    order = F.array_position(F.array(*[F.lit(k) for k in ORDERED]), F.col("kind"))
     return accepted.groupBy("instance").agg(F.max_by("kind", F.struct("weight", -order)).alias("kind"))
 
 
@@ -168,7 +210,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     The counts and base_sha256 are of the fixed patterns alone; spans holds theirs and, beside them, the
     n_found that the contexts discovered. A null text counts as empty; rows without a doc_id are told
-    apart by their text. Whole texts of any length are read;
+    apart by their text. Kinds found are the four and secret, which sorts after them. Whole texts of any length are read;
     repeated rows give repeated results, and copies of a text count once as evidence of a pattern, since
     instances are counted as distinct strings. An empty table gives an empty one; other columns are ignored.
     """
@@ -177,15 +219,15 @@ def personal_data(docs: DataFrame) -> DataFrame:
     mention = F.explode(F.arrays_zip(*[F.col(f"m_{c}").alias(c) for c in columns])).alias("m")
     mentions = rows.where(F.size("m_kind") > 0).select("doc_id", "key", mention).select("doc_id", "key", "m.*")
     pattern = F.explode(F.array(F.concat(F.lit("l:"), "left"), F.concat(F.lit("b:"), "both"))).alias("pattern")
-    pairs = mentions.select(pattern, F.col("text").alias("instance"), "kind", (F.col("seed") == 1).alias("seed")).distinct()
+    pairs = mentions.select(pattern, F.col("text").alias("instance"), "kind", "seed").distinct()
     accepted = bootstrap(stored(pairs))
     found = (
-        mentions.where("seed = 0")
+        mentions.where("seed < 2")
         .join(accepted.select(F.col("instance").alias("text"), "kind"), ["text", "kind"])
         .groupBy("doc_id", "key")
         .agg(F.collect_set(F.struct("start", "end", "kind")).alias("found"))
     )
-    order = F.array(*[F.lit(k) for k in KINDS])
+    order = F.array(*[F.lit(k) for k in ORDERED])
     item = F.split(F.col("base"), ",")
     base = F.transform(
         F.filter(item, lambda x: x != ""),
