@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, stored, texts_of
+from .common import arrow_map, small, stored, texts_of
 from .components import components
 
 BITS = 64
@@ -86,9 +86,14 @@ def ring_fits(x: Column, y: Column, first: Column, m: int, most: int) -> Column:
 
 
 def links(distinct: DataFrame, most: int = 2, m: int = 5, bucket: int = 48) -> DataFrame:
-    """Edges (a, b) that join exactly the values of distinct (fp) which links of `most` bits connect."""
-    if most != 2:
-        raise ValueError("large buckets are resolved for a distance of 2")
+    """Edges (a, b) that join exactly the values of distinct (fp) which links of `most` bits connect.
+
+    most: 0, 1 or 2; what lies near a crowded bucket's values is exact up to a distance of 2.
+    """
+    if not 0 <= most <= 2:
+        raise ValueError("crowded buckets are resolved for distances up to 2")
+    if most == 0:  # equal values are one value
+        return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
     zero = [n for n in range(1, m + 1) if n * most // m == 0]
     equal = max(zero)  # segments that the key holds
     keys = stored(
@@ -119,6 +124,10 @@ def links(distinct: DataFrame, most: int = 2, m: int = 5, bucket: int = 48) -> D
     ).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
     crowded = keys.join(large, ["first", "part"], "left_semi").select("fp").distinct()
+    if most == 1:  # two values one bit apart: each is in the other's ball
+        pairs_of = crowded.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(_signed(1 << k))) for k in range(BITS)])).alias("value"))
+        met = pairs_of.join(crowded.select(F.col("fp").alias("value")), "value").where("fp < value")
+        return pairs.unionByName(met.select(F.col("fp").alias("a"), F.col("value").alias("b"))).distinct()
     ball = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << k))) for k in range(BITS)])
     # fingerprints of one crowd that have a value in common are linked to the least of them
     near = stored(crowded.select("fp", F.explode(ball).alias("value")))
@@ -149,7 +158,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 2) -> DataFra
     )
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, most: int = 2) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; of repeated rows with it, all."""
-    kept = near_duplicates(docs, shingle, most).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+def keep_one(docs: DataFrame, shingle: int = 5, most: int = 2) -> DataFrame:
+    """Of each group of near copies the row with the smallest doc_id.
+
+    Groups are what links of fingerprints connect. Rows without a doc_id come after all others, and those are told
+    apart by their text; rows equal to the one that stays in doc_id and text stay with it. A null text counts as
+    empty, and texts without words are copies of each other; an empty table gives an empty one.
+    """
+    text_key = F.xxhash64("text")
+
+    def of_batch(batch: pa.RecordBatch) -> dict:
+        fps = np.array([fingerprint(t, shingle) for t in texts_of(batch)], np.uint64)
+        return {"doc_id": batch.column("doc_id"), "t": batch.column("t"), "fp": fps.view(np.int64)}
+
+    own = arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key.alias("t"), "text"), of_batch, "doc_id long, t long, fp long")
+    first = stored(own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("first")))
+    roots = components(links(first.select("fp"), most)).withColumnRenamed("node", "fp")
+    best = first.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    keys = stored(best.select(F.col("first.doc_id").alias("_near_id"), F.col("first.t").alias("_near_text")))
+    return docs.join(small(keys), F.col("doc_id").cast("long").eqNullSafe(F.col("_near_id")) & (text_key == F.col("_near_text")), "left_semi")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assure.llm import bpe, line_dedup, mixing, quality, shingles
+from assure.llm import bpe, line_dedup, mixing, quality, simhash
 from assure.llm.common import small_batches, stored, table
 
 
@@ -27,8 +27,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (5-word shingles, Jaccard of 4/5 or more) the document with the smallest doc_id stays."""
-    return shingles.keep_one(docs)
+    """Of each group of near copies (fingerprints of 5-word shingles, 62 of 64 bits alike) the document with the smallest doc_id stays."""
+    return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Rows without a doc_id keep their results."""
 
 from test_llm import documents
-from test_shingles import brute, kept, near_copies
+from test_near_dedup import brute, kept, near_copies
 
 from assure.llm import line_dedup, pii
 
