@@ -28,6 +28,11 @@ def utc_text(instant) -> Column:
     return F.date_format(col(instant), UTC_TEXT)
 
 
+def ist_text(instant) -> Column:
+    """An instant as the ledger writes it, in IST."""
+    return F.date_format(F.from_utc_timestamp(col(instant), "Asia/Kolkata"), "yyyy-MM-dd HH:mm:ss")
+
+
 def period(instant) -> Column:
     return F.date_format(col(instant), "yyyy-MM")
 

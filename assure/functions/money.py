@@ -72,6 +72,12 @@ def format_inr(paise) -> Column:
     return F.concat(F.when(p < 0, F.lit("-")).otherwise(F.lit("")), F.lit("₹"), grouped, F.lit("."), rest)
 
 
+def rupee_text(paise) -> Column:
+    """Rupees as the source files write them: no grouping, two decimals."""
+    p = col(paise).cast("long")
+    return F.concat(F.when(p < 0, F.lit("-")).otherwise(F.lit("")), div(F.abs(p), 100).cast("string"), F.lit("."), F.lpad((F.abs(p) % 100).cast("string"), 2, "0"))
+
+
 def severity(amount) -> Column:
     a = col(amount)
     return F.when(a >= 100_000, "high").when(a >= 10_000, "medium").otherwise("low")

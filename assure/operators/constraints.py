@@ -45,3 +45,19 @@ def enforce(*checks: DataFrame) -> None:
 def money_columns_are_whole(schema: T.StructType) -> list[str]:
     """Names of *_paise columns that are not BIGINT."""
     return [f.name for f in schema if f.name.endswith("_paise") and not isinstance(f.dataType, T.LongType)]
+
+
+def json_valid(name: str, df: DataFrame, column: str, key: str) -> DataFrame:
+    """Texts that are no JSON."""
+    return _rows(name, df.where(F.col(column).isNotNull() & F.try_parse_json(column).isNull()), F.col(key))
+
+
+def conserved(name: str, before: DataFrame, after: DataFrame) -> DataFrame:
+    """A row for each one that went missing or came from nowhere between two tables of one column of keys."""
+    both = before.groupBy("k").agg(F.count("*").alias("b")).join(after.groupBy("k").agg(F.count("*").alias("a")), "k", "full")
+    return _rows(name, both.where(F.coalesce("a", F.lit(0)) != F.coalesce("b", F.lit(0))), F.col("k"))
+
+
+def counted(named: dict[str, DataFrame]) -> DataFrame:
+    """constraint, n of each constraint, 0 where it holds."""
+    return reduce(DataFrame.unionByName, [rows.agg(F.lit(name).alias("constraint"), F.count("*").alias("n")) for name, rows in named.items()])

@@ -18,23 +18,43 @@ from pyspark.sql import functions as F
 
 from assure.functions.dates import within_days
 from assure.functions.money import Tolerance, sum_paise
+from assure.functions.text import record_key
+from assure.sources.readers import numbered
 
-#: Confidence of each pass in basis points, and its rule.
+# Confidence of each pass in basis points, its rule, and the order in which their groups are numbered.
 CONFIDENCE = {"P0": 10_000, "P1": 9_500, "P2": 9_000, "P3": 7_000}
 RULE = {"P0": "ID_CHAIN", "P1": "EXACT_COMPOSITE", "P2": "GROUP_SUBSET_SUM", "P3": "TOL_BAND"}
 #: Candidates up to which subsets are tried, and members of a subset.
 POOL, MEMBERS = 40, 5
 
 
-def join_edges(orders: DataFrame, recon: DataFrame, bank: DataFrame) -> DataFrame:
+def record_edges(records) -> DataFrame:
+    """key, field, value: by what each record joins others. records: anything with the canonical tables."""
+
+    def of(table: str, prefix: str, number: str, *edges: tuple[str, Column]) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(field).alias("field"), value.alias("value")) for field, value in edges])).alias("e")
+        return records.table(table).select(record_key(prefix, number).alias("key"), each).select("key", "e.*").where("value is not null")
+
+    order, payment, transfer = record_key("ord", "order_id"), record_key("pay", "payment_id"), record_key("trf", "transfer_id")
+    parts = (
+        of("intent", "ord", "k", ("order_id", record_key("ord", "k"))), of("intent", "int", "k", ("order_id", record_key("ord", "k"))),
+        of("payment", "pay", "payment_id", ("order_id", order), ("payment_id", payment)), of("transfer", "trf", "transfer_id", ("payment_id", payment), ("transfer_id", transfer)),
+        of("refund", "rfnd", "refund_id", ("payment_id", payment)), of("reversal", "rvsl", "reversal_id", ("transfer_id", transfer)),
+        of("dispute", "disp", "dispute_id", ("payment_id", payment)), of("recon", "rcn", "recon_id", ("utr", F.col("utr")), ("transfer_id", transfer)),
+        of("bank", "bank", "bank_id", ("utr", F.col("utr"))),
+    )
+    return reduce(DataFrame.unionByName, parts)
+
+
+def join_edges(orders: DataFrame, recon: DataFrame, bank: DataFrame, bank_node: int) -> DataFrame:
     """node, value: what links whole order chains and bank credits to each other, their settlement references.
 
-    Orders are nodes by their key; banks follow them, as -1 - bank_id. Records below an order have one parent
-    each, so plain joins have put them in their order's chain already.
+    Orders are nodes by their key; banks follow from bank_node on. Records below an order have one parent each, so
+    plain joins have put them in their order's chain already.
     """
     chains = orders.select(F.col("k").alias("node"), F.lit(None).cast("string").alias("value"))
     by_recon = recon.select(F.col("transfer_id").alias("node"), F.col("utr").alias("value"))
-    by_bank = bank.select((-1 - F.col("bank_id")).alias("node"), F.col("utr").alias("value"))
+    by_bank = bank.select((F.col("bank_id") + F.lit(bank_node)).alias("node"), F.col("utr").alias("value"))
     return chains.unionByName(by_recon).unionByName(by_bank)
 
 
@@ -191,6 +211,20 @@ def link(pending: DataFrame, banks: DataFrame, tolerance: Tolerance = Tolerance(
     return Linked(claimed.unionByName(rest), tied, banks.join(claimed, "bank_id", "left_anti").select("bank_id"))
 
 
+def numbered_groups(routed: DataFrame, linked: Linked) -> DataFrame:
+    """match_id, rule, pass, confidence_bps, component: groups of P0 first, then what each pass claimed, leftovers last.
+
+    Ids count from 1 in that order, and by the smallest order within a pass; a settlement that P2 claims is one
+    group for each of its chains.
+    """
+    first = routed.where("kind = 'group'").select("component", F.lit("P0").alias("pass"), F.lit(0).alias("phase"))
+    place = F.when(F.col("pass") == "P0", 4).otherwise(F.substr("pass", F.lit(2)).cast("int"))
+    later = linked.groups.select(F.col("pending_id").alias("component"), "pass", place.alias("phase"))
+    rows = numbered(first.unionByName(later.distinct()), "phase", "component")
+    rule, sure = (F.create_map(*[F.lit(x) for kv in m.items() for x in kv]) for m in (RULE, CONFIDENCE))
+    return rows.select(record_key("match", "line_no").alias("match_id"), rule[F.col("pass")].alias("rule"), "pass", sure[F.col("pass")].alias("confidence_bps"), "component")
+
+
 def contested(candidates: Column) -> Column:
     """Of arrays of keys: the smallest key that is in some but not in all; with one candidate its first."""
     union = F.array_distinct(F.flatten(candidates))

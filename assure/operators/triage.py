@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assure.sources.readers import numbered
+
 #: A resolution stays automatic below this amount and from this confidence on.
 AUTO_BELOW_PAISE, AUTO_FROM_BPS = 10_000, 9_000
 BATCH_BUDGET = 60_000
@@ -28,8 +30,8 @@ def queue(unmatched: DataFrame, ambiguous: DataFrame, findings: DataFrame) -> Da
 
 
 def ranked(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """rows with rank from 1 in a total order."""
-    return rows.withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("long"))
+    """rows with rank from 1 in a total order: sorted by ranges, each counted on from those before it."""
+    return numbered(rows, *order).withColumnRenamed("line_no", "rank")
 
 
 def downgraded(resolutions: DataFrame) -> DataFrame:
@@ -64,8 +66,13 @@ def rules_only(exceptions: DataFrame) -> DataFrame:
 
 def within_budget(spent: DataFrame, budget: int = BATCH_BUDGET) -> DataFrame:
     """spent (rank, tokens) with before and investigated: an entry runs while earlier ones have spent less than the budget."""
-    before = F.coalesce(F.sum("tokens").over(W.orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    return spent.withColumn("before", before).withColumn("investigated", F.col("before") < budget)
+    block = F.shiftright("rank", 12)  # sums run within blocks of ranks; only block totals meet in one task
+    totals = spent.groupBy(block.alias("_b")).agg(F.sum("tokens").alias("_t"))
+    offset = totals.select("_b", F.coalesce(F.sum("_t").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    inside = F.coalesce(F.sum("tokens").over(W.partitionBy(block).orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = spent.withColumn("_i", inside).withColumn("_b", block).join(offset, "_b")
+    rows = rows.withColumn("before", (F.col("_i") + F.col("_o")).cast("long")).drop("_i", "_b", "_o")
+    return rows.withColumn("investigated", F.col("before") < budget)
 
 
 def terminal_states(records: DataFrame, outcomes: DataFrame) -> DataFrame:

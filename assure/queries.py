@@ -46,10 +46,7 @@ class Run:
     @cached_property
     def chains(self) -> DataFrame:
         """node, component: orders by key, banks from BANK_NODE on, so that a chain's smallest order names it."""
-        bank = self.t("bank").select((F.col("bank_id") + F.lit(O.BANK_NODE)).alias("node"), F.col("utr").alias("value"))
-        recon = self.t("recon").select(F.col("transfer_id").alias("node"), F.col("utr").alias("value"))
-        orders = self.t("intent").select(F.col("k").alias("node"), F.lit(None).cast("string").alias("value"))
-        return written(components(orders.unionByName(recon).unionByName(bank)))
+        return written(components(linking.join_edges(self.t("intent"), self.t("recon"), self.t("bank"), O.BANK_NODE)))
 
     @cached_property
     def routed(self) -> DataFrame:
@@ -211,13 +208,20 @@ def ingest_quarantine_split(r: Run) -> DataFrame:
     return rows.select("k", F.col("quarantine_reason").alias("reason"), F.col("quarantine_detail").alias("detail"), "gross_paise", "is_interstate")
 
 
+def _rupees(c: str) -> str:
+    return f"CAST({c} // 100 AS VARCHAR) || '.' || lpad(CAST({c} % 100 AS VARCHAR), 2, '0')"
+
+
 @query(f"""{O.D}, s AS (SELECT *, CASE WHEN k % 83 = 0 THEN 0 WHEN k % 79 = 0 THEN 1 ELSE 7 END AS reached FROM intent)
-SELECT k, 1 AS step, 'gross_paise' AS field, CAST(gross // 100 AS VARCHAR) || '.' || lpad(CAST(gross % 100 AS VARCHAR), 2, '0') AS before_text, CAST(gross AS VARCHAR) AS after_text FROM s WHERE reached >= 1
+SELECT k, 1 AS step, 'gross_paise' AS field, {_rupees("gross")} AS before_text, CAST(gross AS VARCHAR) AS after_text FROM s WHERE reached >= 1
+UNION ALL SELECT k, 2, 'placed_at_utc', CAST(placed AS VARCHAR) || ' 01:30:00', strftime(CAST(placed AS TIMESTAMP) + INTERVAL '90 minutes' - INTERVAL '330 minutes', '%Y-%m-%dT%H:%M:%SZ') FROM s WHERE reached >= 2
+UNION ALL SELECT k, 3, 'is_interstate', CASE WHEN k % 2 = 0 THEN 'Y' ELSE 'N' END, CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END FROM s WHERE reached >= 3
+UNION ALL SELECT k, 4, 'commission_paise', {_rupees("commission")}, CAST(commission AS VARCHAR) FROM s WHERE reached >= 4
 UNION ALL SELECT k, 5, 'commission_rate_applied_bps', CAST(applied_bps AS VARCHAR), CAST(applied_bps AS VARCHAR) FROM s WHERE reached >= 5
-UNION ALL SELECT k, 7, 'expected_tds_paise', CAST(tds // 100 AS VARCHAR) || '.' || lpad(CAST(tds % 100 AS VARCHAR), 2, '0'), CAST(tds AS VARCHAR) FROM s WHERE reached >= 7""")
+UNION ALL SELECT k, 6, 'expected_tcs_paise', {_rupees("tcs")}, CAST(tcs AS VARCHAR) FROM s WHERE reached >= 6
+UNION ALL SELECT k, 7, 'expected_tds_paise', {_rupees("tds")}, CAST(tds AS VARCHAR) FROM s WHERE reached >= 7""")
 def ingest_transform_lineage(r: Run) -> DataFrame:
-    rows = normalise.lineage(r.raw_intent, normalise.intent_fields(), "k")
-    return rows.where(F.col("step").isin(1, 5, 7)).select("k", *long("step"), "field", "before_text", "after_text")
+    return normalise.lineage(r.raw_intent, normalise.intent_fields(), "k").select("k", *long("step"), "field", "before_text", "after_text")
 
 
 @query(f"""{O.D}, sel AS (SELECT {O.record_key("sel", "seller")} AS id, 'Seller ' || CAST(seller - CASE WHEN seller = 7 THEN 1 ELSE 0 END AS VARCHAR) AS name FROM (SELECT DISTINCT seller FROM pairs)),
@@ -286,13 +290,14 @@ def match_p2_single_sum(r: Run) -> DataFrame:
 
 @query()
 def match_p2_subset(r: Run) -> DataFrame:
-    """Subsets of a small pool: the ten smallest free credits against the sums of neighbouring ones."""
-    pool = r.orphans.orderBy("amount", "bank_id").limit(12)
-    from pyspark.sql import Window as W
+    """Every free credit against the sums of each two that follow one another in amount; subsets once few are left."""
+    from assure.sources.readers import numbered
 
-    by = W.orderBy("amount", "bank_id")
-    sums = pool.withColumn("target", F.col("amount") + F.lead("amount").over(by)).where("target is not null").select(F.col("bank_id").alias("settlement_id"), F.col("bank_id").alias("place"), "target")
-    return linking.grouped_sums(sums, pool)
+    placed = numbered(r.orphans.select("bank_id", "amount"), "amount", "bank_id")
+    after = placed.select((F.col("line_no") - 1).alias("line_no"), F.col("amount").alias("next"))
+    both = placed.join(after, "line_no")
+    sums = both.select(F.col("bank_id").alias("settlement_id"), F.col("line_no").alias("place"), (F.col("amount") + F.col("next")).alias("target"))
+    return linking.grouped_sums(written(sums), r.orphans.select("bank_id", "amount"))
 
 
 @query(f"{O.LINK} SELECT pending_id, bank_id, dp = 1 AND db = 1 AS claimed FROM p3p")
@@ -345,13 +350,18 @@ def findings_all(r: Run) -> DataFrame:
     return r.findings
 
 
-@query(f"""{O.FOUND} SELECT f.k, f.defect, CAST(1 AS BIGINT) AS step_no, 'commission applied' AS label, CAST({O.b("gross", "applied_bps")} AS BIGINT) AS output FROM f JOIN u USING (k) WHERE defect = 'D01'
-UNION ALL SELECT f.k, f.defect, 3, 'short', expected - (credit - debit) FROM f JOIN u USING (k) WHERE defect = 'D02'
-UNION ALL SELECT f.k, f.defect, 2, 'difference', ABS(tcs - {O.b("gross - refunds", 50)}) FROM f JOIN u USING (k) WHERE defect = 'D04'""")
+_APPLIED, _CARD, _TCS, _TDS = O.b("gross", "applied_bps"), O.b("gross", "card_bps"), O.b("gross - refunds", 50), O.b("gross", 10)
+_STEPS = (
+    ("D01", 1, "commission applied", _APPLIED), ("D01", 2, "commission on the card", _CARD), ("D01", 3, "drift", f"ABS({_APPLIED} - {_CARD})"),
+    ("D02", 1, "expected", "expected"), ("D02", 2, "actual", "credit - debit"), ("D02", 3, "short", "expected - (credit - debit)"), ("D03", 1, "to net", "netting"), ("D03", 2, "not netted", "netting - debit"),
+    ("D04", 1, "TCS due", _TCS), ("D04", 2, "difference", f"ABS(tcs - {_TCS})"), ("D05", 1, "TDS due", _TDS), ("D05", 2, "difference", f"ABS(tds - {_TDS})"),
+    ("D06", 1, "held", "orphaned"), ("D07", 1, "reversed", "reversals"), ("D08", 1, "GST due", "fee_gst"), ("D08", 2, "difference", "ABS(tax - fee_gst)"),
+)
+
+
+@query(O.FOUND + " UNION ALL ".join(f" SELECT f.k, f.defect, CAST({n} AS BIGINT) AS step_no, '{label}' AS label, CAST({x} AS BIGINT) AS output FROM f JOIN u USING (k) WHERE defect = '{d}'" for d, n, label, x in _STEPS))
 def finding_trace_steps(r: Run) -> DataFrame:
-    rows = checks.trace(r.units, r.specs)
-    shown = F.struct("defect", "step_no").isin(*[F.struct(F.lit(d), F.lit(n)) for d, n in (("D01", 1), ("D02", 3), ("D04", 2))])
-    return rows.where(shown).select("k", "defect", *long("step_no"), "label", "output")
+    return checks.trace(r.units, r.specs).select("k", "defect", *long("step_no"), "label", "output")
 
 
 @query(f"""{O.FOUND}, roles AS (SELECT * FROM (VALUES ('D01', 'order'), ('D01', 'intent'), ('D01', 'rate_card'), ('D02', 'order'), ('D02', 'recon_row'), ('D03', 'order'), ('D03', 'refund'), ('D03', 'recon_row'), ('D04', 'order'), ('D04', 'intent'),
@@ -522,5 +532,6 @@ def constraint_violations(r: Run) -> DataFrame:
 
 @query()
 def synth_world(r: Run) -> DataFrame:
-    w = synth.world(r.spark, synth.tiered("T2", orders=2000))
+    """A workload as large as the folder's, with what the checks find in it."""
+    w = synth.world(r.spark, synth.tiered("T2", orders=r.t("intent").count()))
     return w.join(synth.found_in(w), "id", "left").select("id", "gross_paise", "net_paise", "credit_paise", "defect", "found")

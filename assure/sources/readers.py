@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assure.functions.text import record_key
+from assure.sources.shared import written
 
 # The columns of the files, and the arrays of the processor's document in reading order.
 COLUMNS = {
@@ -19,24 +20,22 @@ COLUMNS = {
 ARRAYS = ("payments", "transfers", "refunds", "reversals", "disputes", "settlements")
 
 
-def numbered(rows: DataFrame, order: str) -> DataFrame:
+def numbered(rows: DataFrame, *order: str | Column) -> DataFrame:
     """rows with line_no from 1 in the given order: sums of partition sizes, no single-task window.
 
     The range partitioning is written down before it is counted, so both uses see the same rows.
     """
     spark = rows.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = rows.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    from assure.sources.shared import checkpoint_dir
-
-    checkpoint_dir(spark)
-    placed = placed.checkpoint()
+    placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    placed = written(placed)
     sizes = {r["_p"]: (r["n"], r["least"]) for r in placed.groupBy("_p").agg(F.count("*").alias("n"), F.min("_i").alias("least")).collect()}  # one row a partition
-    before, offset = 0, F.lit(0).cast("long")
+    before, starts = 0, []
     for p in sorted(sizes):
-        offset = F.when(F.col("_p") == p, F.lit(before - sizes[p][1]).cast("long")).otherwise(offset)
+        starts.append((p, before - sizes[p][1] + 1))
         before += sizes[p][0]
-    return placed.withColumn("line_no", F.col("_i") + offset + 1).drop("_p", "_i")
+    offsets = F.broadcast(spark.createDataFrame(starts, "_q int, _o long"))  # a row a partition
+    return placed.join(offsets, F.col("_p") == F.col("_q")).withColumn("line_no", F.col("_i") + F.col("_o")).drop("_p", "_i", "_q", "_o")
 
 
 def csv_rows(spark: SparkSession, path: str, source: str) -> DataFrame:
@@ -51,8 +50,7 @@ def processor_rows(spark: SparkSession, path: str) -> DataFrame:
     doc = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("doc"))
     parts = []
     for n, kind in enumerate(ARRAYS):
-        doc.createOrReplaceTempView("assure_processor_doc")
-        part = spark.sql(f"SELECT e.pos AS pos, e.value AS item FROM assure_processor_doc, LATERAL variant_explode_outer(variant_get(doc, '$.{kind}', 'variant')) e")
+        part = spark.sql(f"SELECT e.pos AS pos, e.value AS item FROM {{doc}}, LATERAL variant_explode_outer(variant_get(doc, '$.{kind}', 'variant')) e", doc=doc)
         parts.append(part.where("item is not null").select(F.lit(n).alias("a"), "pos", F.lit(kind).alias("kind"), "item"))
     from pyspark.sql import Window as W
 
