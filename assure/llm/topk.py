@@ -137,7 +137,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, index: Index = Index(
     def scored(routed: DataFrame) -> DataFrame:
         """routed: block, sub, chunk, query_id, q, beat; each meets the vectors of its block."""
         key = [*block, "sub", "chunk"]
-        copies = candidates.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+        # a block is copied for the chunks that visit it, no others
+        copies = candidates.join(stored(routed.select(*key).distinct()), [*block, "sub"])
         met = copies.groupBy(key).cogroup(routed.groupBy(key))
         return met.applyInPandas(score, "query_id long, vec_id long, score long")
 
