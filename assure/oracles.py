@@ -1,4 +1,4 @@
-"""The queries' SQL for DuckDB, over the same tables: written apart from the operators."""
+"""The queries' SQL for DuckDB: the canonical tables' text is the projection's, all from the linking on is written apart."""
 
 from __future__ import annotations
 
@@ -94,6 +94,7 @@ q AS (SELECT 'UNMATCHED' AS origin, 0 AS source, {record_key("bank", "bank_id")}
   UNION ALL SELECT 'FINDING', 2, defect || '/' || {record_key("ord", "k")}, amount, defect FROM f),
 queue AS (SELECT origin, key, amount, reason, ROW_NUMBER() OVER (ORDER BY amount DESC, key, source, reason) AS rank FROM q)"""
 
+# The reference numbers that bank narrations carry, as in functions/text.py.
 UTR = [
     ("utr_labelled", r"\bUTR[:\s-]*([A-Z0-9]{12,22})\b", 10000), ("neft_ref", r"\bNEFT[/\s-]*([A-Z]{4}[A-Z0-9]{8,18})\b", 9500),
     ("rtgs_ref", r"\bRTGS[/\s-]*([A-Z0-9]{16,22})\b", 9500), ("imps_ref", r"\bIMPS[/\s-]*(\d{12})\b", 9000), ("bare_token", r"\b([A-Z]{4}[A-Z0-9]{12,18})\b", 6000),
