@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +28,10 @@ class Run:
     def of(cls, spark: SparkSession, sf_dir: str) -> Run:
         """The run of a folder: the one that is open in this application, as long as the folder's files are the same."""
         own = (spark.sparkContext.applicationId, checkpoint_dir(spark), sf_dir)
-        files = tuple(stamp(spark, f"{sf_dir}/{t}.parquet") for t in TABLES)
+        try:
+            files = tuple(stamp(spark, f"{sf_dir}/{t}.parquet") for t in TABLES)
+        except Py4JJavaError:  # storage that can't be listed: nothing tells whether its files are the same
+            return cls(spark, sf_dir)
         found = cls._open.get(own)
         if found is None or found.files != files or found.spark is not spark:
             found = cls._open[own] = cls(spark, sf_dir)
