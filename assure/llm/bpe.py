@@ -31,7 +31,7 @@ from .common import stored
 
 PAIR_BUCKETS = 32_749
 #: Words in the table of frequent ones at most; ties at its end are left out together.
-TABLE_WORDS = 1 << 20
+TABLE_WORDS = 1 << 19
 #: Bytes of words in the texts whose distinct words are folded together; a longer text is a group of its own.
 GROUP_BYTES = 4 << 20
 #: Most ids: code points below the surrogates.
@@ -270,10 +270,9 @@ def frequent(docs: DataFrame, vocab: Vocabulary, most: int = TABLE_WORDS) -> Dat
 
 
 class Table:
-    """The frequent words, sorted by hash."""
+    """The frequent words, in order of hash."""
 
     def __init__(self, rows: pa.Table):
-        rows = rows.sort_by("hash")
         self.hashes = rows["hash"].to_numpy()
         self.word, self.ids, self.other = (rows[c].combine_chunks() for c in ("word", "ids", "other"))
 
@@ -295,7 +294,8 @@ def encoded(docs: DataFrame, path: str | None = None, carry: tuple[str, ...] | N
     """
     vocab = vocabulary(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     own = list(carry) if carry is not None else docs.columns
-    table = docs.sparkSession.sparkContext.broadcast(Table(stored(frequent(docs, vocab)).toArrow()))
+    table = docs.sparkSession.sparkContext.broadcast(Table(stored(frequent(docs, vocab)).orderBy("hash").toArrow()))
+    pa.default_memory_pool().release_unused()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
