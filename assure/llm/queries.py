@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, html_extract, line_dedup, mixing, pii, quality, simhash, tokens, topk, url_filter
-from .common import small_batches, table
+from .common import small_batches, spread, table
 
 
 def op1_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.personal_data(table(spark, sf_dir, "documents"))
+    return pii.personal_data(spread(table(spark, sf_dir, "documents")))
 
 
 def op2_html_min_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.main_text(table(spark, sf_dir, "pages"))
+    return html_extract.main_text(spread(table(spark, sf_dir, "pages")))
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(table(spark, sf_dir, "documents"))
+    return quality.quality_rules(spread(table(spark, sf_dir, "documents")))
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_counts(table(spark, sf_dir, "documents"))
+    return tokens.token_counts(spread(table(spark, sf_dir, "documents")))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return bpe.byte_bpe(table(spark, sf_dir, "documents"))
+    return bpe.byte_bpe(spread(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {
