@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, html_extract, line_dedup, mixing, pii, quality, simhash, tokens, topk, url_filter
+from . import bpe, codes, grammar, html_extract, line_dedup, mixing, negatives, pii, quality, simhash, tokens, topk, url_filter
 from .common import small_batches, spread, table
 
 
@@ -49,6 +50,19 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.byte_bpe(spread(table(spark, sf_dir, "documents")))
 
 
+def op11_token_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grammar.token_files(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = negatives.relabelled(F.col("vec_id"), F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_pii_bootstrap": op1_pii_bootstrap,
     "op2_html_min_cut": op2_html_min_cut,
@@ -60,9 +74,14 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing_sources": op9_mixing_sources,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_token_grammar": op11_token_grammar,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_vector_codes": op13_vector_codes,
 }
 SQL: dict[str, str] = {
     "op3_url_filters": url_filter.sql(),
     "op4_exact_top_k": topk.SQL,
     "op8_line_dedup": line_dedup.SQL,
+    "op12_hard_negatives": negatives.SQL,
+    "op13_vector_codes": codes.sql(),
 }

@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import small, stored
+from .vectors import matrix, whole
 
 
 @dataclass(frozen=True)
@@ -30,20 +31,6 @@ class Index:
     query_rows: int = 4096  # queries that meet a block at once, on average
 
 
-def whole(vectors: DataFrame, scale: int) -> DataFrame:
-    """vec_id, dim, v: one row for each vec_id whose vector and components are all finite; of repeated ids the least vector."""
-    e = F.col("embedding")
-    finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    v = F.transform(e, lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    rows = vectors.where(F.col("vec_id").isNotNull() & e.isNotNull()).where(finite).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    return rows.select("vec_id", F.size("v").alias("dim"), "v")
-
-
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
-
-
 def _keyed(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     """rows with pivot (its place in pivots of that length), dist and norm, both Euclidean."""
 
@@ -52,7 +39,7 @@ def _keyed(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
-                m = _matrix(part.column("v"), dim)
+                m = matrix(part.column("v"), dim)
                 p = pivots.get(dim, np.zeros((1, dim)))
                 square = (m**2).sum(1)[:, None] - 2 * m @ p.T + (p**2).sum(1)[None, :]
                 near = square.argmin(1)
@@ -62,11 +49,12 @@ def _keyed(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                     [*part.schema.names, "pivot", "dist", "norm"],
                 )
 
-    return rows.mapInArrow(run, "vec_id long, dim int, v array<long>, pivot int, dist double, norm double")
+    return rows.mapInArrow(run, "own long, vec_id long, dim int, v array<long>, pivot int, dist double, norm double")
 
 
-def _best(ids: np.ndarray, m: np.ndarray, queries: np.ndarray, q: np.ndarray, beat: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best of the candidates for each query that score `beat` at least, without the query itself."""
+def _best(ids: np.ndarray, m: np.ndarray, asked: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best of the candidates for each query that score `beat` at least, without rows of the query's own id."""
+    queries, q, beat = asked["query_id"].to_numpy(), _stack(asked["q"]), asked["beat"].to_numpy()
     order = np.argsort(ids, kind="stable")
     ids, m = ids[order], m[order]
     out = []
@@ -84,7 +72,7 @@ def _best(ids: np.ndarray, m: np.ndarray, queries: np.ndarray, q: np.ndarray, be
         row, col, s = row[by], col[by], s[by]
         place = np.arange(len(row)) - np.searchsorted(row, row)
         keep = place < k
-        out.append(pd.DataFrame({"query_id": queries[part][row[keep]], "vec_id": ids[col[keep]], "score": s[keep].astype(np.int64)}))
+        out.append(pd.DataFrame({"own": asked["own"].to_numpy()[part][row[keep]], "query_id": queries[part][row[keep]], "vec_id": ids[col[keep]], "score": s[keep].astype(np.int64)}))
     return pd.concat(out)
 
 
@@ -96,11 +84,11 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, index: Index = Index(
     """query_id, rank, vec_id, score: the k best of all other vectors for each vec_id divisible by `every`.
 
     vectors: vec_id, embedding. Rows whose id or vector is null, or with a null or non-finite component, take
-    no part; vectors of different length do not meet. Ties go to the smaller vec_id. Repeated rows count
-    once; of an id with several vectors the least one counts. Exact while scores stay below 2**53; an empty
-    table gives an empty one; other columns are ignored.
+    no part; vectors of different length do not meet. Ties go to the smaller vec_id. Repeated rows, and rows
+    that share an id, each count, as queries too (a result for each); rows of the query's own id do not. Exact
+    while scores stay below 2**53; an empty table gives an empty one; other columns are ignored.
     """
-    rows = stored(whole(vectors, index.scale))
+    rows = stored(whole(vectors.where("vec_id IS NOT NULL"), index.scale))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(index.pivots).collect()
     pivots = {
         dim: np.array([r["v"] for r in sample if r["dim"] == dim], np.float64) for dim in {r["dim"] for r in sample}
@@ -120,32 +108,35 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, index: Index = Index(
     subs = F.ceil(F.col("n") / index.block_rows).cast("int")
     stored_blocks = stored(
         placed.join(small(sizes.select(*block, subs.alias("subs"))), block).withColumn(
-            "sub", F.pmod(F.xxhash64("vec_id"), F.col("subs")).cast("int")
+            "sub", F.pmod(F.xxhash64("own"), F.col("subs")).cast("int")
         )
     )
     candidates = stored_blocks.select(*block, "sub", "vec_id", "v")
     queries = stored_blocks.where(F.col("vec_id") % every == 0)
     chunks = -(-queries.count() // index.query_rows) or 1
-    chunk = F.pmod(F.hash("vec_id"), F.lit(chunks)).cast("int").alias("chunk")
-    asked = queries.select(*block, "sub", F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "norm", chunk)
+    chunk = F.pmod(F.hash("own"), F.lit(chunks)).cast("int").alias("chunk")
+    asked = queries.select(*block, "sub", "own", F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "norm", chunk)
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
-        return _best(left["vec_id"].to_numpy(), _stack(left["v"]), right["query_id"].to_numpy(), _stack(right["q"]), right["beat"].to_numpy(), k)
+            return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("own", "query_id", "vec_id", "score")})
+        return _best(left["vec_id"].to_numpy(), _stack(left["v"]), right, k)
 
     def scored(routed: DataFrame) -> DataFrame:
-        """routed: block, sub, chunk, query_id, q, beat; each meets the vectors of its block."""
+        """routed: block, sub, chunk, own, query_id, q, beat; each meets the vectors of its block."""
         key = [*block, "sub", "chunk"]
+        # columns of their own: vectors and queries come from one table
+        routed = routed.select(*[F.col(c).alias(c) for c in routed.columns])
         # a block is copied for the chunks that visit it, no others
         copies = candidates.join(stored(routed.select(*key).distinct()), [*block, "sub"])
+        copies = copies.select(*[F.col(c).alias(c) for c in copies.columns])
         met = copies.groupBy(key).cogroup(routed.groupBy(key))
-        return met.applyInPandas(score, "query_id long, vec_id long, score long")
+        return met.applyInPandas(score, "own long, query_id long, vec_id long, score long")
 
     own = scored(asked.withColumn("beat", F.lit(float("-inf"))))
-    ranked = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    first = stored(own.withColumn("place", ranked).where(F.col("place") == k).select("query_id", F.col("score").cast("double").alias("beat")))
-    known = stored(asked.join(first, "query_id", "left").withColumn("beat", F.coalesce("beat", F.lit(float("-inf")))))
+    ranked = F.row_number().over(W.partitionBy("own").orderBy(F.desc("score"), "vec_id"))
+    first = stored(own.withColumn("place", ranked).where(F.col("place") == k).select("own", F.col("score").cast("double").alias("beat")))
+    known = stored(asked.join(first, "own", "left").withColumn("beat", F.coalesce("beat", F.lit(float("-inf")))))
 
     # all annuli: a bounded table, pivots * annuli rows for each vector length
     limits: dict[int, dict[str, np.ndarray]] = {}
@@ -161,7 +152,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, index: Index = Index(
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
-                q, at = _matrix(part.column("q"), dim), limits[dim]
+                q, at = matrix(part.column("q"), dim), limits[dim]
                 p = pivots.get(dim, np.zeros((1, dim)))
                 norm = part.column("norm").to_numpy()[:, None]
                 inner = (q @ p.T)[:, at["pivot"]]
@@ -176,24 +167,24 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, index: Index = Index(
                 for s in range(0, len(row), 8192):
                     r, c = row[s : s + 8192], col[s : s + 8192]
                     new = [pa.array(x, pa.int32()) for x in (np.full(len(r), dim), at["pivot"][c], at["annulus"][c], sub[s : s + 8192])]
-                    yield pa.RecordBatch.from_arrays([*new, *[part.column(x).take(pa.array(r)) for x in ("chunk", "query_id", "q", "beat")]], [*block, "sub", "chunk", "query_id", "q", "beat"])
+                    yield pa.RecordBatch.from_arrays([*new, *[part.column(x).take(pa.array(r)) for x in ("chunk", "own", "query_id", "q", "beat")]], [*block, "sub", "chunk", "own", "query_id", "q", "beat"])
 
-    kinds = "dim int, pivot int, annulus int, sub int, chunk int, query_id long, q array<long>, beat double"
-    routed = known.select("dim", "chunk", "query_id", "q", "norm", "beat").mapInArrow(route, kinds)
+    kinds = "dim int, pivot int, annulus int, sub int, chunk int, own long, query_id long, q array<long>, beat double"
+    routed = known.select("dim", "chunk", "own", "query_id", "q", "norm", "beat").mapInArrow(route, kinds)
     best = scored(routed).withColumn("rank", ranked).where(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  SELECT q.own, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
 ), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
