@@ -1,7 +1,7 @@
 """Token files under Re-Pair grammars: frequent id pairs become nonterminals, shard by shard, with random access.
 
 Texts are dealt in ranges of doc_id and sorted, so that a partition's documents follow each other in the files. A task
-encodes them, appends the end id to each, and gathers shards of about a million ids. In a shard, round by round, the
+encodes them, appends the end id to each, and gathers shards of about two million ids. In a shard, round by round, the
 frequent pairs of neighbouring symbols are replaced by nonterminals: those of a round are taken from the most frequent
 down, so that no symbol is the left of one and the right of another; their occurrences then cannot overlap. A pair never
 crosses the end of a document. It ends when no pair is frequent enough or all 16-bit symbols are used.
@@ -22,7 +22,6 @@ A slice of a document is found by adding up lengths, and only the symbols that c
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -30,27 +29,48 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, stored
-from .tokens import CALL_BYTES, groups
+from .tokens import CALL_BYTES
 
 #: Appended to each document by default.
 END = 2
 #: Ids of a shard, about; a longer document is a shard of its own.
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 21
 #: Occurrences that a pair must have in its shard for a rule: a rule takes 8 bytes and saves 2 bytes an occurrence.
 LEAST = 8
 #: Of the count of a round's most frequent pair, what its other pairs must reach.
 SHARE = 1 / 32
 SYMBOLS = 1 << 16
+#: Bytes of texts that are cut and encoded together.
+GROUP_BYTES = 8 << 20
 #: Bytes that a worker's table of known pieces may take, about, and of each entry besides its piece.
 MEMORY_BYTES, ENTRY_BYTES = 96 << 20, 160
-#: Between a character that is no white space and another, the pattern of these tokenizers always begins a new word at
-#: a single space or line feed. Python counts a few more characters as white space, which only means fewer cuts.
-CUTS = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: Stands where a text may be cut; a text that has it is encoded as it is.
+CUT = "\0"
+#: White space as the tokenizer's pattern takes it, and the information separators; the same without the line feed.
+SPACES, NOT_LF = (rf"\x{{9}}{lf}\x{{B}}-\x{{D}}\x{{1C}}-\x{{20}}\x{{85}}\p{{Z}}" for lf in (r"\x{A}", ""))
+#: Next to each other no white space but two line feeds before a word: in a text without these, a new word begins at every
+#: space and at every line feed, whatever comes before.
+UNCUT = rf"[{SPACES}][{NOT_LF}]|[{NOT_LF}]\n|\n\n\n|\n\n\z|\x{{0}}"
+#: A new word begins with the mark after a letter.
+MARKED = r"(\p{L})([.,;:!?])"
+
+
+def runs(sizes: np.ndarray, most: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about `most` bytes; a longer text is alone."""
+    first, held = 0, 0
+    for k, size in enumerate(sizes.tolist()):
+        if k > first and held + size > most:
+            yield first, k
+            first, held = k, 0
+        held += size
+    if len(sizes):
+        yield first, len(sizes)
 
 
 class Encoder:
@@ -69,39 +89,44 @@ class Encoder:
         special = self.tokenizer.get_added_tokens_decoder()
         #: Bytes of each id's piece; a piece is written with a character for each byte, a special one as it is.
         self.bytes = np.array([len(special[n].content.encode() if n in special else self.tokenizer.id_to_token(n)) for n in range(self.ids)])
+        # a special token ends the text before it; in RE2, each of its characters by its code
+        self.uncut = "|".join([UNCUT, *("".join(rf"\x{{{ord(c):X}}}" for c in t.content) for t in special.values())])
         self.known: dict[str, bytes] = {}
         self.room = MEMORY_BYTES
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: set[str]) -> None:
-        """Pieces that begin at a cut, so that they can be encoded one after the other as one text and told apart by their bytes."""
+    def learn(self, pieces: list[str]) -> None:
+        """Pieces of which each begins a word. Those of a space or line feed and a word can follow each other: as one text they are encoded at once, and told apart by their bytes."""
+        new = [p for p in pieces if p not in self.known]
         if self.room < 0:
-            self.known, self.room = {}, MEMORY_BYTES
-        new = list(pieces - self.known.keys())
-        call: list[str] = []
-        size = 0
-        for k, piece in enumerate(new):
-            call.append(piece)
-            size += len(piece)
-            if size >= CALL_BYTES or k == len(new) - 1:
-                ids = np.array(self.tokenizer.encode("".join(call), add_special_tokens=False).ids, "<u2")
-                ends = 2 * (np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(p.encode()) for p in call])) + 1)
-                raw = ids.tobytes()
-                self.known.update((p, raw[a:b]) for p, a, b in zip(call, [0, *ends.tolist()], ends.tolist()))
-                self.room -= 3 * size + ENTRY_BYTES * len(call)
-                call, size = [], 0
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, 16 bits each."""
-        cut = [CUTS.split(t) for t in texts]
-        # a text's first piece may begin anyhow, its last end in white space
-        first = self._plain([c[0] for c in cut])
-        last = self._plain([c[-1] for c in cut])
-        self.learn(set().union(*(c[1:-1] for c in cut)))
-        known = self.known.__getitem__
-        return [a + b"".join(map(known, c[1:-1])) + b if len(c) > 1 else a for a, b, c in zip(first, last, cut)]
+            self.known, self.room, new = {}, MEMORY_BYTES, pieces
+        plain = [p for p in new if p[:1] not in (" ", "\n") or p[-1].isspace()]
+        self.known.update(zip(plain, self._plain(plain)))
+        words = [p for p in new if p not in self.known]
+        for a, b in runs(pc.binary_length(pa.array(words, pa.string())).to_numpy(), CALL_BYTES):
+            call = words[a:b]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(call)], add_special_tokens=False)[0].ids, "<u2")
+            sizes = pc.binary_length(pa.array(call)).to_numpy()
+            ends = 2 * (np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(sizes)) + 1)
+            raw = ids.tobytes()
+            self.known.update((p, raw[i:j]) for p, i, j in zip(call, [0, *ends.tolist()], ends.tolist()))
+            self.room -= 3 * int(sizes.sum()) + ENTRY_BYTES * len(call)
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text, 16 bits each: a text is cut where words must begin, where it shows that, else encoded as it is."""
+        uncut = pc.match_substring_regex(texts, self.uncut)
+        cut = pc.replace_substring_regex(pc.if_else(uncut, "", texts), MARKED, rf"\1{CUT}\2")
+        for space in " \n":
+            cut = pc.replace_substring(cut, space, CUT + space)
+        lists = pc.split_pattern(cut, CUT)
+        coded = lists.values.dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        self.learn(pieces)
+        ids = pa.array([self.known[p] for p in pieces], pa.binary()).take(coded.indices)
+        found = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, ids), b"")
+        return pc.replace_with_mask(found, uncut, pa.array(self._plain(texts.filter(uncut).to_pylist()), pa.binary()))
 
 
 @cache
@@ -181,9 +206,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, least: int = LEA
     return s.astype("<u2"), np.flatnonzero(last) + 1, rules.astype("<u2"), length[terminals:made].astype("<u4")
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
+def _opened(s: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
     """The ids that symbols stand for; every step opens all nonterminals once, as deep as the rules go."""
-    s = symbols.astype(np.int64)
     while (open_ := s >= terminals).any():
         at = np.flatnonzero(open_)
         pair = rules[s[at] - terminals]
@@ -193,6 +217,18 @@ def expand(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray
     return s
 
 
+def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, terminals: int) -> np.ndarray:
+    """The ids that symbols stand for: the nonterminals among them are opened once each, then taken by place."""
+    kinds, which = np.unique(symbols[symbols >= terminals].astype(np.int64), return_inverse=True)
+    table = np.concatenate([np.arange(terminals), _opened(kinds, rules, terminals)])
+    wide = lengths[kinds - terminals].astype(np.int64)
+    start, size = symbols.astype(np.int64), np.ones(len(symbols), np.int64)
+    rule = start >= terminals
+    start[rule], size[rule] = (terminals + np.cumsum(wide) - wide)[which], wide[which]
+    to = np.cumsum(size)
+    return table[np.arange(to[-1] if len(to) else 0) + np.repeat(start - (to - size), size)]
+
+
 class Shard:
     """A row of the files."""
 
@@ -202,7 +238,7 @@ class Shard:
 
     def ids(self) -> np.ndarray:
         """All ids of the shard."""
-        return expand(self.symbols, self.rules, self.terminals)
+        return expand(self.symbols, self.rules, self.lengths, self.terminals)
 
     def slice(self, k: int, first: int, n: int) -> np.ndarray:
         """n ids of document k from its id `first` on, as many as it has: expands only the symbols that cover them."""
@@ -213,7 +249,7 @@ class Shard:
         to = np.cumsum(wide)
         a, b = np.searchsorted(to, first, "right"), np.searchsorted(to, first + max(n, 0), "left") + 1
         skip = first - (to[a - 1] if a else 0)
-        return expand(s[a:b], self.rules, self.terminals)[skip : skip + max(n, 0)]
+        return expand(s[a:b], self.rules, self.lengths, self.terminals)[skip : skip + max(n, 0)]
 
 
 COLUMNS = "part int, seq int, before long, n_ids long, doc_id array<long>, ids array<long>, ends array<long>, symbols binary, rules binary, lengths binary"
@@ -245,9 +281,9 @@ def shards(docs: DataFrame, path: str, end: int, shard_ids: int = SHARD_IDS, lea
             return pa.RecordBatch.from_arrays([*place, *lists, *payload], NAMES)
 
         for batch in batches:
-            rows = iter(batch.column("doc_id").to_pylist())
-            for group in groups(t.as_py() for t in batch.column("text")):
-                for ids in encoder.encode([g.decode("utf-8") for g in group]):
+            rows, texts = iter(batch.column("doc_id").to_pylist()), batch.column("text")
+            for first, stop in runs(pc.binary_length(texts).to_numpy()):
+                for ids in encoder.encode(texts.slice(first, stop - first)).to_pylist():
                     held.append(ids + mark)
                     doc_ids.append(next(rows))
                     n += len(held[-1]) // 2
