@@ -48,8 +48,8 @@ SHARE = 1 / 32
 SYMBOLS = 1 << 16
 #: Bytes of texts that are cut and encoded together.
 GROUP_BYTES = 8 << 20
-#: Bytes that a worker's table of known pieces may take, about, and of each entry besides its piece.
-MEMORY_BYTES, ENTRY_BYTES = 96 << 20, 160
+#: Pieces that a worker remembers, about.
+PIECES = 1 << 20
 #: Stands where a text may be cut; a text that has it is encoded as it is.
 CUT = "\0"
 #: White space as the tokenizer's pattern takes it, and the information separators; the same without the line feed.
@@ -91,28 +91,41 @@ class Encoder:
         self.bytes = np.array([len(special[n].content.encode() if n in special else self.tokenizer.id_to_token(n)) for n in range(self.ids)])
         # a special token ends the text before it; in RE2, each of its characters by its code
         self.uncut = "|".join([UNCUT, *("".join(rf"\x{{{ord(c):X}}}" for c in t.content) for t in special.values())])
-        self.known: dict[str, bytes] = {}
-        self.room = MEMORY_BYTES
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, pieces: list[str]) -> None:
-        """Pieces of which each begins a word. Those of a space or line feed and a word can follow each other: as one text they are encoded at once, and told apart by their bytes."""
-        new = [p for p in pieces if p not in self.known]
-        if self.room < 0:
-            self.known, self.room, new = {}, MEMORY_BYTES, pieces
-        plain = [p for p in new if p[:1] not in (" ", "\n") or p[-1].isspace()]
-        self.known.update(zip(plain, self._plain(plain)))
-        words = [p for p in new if p not in self.known]
-        for a, b in runs(pc.binary_length(pa.array(words, pa.string())).to_numpy(), CALL_BYTES):
-            call = words[a:b]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(call)], add_special_tokens=False)[0].ids, "<u2")
-            sizes = pc.binary_length(pa.array(call)).to_numpy()
-            ends = 2 * (np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(sizes)) + 1)
-            raw = ids.tobytes()
-            self.known.update((p, raw[i:j]) for p, i, j in zip(call, [0, *ends.tolist()], ends.tolist()))
-            self.room -= 3 * int(sizes.sum()) + ENTRY_BYTES * len(call)
+        self.forget()
+
+    def forget(self) -> None:
+        self.pieces, self.coded = pa.array([], pa.string()), pa.array([], pa.binary())
+
+    def _plain(self, texts: list[str]) -> pa.Array:
+        return pa.array([np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)], pa.binary())
+
+    def _words(self, pieces: pa.Array) -> pa.Array:
+        """Pieces of a space or line feed and a word each: they can follow each other, so they are encoded as one text and told apart by their bytes."""
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces), "")[0].as_py()
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+        ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(pc.binary_length(pieces).to_numpy())) + 1
+        offsets = np.concatenate([[0], 2 * ends]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(pieces), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """Remember the ids of pieces that each begin a word; where each of them is kept."""
+        word = pc.match_substring_regex(new, rf"^[ \n].*[^{SPACES}]\z")
+        words, others = new.filter(word), new.filter(pc.invert(word))
+        calls = runs(pc.binary_length(words).to_numpy(), CALL_BYTES)
+        coded = [self._words(words.slice(a, b - a)) for a, b in calls]
+        is_word = word.to_numpy(zero_copy_only=False)
+        at = len(self.pieces) + np.where(is_word, np.cumsum(is_word) - 1, len(words) + np.cumsum(~is_word) - 1)
+        self.pieces = pa.concat_arrays([self.pieces, words, others])
+        self.coded = pa.concat_arrays([self.coded, *coded, self._plain(others.to_pylist())])
+        return at
+
+    def _ids(self, pieces: pa.Array) -> pa.Array:
+        if len(self.pieces) > PIECES:
+            self.forget()
+        found = pc.index_in(pieces, self.pieces)
+        lacking, at = found.is_null(), pc.fill_null(found, 0).to_numpy().copy()
+        at[lacking.to_numpy(zero_copy_only=False)] = self._learn(pieces.filter(lacking))
+        return self.coded.take(pa.array(at))
 
     def encode(self, texts: pa.Array) -> pa.Array:
         """The ids of each text, 16 bits each: a text is cut where words must begin, where it shows that, else encoded as it is."""
@@ -122,11 +135,9 @@ class Encoder:
             cut = pc.replace_substring(cut, space, CUT + space)
         lists = pc.split_pattern(cut, CUT)
         coded = lists.values.dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
-        self.learn(pieces)
-        ids = pa.array([self.known[p] for p in pieces], pa.binary()).take(coded.indices)
+        ids = self._ids(coded.dictionary).take(coded.indices)
         found = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, ids), b"")
-        return pc.replace_with_mask(found, uncut, pa.array(self._plain(texts.filter(uncut).to_pylist()), pa.binary()))
+        return pc.replace_with_mask(found, uncut, self._plain(texts.filter(uncut).to_pylist()))
 
 
 @cache
@@ -135,9 +146,9 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _frequent(s: np.ndarray, last: np.ndarray, least: int, room: int) -> np.ndarray:
-    """Pairs (left << 16 | right) to be replaced together, the most frequent first; left and right share no symbol, or are the same."""
-    pairs = np.sort((s[:-1] << 16 | s[1:])[~last[:-1]])
+def _frequent(pairs: np.ndarray, least: int, room: int) -> np.ndarray:
+    """Of all pairs (left << 16 | right), those to be replaced together, the most frequent first; left and right share no symbol, or are the same."""
+    pairs = np.sort(pairs)
     if not len(pairs):
         return pairs
     at = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
@@ -175,16 +186,19 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int, least: int = LEA
     rules, length = [], np.ones(SYMBOLS, np.int64)
     made = terminals
     while made < SYMBOLS and len(s) > 1:
-        pairs = _frequent(s, last, least, SYMBOLS - made)
+        every, inside = s[:-1] << 16 | s[1:], ~last[:-1]
+        pairs = _frequent(every[inside], least, SYMBOLS - made)
         if not len(pairs):
             break
         a, b = pairs >> 16, pairs & 0xFFFF
         new = np.arange(made, made + len(pairs), dtype=np.uint32)
-        is_left, is_right = np.zeros(SYMBOLS, bool), np.zeros(SYMBOLS, bool)
-        is_left[a], is_right[b] = True, True
-        hits = np.flatnonzero(is_left[s[:-1]] & is_right[s[1:]] & ~last[:-1])
+        side = np.zeros(SYMBOLS, np.uint8)
+        side[a] |= 1
+        side[b] |= 2
+        sides = side[s]
+        hits = np.flatnonzero((sides[:-1] & sides[1:] >> 1 & 1).view(bool) & inside)
         order = np.argsort(pairs)
-        key = s[hits] << 16 | s[hits + 1]
+        key = every[hits]
         at = np.minimum(np.searchsorted(pairs[order], key), len(pairs) - 1)
         same = pairs[order][at] == key
         hits, at = hits[same], order[at[same]]
@@ -219,14 +233,16 @@ def _opened(s: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
 
 def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, terminals: int) -> np.ndarray:
     """The ids that symbols stand for: the nonterminals among them are opened once each, then taken by place."""
-    kinds, which = np.unique(symbols[symbols >= terminals].astype(np.int64), return_inverse=True)
-    table = np.concatenate([np.arange(terminals), _opened(kinds, rules, terminals)])
-    wide = lengths[kinds - terminals].astype(np.int64)
-    start, size = symbols.astype(np.int64), np.ones(len(symbols), np.int64)
-    rule = start >= terminals
-    start[rule], size[rule] = (terminals + np.cumsum(wide) - wide)[which], wide[which]
-    to = np.cumsum(size)
-    return table[np.arange(to[-1] if len(to) else 0) + np.repeat(start - (to - size), size)]
+    rule = np.flatnonzero(symbols >= terminals)
+    kinds, which = np.unique(symbols[rule].astype(np.int64), return_inverse=True)
+    table = np.concatenate([np.arange(terminals), _opened(kinds, rules, terminals)]).astype("<u4")
+    wide = lengths[kinds - terminals].astype(np.int32)
+    start, size = symbols.astype(np.int32), np.ones(len(symbols), np.int32)
+    start[rule], size[rule] = (terminals + np.cumsum(wide, dtype=np.int32) - wide)[which], wide[which]
+    to = np.cumsum(size, dtype=np.int64)
+    out = np.repeat(start - (to - size), size)
+    out += np.arange(len(out))
+    return table[out]
 
 
 class Shard:
@@ -334,7 +350,7 @@ def read(files: DataFrame, path: str | None = None, whole_ids: bool = True) -> D
                 shard = _shard(row, terminals)
                 sizes = row.column("ids").flatten().to_numpy()
                 to = np.cumsum(sizes)
-                raw = memoryview(shard.ids().astype("<u4").tobytes())
+                raw = memoryview(shard.ids().tobytes())
                 texts = [raw[4 * (b - n) : 4 * b] for b, n in zip(to.tolist(), sizes.tolist())]
                 columns = [row.column("doc_id").flatten(), pa.array(row.column("first")[0].as_py() + to - sizes), pa.array(sizes), pa.array([zlib.crc32(t) for t in texts], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*columns, *[pa.array([bytes(t) for t in texts], pa.binary())] * whole_ids], names)
