@@ -6,12 +6,9 @@ pair only if it is the only one from both sides; ties are reported and leave bot
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
-from itertools import combinations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,13 +16,12 @@ from pyspark.sql import functions as F
 from assure.functions.dates import within_days
 from assure.functions.money import Tolerance, sum_paise
 from assure.functions.text import record_key
+from assure.operators.subsets import POOL, members, reachable
 from assure.sources.readers import numbered
 
 # Confidence of each pass in basis points, its rule, and the order in which their groups are numbered.
 CONFIDENCE = {"P0": 10_000, "P1": 9_500, "P2": 9_000, "P3": 7_000}
 RULE = {"P0": "ID_CHAIN", "P1": "EXACT_COMPOSITE", "P2": "GROUP_SUBSET_SUM", "P3": "TOL_BAND"}
-#: Candidates up to which subsets are tried, and members of a subset.
-POOL, MEMBERS = 40, 5
 
 
 def record_edges(records) -> DataFrame:
@@ -97,10 +93,33 @@ def exact_pairs(pending: DataFrame, banks: DataFrame) -> DataFrame:
 
 
 def band_pairs(pending: DataFrame, banks: DataFrame, tolerance: Tolerance = Tolerance()) -> DataFrame:
-    """P3: amounts within the target's band, days within the window. Each day of the window is an equi-join key."""
+    """P3: amounts within the target's band, days within the window, by equi-join on day and amount bucket.
+
+    Buckets are as wide as the next power of two above twice the target's band, so a chain looks into its own and at most
+    one neighbour. Bands are a share of the amount: a credit stands in the one or two sizes of bucket that chains near it use.
+    """
+    if not 0 <= tolerance.rel_bps <= 5000:
+        raise ValueError("a band is at most half of the amount")
+
+    def size(expected: Column) -> Column:
+        """Bits of a bucket for a target."""
+        return F.length(F.bin(tolerance.band(expected) * 2))
+
+    def bucket(amount: Column, bits: Column) -> Column:
+        return F.call_function("shiftright", amount, bits)
+
     days = F.explode(F.sequence(F.lit(-tolerance.days), F.lit(tolerance.days)))
+    bits, band = size(F.col("target_paise")), tolerance.band("target_paise")
+    edges = F.array_distinct(F.array(bucket(F.col("target_paise") - band, bits), bucket(F.col("target_paise") + band, bits)))
     spread = pending.select("*", days.alias("shift")).withColumn("credited", F.date_add("settled", F.col("shift")))
-    near = spread.join(banks, "credited")
+    spread = spread.select("*", bits.alias("bits"), F.explode(edges).alias("bucket"))
+    # the largest and the smallest target that can have this credit in its band
+    slack = tolerance.band("amount") * 2 + 2
+    least, most = F.greatest(F.abs("amount") - slack, F.lit(0)), F.abs("amount") + slack
+    sizes = F.explode(F.sequence(size(least), size(most)))
+    placed = banks.select("bank_id", "amount", "credited", sizes.alias("bits"))
+    placed = placed.select("*", bucket(F.col("amount"), F.col("bits")).alias("bucket"))
+    near = spread.join(placed, ["credited", "bits", "bucket"])
     return near.where(tolerance.within("target_paise", "amount") & within_days("settled", "credited", tolerance.days)).select("pending_id", "bank_id")
 
 
@@ -109,32 +128,17 @@ def settlements(pending: DataFrame) -> DataFrame:
     return pending.groupBy("settlement_id").agg(F.min("pending_id").alias("place"), sum_paise("target_paise").alias("target"))
 
 
-def find_subset(target: int, pool: list[tuple[int, int]], members: int = MEMBERS) -> tuple[str, list[tuple[int, ...]]]:
-    """Which subsets of pool (amount, id) sum to target: the whole pool before any other, then all of two to `members`."""
-    if len(pool) > POOL:
-        return "too_large", []
-    if pool and sum(a for a, _ in pool) == target:
-        return "unique", [tuple(sorted(i for _, i in pool))]
-    hits = [
-        tuple(i for _, i in combo)
-        for size in range(2, min(members, len(pool)) + 1)
-        for combo in combinations(sorted(pool), size)
-        if sum(a for a, _ in combo) == target
-    ]
-    return ("no_match" if not hits else "unique" if len(hits) == 1 else "ambiguous"), hits
-
-
 def grouped_sums(sums: DataFrame, banks: DataFrame) -> DataFrame:
     """P2: settlement_id, status, bank_id of each settlement with a candidate.
 
     sums: settlement_id, place, target. A single credit equal to a settlement's sum decides first: if it is
     the only free one, the earliest settlement with that sum claims it; several are a tie for each of them.
-    Subsets are tried only where no more than POOL credits are left, so that routine is one small task. Until a
-    claim leaves that few, only single credits decide, in a closed form. Places are distinct.
+    Subsets are tried only where no more than POOL credits are left. Until a claim leaves that few, only single credits
+    decide, in a closed form. Places are distinct.
     """
     extra = banks.count() - POOL  # claims after which subsets are tried
     if extra <= 0:
-        return _sequential(sums, banks)
+        return _in_turn(sums, banks)
     same = banks.groupBy(F.col("amount").alias("target")).agg(F.count("*").alias("free"), F.min("bank_id").alias("only"))
     first = F.row_number().over(W.partitionBy("target").orderBy("place"))
     met = sums.withColumn("turn", first).join(same, "target").checkpoint()
@@ -146,7 +150,7 @@ def grouped_sums(sums: DataFrame, banks: DataFrame) -> DataFrame:
     turning = won.select("place").orderBy(F.desc("place")).limit(claims - extra + 1).agg(F.min("place")).first()[0]
     early = won.where(F.col("place") <= turning)
     left = banks.join(early.select(F.col("only").alias("bank_id")), "bank_id", "left_anti")
-    return _closed(met.where(F.col("place") <= turning), early, banks).unionByName(_sequential(sums.where(F.col("place") > turning), left))
+    return _closed(met.where(F.col("place") <= turning), early, banks).unionByName(_in_turn(sums.where(F.col("place") > turning), left))
 
 
 def _closed(met: DataFrame, won: DataFrame, banks: DataFrame) -> DataFrame:
@@ -156,31 +160,48 @@ def _closed(met: DataFrame, won: DataFrame, banks: DataFrame) -> DataFrame:
     return unique.unionByName(torn.select("settlement_id", F.lit("ambiguous").alias("status"), "bank_id"))
 
 
-def _sequential(sums: DataFrame, banks: DataFrame) -> DataFrame:
+def _in_turn(sums: DataFrame, banks: DataFrame) -> DataFrame:
     """Settlements in turn against what is still free of at most POOL credits.
 
-    A settlement whose sum neither one nor several credits can reach is left out beforehand, so few remain.
+    What a target can have depends on the credits that are free, and these change only with a claim. So each round looks up
+    the first later settlement whose answer is unique, for all at once in the table of reachable sums; after the last
+    claim (POOL at most), every settlement meets the table of its own turn.
     """
-    pool = banks.select("bank_id", "amount").collect()  # bounded: POOL rows at most
-    free = {r["bank_id"]: r["amount"] for r in pool}
-    most, least = sum(max(a, 0) for a in free.values()), sum(min(a, 0) for a in free.values())
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left = dict(free)
-        rows = pd.concat(list(batches) or [pd.DataFrame(columns=["settlement_id", "place", "target"])]).sort_values("place")
-        out = []
-        for s, target in zip(rows["settlement_id"], rows["target"]):
-            single = [i for i, a in left.items() if a == target]
-            status, hits = ("unique" if len(single) == 1 else "ambiguous", [(i,) for i in single]) if single else find_subset(target, [(a, i) for i, a in left.items()])
-            if status == "unique":
-                for i in hits[0]:
-                    del left[i]
-            out += [(s, status, i) for i in sorted({i for hit in hits for i in hit})]
-        yield pd.DataFrame(out, columns=["settlement_id", "status", "bank_id"])
-
-    reachable = sums.where(F.col("target").between(least, most))
-    kind = dict(sums.dtypes)["settlement_id"]
-    return reachable.coalesce(1).mapInPandas(run, f"settlement_id {kind}, status string, bank_id long")
+    pool = banks.select("amount", "bank_id").orderBy("amount", "bank_id").collect()  # bounded: POOL rows at most
+    spark, ids, amounts = sums.sparkSession, [r["bank_id"] for r in pool], [r["amount"] for r in pool]
+    whole = spark.createDataFrame([(0, len(ids), ids, amounts)], "p int, n int, ids array<long>, amounts array<long>")
+    single = spark.createDataFrame([(a, 1 << i, True) for i, a in enumerate(amounts)], "target long, mask long, single boolean")
+    every = single.unionByName(reachable(whole, "p").select("target", "mask", F.lit(False).alias("single")))
+    near = every.join(sums.select("target").distinct(), "target", "left_semi").checkpoint()
+
+    def answers(rows: DataFrame, turns: list[int], *by: str) -> DataFrame:
+        """by, target, hits, mask: what decides about a target, in rows (near of each turn, with the turn's free credits)."""
+        one = F.col("single")
+        of = rows.where(F.col("mask").bitwiseAND(F.bitwise_not(F.col("free"))) == 0).groupBy(*by, "target").agg(
+            F.count_if(one).alias("ones"), F.bit_or(F.when(one, F.col("mask"))).alias("one"), F.count("*").alias("hits"), F.bit_or("mask").alias("any")
+        )
+        sums_of = [(k, sum(a for i, a in enumerate(amounts) if free >> i & 1), free) for k, free in enumerate(turns) if free]
+        all_free = spark.createDataFrame(sums_of, "turn int, target long, all long").select(*by, "target", "all")
+        both = of.join(all_free, [*by, "target"], "full")
+        taken = F.when(F.col("ones") > 0, F.col("one")).otherwise(F.coalesce("all", "any"))
+        hits = F.when(F.col("ones") > 0, F.col("ones")).when(F.col("all").isNotNull(), 1).otherwise(F.col("hits"))
+        return both.select(*by, "target", hits.alias("hits"), taken.alias("mask"))
+
+    turns, places = [(1 << len(ids)) - 1], []
+    while turns[-1]:
+        later = sums.where(F.col("place") > places[-1]) if places else sums
+        unique = answers(near.withColumn("free", F.lit(turns[-1])), turns[-1:]).where("hits = 1")
+        found = later.join(unique, "target").agg(F.min(F.struct("place", "mask")).alias("first")).first()["first"]
+        if found is None:
+            break
+        places.append(found["place"])
+        turns.append(turns[-1] & ~found["mask"])
+    free = F.array(*[F.lit(t).cast("long") for t in turns])
+    of_turns = near.select("*", F.posexplode(free).alias("turn", "free"))
+    turn = F.size(F.filter(F.array(*map(F.lit, places)).cast("array<long>"), lambda p: p < F.col("place")))
+    met = sums.withColumn("turn", turn).join(answers(of_turns, turns, "turn"), ["turn", "target"])
+    status = F.when(F.col("hits") == 1, "unique").otherwise("ambiguous")
+    return met.select("settlement_id", status.alias("status"), F.explode(members(F.array(*map(F.lit, ids)).cast("array<long>"), F.col("mask"))).alias("bank_id"))
 
 
 @dataclass

@@ -40,6 +40,24 @@ loose AS (SELECT bank_id, amount FROM orph WHERE bank_id NOT IN (SELECT bank_id
 banked AS (SELECT transfer_id AS k FROM recon WHERE utr IN (SELECT utr FROM bank WHERE utr IS NOT NULL)
   UNION SELECT transfer_id FROM recon JOIN rc USING (utr) JOIN claims USING (pending_id))"""
 
+def _joined(n: int) -> str:
+    """Subsets of n credits of a week, by n - 1 self-joins."""
+    names = [f"c{i}" for i in range(n)]
+    joins = " ".join(f"JOIN c {b} ON {b}.week = {a}.week AND {b}.i > {a}.i" for a, b in zip(names, names[1:]))
+    return f"SELECT c0.week, [{', '.join(f'{x}.bank_id' for x in names)}] AS m, {' + '.join(f'{x}.amount' for x in names)} AS target FROM c c0 {joins} WHERE c0.n <= 40"
+
+
+SUBSETS = f"""{LINK},
+c AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY week ORDER BY amount, bank_id) AS i, COUNT(*) OVER (PARTITION BY week) AS n
+  FROM (SELECT bank_id, amount, CAST(date_trunc('week', credited) AS DATE) AS week FROM orph) x),
+t AS (SELECT a.week, a.n, a.bank_id AS target_id, a.amount + z.amount AS target FROM c a JOIN c z ON z.week = a.week AND z.i = a.i + 1),
+whole AS (SELECT week, CAST(SUM(amount) AS BIGINT) AS target, list(bank_id) AS m FROM c WHERE n <= 40 GROUP BY week),
+sets AS ({" UNION ALL ".join(_joined(n) for n in range(2, 6))}),
+hit AS (SELECT target_id, m, COUNT(*) OVER (PARTITION BY target_id) AS hits FROM t JOIN sets USING (week, target) WHERE (week, target) NOT IN (SELECT (week, target) FROM whole)
+  UNION ALL SELECT target_id, m, 1 FROM t JOIN whole USING (week, target))
+SELECT DISTINCT target_id, CASE WHEN hits = 1 THEN 'unique' ELSE 'ambiguous' END AS status, unnest(m) AS bank_id FROM hit
+UNION ALL SELECT target_id, 'too_large', NULL FROM t WHERE n > 40"""
+
 UNITS = f"""{LINK},
 u0 AS (SELECT i.k, i.seller, i.category, i.placed, i.gross, i.applied_bps, i.tcs, i.tds, c.bps AS card_bps, COALESCE(p.n, 0) AS n_payments, COALESCE(p.fee, 0) AS fee, COALESCE(p.tax, 0) AS tax, COALESCE(p.gst, 0) AS fee_gst,
     COALESCE(r.n, 0) AS n_refunds, COALESCE(r.amount, 0) AS refunds, COALESCE(d.amount, 0) AS disputes, COALESCE(h.n, 0) AS n_orphaned, COALESCE(h.amount, 0) AS orphaned,

@@ -7,11 +7,12 @@ from functools import cached_property
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assure import oracles as O
 from assure.functions import dates, money, text
-from assure.operators import checks, constraints, linking, triage, units
+from assure.operators import checks, constraints, linking, subsets, triage, units
 from assure.operators.components import components
 from assure.plans import close, score, synth
 from assure.plans.projection import AS_OF, TABLES, Records
@@ -292,16 +293,13 @@ def match_p2_single_sum(r: Run) -> DataFrame:
     return linking.grouped_sums(linking.settlements(a.pending), a.banks)
 
 
-@query()
+@query(O.SUBSETS)
 def match_p2_subset(r: Run) -> DataFrame:
-    """Every free credit against the sums of each two that follow one another in amount; subsets once few are left."""
-    from assure.sources.readers import numbered
-
-    placed = numbered(r.orphans.select("bank_id", "amount"), "amount", "bank_id")
-    after = placed.select((F.col("line_no") - 1).alias("line_no"), F.col("amount").alias("next"))
-    both = placed.join(after, "line_no")
-    sums = both.select(F.col("bank_id").alias("settlement_id"), F.col("line_no").alias("place"), (F.col("amount") + F.col("next")).alias("target"))
-    return linking.grouped_sums(written(sums), r.orphans.select("bank_id", "amount"))
+    """The free credits of each week, against the sum of each two that follow one another in amount."""
+    credits = r.orphans.select(F.to_date(F.date_trunc("week", "credited")).alias("week"), "bank_id", "amount")
+    after = W.partitionBy("week").orderBy("amount", "bank_id")
+    sums = credits.select("week", F.col("bank_id").alias("target_id"), (F.col("amount") + F.lead("amount").over(after)).alias("target"))
+    return subsets.subset_matches(credits, written(sums.where("target IS NOT NULL")), "week")
 
 
 @query(f"{O.LINK} SELECT pending_id, bank_id, dp = 1 AND db = 1 AS claimed FROM p3p")

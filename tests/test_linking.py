@@ -1,12 +1,16 @@
 """The passes: scenarios by hand, and invariants on generated pools."""
 
 import datetime as dt
+import itertools
+import math
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from assure.operators import linking
+from assure.operators import linking, subsets
 from assure.operators.components import components
 
 DAY = dt.date(2026, 7, 1)
@@ -54,15 +58,71 @@ def test_band(spark):
     assert linked(spark, [(1, 98_000, 1, 0)], [(7, 97_500, 1)])[0] == {(1, "P0", None)}
 
 
-def test_find_subset():
-    assert linking.find_subset(1000, [(300, 1), (700, 2), (50, 3)]) == ("unique", [(1, 2)])
-    assert linking.find_subset(1000, [(500, 1), (500, 2), (200, 3), (800, 4)])[0] == "ambiguous"
-    assert linking.find_subset(1, [(1, i) for i in range(41)])[0] == "too_large"
+def subsets_of(target, pool):
+    """Brute force: status, and the subsets of pool (amount, id)."""
+    if len(pool) > 40:
+        return "too_large", []
+    if pool and sum(a for a, _ in pool) == target:
+        return "unique", [tuple(i for _, i in pool)]
+    hits = [tuple(i for _, i in c) for n in range(2, 6) for c in itertools.combinations(pool, n) if sum(a for a, _ in c) == target]
+    return "unique" if len(hits) == 1 else "ambiguous", hits
+
+
+def test_subset_matches(spark):
+    rng = random.Random(8)
+    pools = {0: [(rng.randint(1, 60), 100 + i) for i in range(12)], 1: [(300, 1), (700, 2), (50, 3)], 2: [(500, 11), (500, 12), (200, 13), (800, 14)], 3: [(1, 1000 + i) for i in range(41)], 4: [(5, 5000)], 5: [(-5, 20), (5, 21), (7, 22)]}
+    targets = [(0, 9000 + t, t) for t in range(1, 250)] + [(1, 1, 1000), (1, 2, 1050), (2, 3, 1000), (3, 4, 2), (4, 5, 5), (4, 6, 10), (5, 7, 0), (5, 8, 7), (6, 9, 1)]
+    credits = spark.createDataFrame([(p, i, a) for p, c in pools.items() for a, i in c], "pool int, bank_id long, amount long")
+    got = {tuple(r) for r in subsets.subset_matches(credits, spark.createDataFrame(targets, "pool int, target_id long, target long"), "pool").collect()}
+    want = set()
+    for p, t, target in targets:
+        if p == 3:
+            want.add((t, "too_large", None))
+        else:
+            status, hits = subsets_of(target, pools.get(p, []))
+            want |= {(t, status, i) for h in hits for i in h}
+    assert got == want and {s for _, s, _ in got} == {"unique", "ambiguous", "too_large"}
+
+
+def test_a_pool_reaches_all_its_sums(spark):
+    rows = spark.createDataFrame([(0, 40, list(range(40)), [3**20 + i for i in range(40)])], "p int, n int, ids array<long>, amounts array<long>")
+    n = sum(math.comb(40, k) for k in range(2, 6))
+    assert tuple(subsets.reachable(rows, "p").select(F.count("*"), F.count_distinct("mask")).first()) == (n, n)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_equal_amounts_in_turn(spark, seed):
+    rng = random.Random(seed)
+    banks = [(i, rng.choice([100, 200, 300, 500, 900]) if seed else rng.randint(50, 90), 0) for i in range(rng.randint(1, 9))]
+    pending = [(i, rng.choice([100, 200, 300, 400, 500, 600, 800, 1000, 1500, sum(a for _, a, _ in banks)]) if seed else rng.randint(50, 300), 10 + i, 5) for i in range(30)]
+    p, b = frames(spark, pending, banks)
+    assert {tuple(r) for r in linking.grouped_sums(linking.settlements(p), b).collect()} == one_by_one(pending, banks)
 
 
-def test_the_closed_form_is_the_sequential_routine(spark):
-    import random
+def test_bands_are_all_pairs(spark):
+    rng = random.Random(5)
+    base = [rng.choice([5, 99, 1000, 99_999, 100_050, 131_072, 1_048_576, 99_999_999]) for _ in range(60)]
+    near = lambda: rng.choice((-1, 1)) * rng.randint(0, 210)
+    pending = [(i, (t + near()) * rng.choice((1, 1, -1)), i, rng.randint(0, 5)) for i, t in enumerate(base)]
+    banks = [(i, (t + near() * (1 + t // 200_000)) * rng.choice((1, 1, -1)), rng.randint(0, 5)) for i, t in enumerate(base * 3)]
+    got = sorted(map(tuple, linking.band_pairs(*frames(spark, pending, banks)).collect()))
+
+    def band(t):
+        return max(100, (abs(t) * 10 + 5000) // 10_000)
+
+    want = sorted((i, j) for i, t, _, d in pending for j, a, e in banks if abs(t - a) <= band(t) and abs(d - e) <= 2)
+    assert got == want and len(want) > 100
+
 
+def test_many_credits_of_one_day(spark):
+    pending = spark.range(100_000).selectExpr("id AS pending_id", "id * 1000 AS target_paise", "id AS settlement_id", "DATE '2026-07-01' AS settled")
+    banks = spark.range(100_000).selectExpr("id AS bank_id", "id * 1000 + 40 AS amount", "DATE '2026-07-01' AS credited")
+    got = linking.band_pairs(pending, banks).selectExpr("COUNT(*) AS n", "COUNT_IF(pending_id = bank_id) AS own").first()
+    wide = sum((min(99_999, (1000 * t - 40 + w) // 1000) - max(0, -((w - 1000 * t + 40) // 1000)) + 1) for t in range(100_000) for w in [max(100, (t * 10_000 + 5000) // 10_000)])
+    assert got["own"] == 100_000 and got["n"] == wide
+
+
+def test_the_closed_form_is_the_sequential_routine(spark):
     rng = random.Random(3)
     banks = [(i, rng.randint(1, 30) * 1000 + 1_000_000, 0) for i in range(130)]
     pending = [(i, rng.randint(1, 40) * 1000 + 1_000_000, i, 5) for i in range(25)]
@@ -82,7 +142,7 @@ def one_by_one(pending, banks):
     free, want = {i: a for i, a, _ in banks}, set()
     for i, target, s, _ in sorted(pending):
         single = [k for k, a in free.items() if a == target]
-        status, hits = ("unique" if len(single) == 1 else "ambiguous", [(k,) for k in single]) if single else linking.find_subset(target, [(a, k) for k, a in free.items()])
+        status, hits = ("unique" if len(single) == 1 else "ambiguous", [(k,) for k in single]) if single else subsets_of(target, [(a, k) for k, a in free.items()])
         want |= {(s, status, k) for hit in hits for k in hit}
         if status == "unique":
             for k in hits[0]:
@@ -128,7 +188,5 @@ def test_components_follow_chains(spark):
 
 
 def test_contested_key(spark):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([([["b2", "o1"], ["b1", "o1"]],), ([["b9", "o1"]],)], "c array<array<string>>")
     assert [r[0] for r in df.select(linking.contested(F.col("c"))).collect()] == ["b1", "b9"]
