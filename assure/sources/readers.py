@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,24 +39,91 @@ def numbered(rows: DataFrame, *order: str | Column) -> DataFrame:
     return placed.join(offsets, F.col("_p") == F.col("_q")).withColumn("line_no", F.col("_i") + F.col("_o")).drop("_p", "_i", "_q", "_o")
 
 
+#: Lines that share a running total.
+BLOCK = 1 << 16
+
+
+def _pieces(spark: SparkSession, path: str, end: str | None = None) -> DataFrame:
+    """line_no, value: a file's pieces up to each `end` (a line feed, with or without a carriage return, by default).
+
+    Spark deals byte ranges of the file to tasks; a range's first byte and the order of reading give the order.
+    """
+    read = spark.read.option("lineSep", end) if end else spark.read
+    rows = read.text(path).select("value", F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("m"))
+    return numbered(rows.where("value <> ''"), "at", "m").drop("at", "m")
+
+
+def _with_total_before(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """rows (line_no) with the sum of value over all earlier lines: totals of blocks, then a window in each block."""
+    blocks = rows.withColumn("_b", F.expr(f"line_no div {BLOCK}")).withColumn("_v", value.cast("long"))
+    sums = blocks.groupBy(F.col("_b").alias("_c")).agg(F.sum("_v").alias("_s"))  # a row for each 65,536 lines
+    earlier = F.coalesce(F.sum("_s").over(W.orderBy("_c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("_v").over(W.partitionBy("_b").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    met = blocks.withColumn("_in", inside).join(F.broadcast(sums.select("_c", earlier.alias("_e"))), F.col("_b") == F.col("_c"))
+    return met.withColumn(name, F.col("_in") + F.col("_e")).drop("_b", "_c", "_v", "_in", "_e")
+
+
+def _quotes(value: Column) -> Column:
+    return F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
+
+
 def csv_rows(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """A headed CSV, every column text, in file order. The file is one document and small enough for one split."""
+    """A headed CSV, every column text, in file order, read in splits; line_no counts its records.
+
+    A line begins a record if an even number of quotes stands before it in the file, so quoted line breaks are put
+    together again. Empty lines outside of quotes are no records.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS[source]])
-    rows = spark.read.schema(schema).option("header", True).csv(path).coalesce(1).withColumn("line_no", F.monotonically_increasing_id() + 1)
+    lines = _pieces(spark, path)
+    if lines.where(_quotes(F.col("value")) % 2 == 1).isEmpty():
+        records = lines
+    else:
+        kept = numbered(spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("m")), "at", "m").drop("at", "m")
+        begun = written(_with_total_before(kept, _quotes(F.col("value")), "quotes").withColumn("begins", (F.col("quotes") % 2 == 0)))
+        placed = _with_total_before(begun, F.col("begins").cast("int"), "earlier").withColumn("record", F.col("earlier") + F.col("begins").cast("int"))
+        parts = F.sort_array(F.collect_list(F.struct("line_no", "value")))
+        whole = placed.groupBy("record").agg(F.min("line_no").alias("at"), F.array_join(F.transform(parts, lambda p: p["value"]), "\n").alias("value"))
+        records = numbered(whole.where("value <> ''").select("at", "value"), "at")
+    fields = F.from_csv("value", schema.simpleString()[len("struct<") : -1].replace(":", " "), {"escape": '"', "multiLine": "true"})
+    rows = records.where("line_no > 1").select((F.col("line_no") - 1).alias("line_no"), fields.alias("f")).select("line_no", "f.*")
     return rows.select(record_key(f"raw_{source}", "line_no").alias("raw_id"), F.lit(source).alias("source"), "line_no", *COLUMNS[source])
 
 
 def processor_rows(spark: SparkSession, path: str) -> DataFrame:
-    """The processor's document: raw_id, line_no, kind, and each element as a VARIANT, so that bad numbers survive."""
+    """The processor's document: raw_id, line_no, kind, and each element as a VARIANT, so that bad numbers survive.
+
+    The document is cut at closing braces and read in splits: its elements are objects without inner ones. A document in
+    which a string holds a brace, or an element an object, is read as one value.
+    """
+    cut = written(_pieces(spark, path, "}"))
+    text = F.regexp_replace("value", r"\\\\.", "")  # without escaped characters
+    braces = F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
+    odd = (_quotes(text) % 2 == 1) | (braces > F.when(F.col("line_no") == 1, 2).otherwise(1)) | ((braces == 0) & F.col("value").contains('"id"'))
+    if not cut.where(odd).isEmpty():
+        items = _whole_document(spark, path)
+    else:
+        before = F.regexp_extract("value", r"(?s)^(.*)\{", 1)
+        cut = cut.withColumn("opened", F.regexp_extract_all(F.when(F.col("value").contains("{"), before).otherwise(F.col("value")), F.lit(r'"(\w+)"\s*:\s*\['), F.lit(1)))
+        # a row for each array of the document
+        arrays = [(r["line_no"], r["opened"][-1]) for r in cut.where(F.size("opened") > 0).orderBy("line_no").select("line_no", "opened").collect()]
+        kind = F.lit(None).cast("string")
+        for at, name in arrays:
+            kind = F.when(F.col("line_no") >= at, F.lit(name)).otherwise(kind)
+        order = F.array_position(F.array(*map(F.lit, ARRAYS)), F.col("kind"))
+        elements = cut.where(F.col("value").contains("{")).withColumn("kind", kind).withColumn("item", F.concat(F.regexp_extract("value", r"(?s)(\{[^{]*)$", 1), F.lit("}")))
+        elements = elements.where(F.col("kind").isin(*ARRAYS) & (F.trim("item") != "{}"))
+        items = elements.select(order.alias("a"), F.col("line_no").alias("pos"), "kind", "item")
+    rows = numbered(items, "a", "pos").withColumn("item", F.parse_json("item"))
+    return rows.select(record_key("raw_razorpay", "line_no").alias("raw_id"), F.lit("razorpay").alias("source"), "line_no", "kind", "item")
+
+
+def _whole_document(spark: SparkSession, path: str) -> DataFrame:
     doc = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("doc"))
     parts = []
     for n, kind in enumerate(ARRAYS):
         part = spark.sql(f"SELECT e.pos AS pos, e.value AS item FROM {{doc}}, LATERAL variant_explode_outer(variant_get(doc, '$.{kind}', 'variant')) e", doc=doc)
-        parts.append(part.where("item is not null").select(F.lit(n).alias("a"), "pos", F.lit(kind).alias("kind"), "item"))
-    from pyspark.sql import Window as W
-
-    rows = reduce(DataFrame.unionByName, parts).withColumn("line_no", F.row_number().over(W.orderBy("a", "pos")).cast("long"))  # one document
-    return rows.select(record_key("raw_razorpay", "line_no").alias("raw_id"), F.lit("razorpay").alias("source"), "line_no", "kind", "item")
+        parts.append(part.where("item is not null").select(F.lit(n).alias("a"), "pos", F.lit(kind).alias("kind"), F.to_json("item").alias("item")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def provenance(spark: SparkSession, paths: list[str]) -> DataFrame:

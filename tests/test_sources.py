@@ -51,3 +51,52 @@ def test_sellers_of_one_name(spark):
     rows = spark.createDataFrame([("A",), ("B",), ("C",)], "seller_name string")
     got = {r["seller_name"]: (r["seller_id"], r["resolution"]) for r in normalise.resolved_sellers(rows, sellers).collect()}
     assert got == {"A": ("A", "seller_name_ambiguous"), "B": ("s3", "seller_name_resolved"), "C": ("C", "seller_name_not_found")}
+
+
+def plain_csv(path):
+    import csv
+
+    with open(path, newline="") as f:
+        return [tuple(r) for r in csv.reader(f) if r][1:]
+
+
+def test_csv_in_splits(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    for case, cells in enumerate((["a", "1,50.5", "", "x y"], ["a", 'say "hi"', "two\nlines", "", "end\n\n", ","])):
+        path = tmp_path / f"bank{case}.csv"
+        import csv
+
+        with open(path, "w", newline="") as f:
+            out = csv.writer(f, lineterminator="\r\n" if case == 0 else "\n")
+            out.writerow(readers.COLUMNS["bank"])
+            for i in range(3000):
+                out.writerow([f"b{i}", *(rng.choice(cells) for _ in range(4))])
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+        try:
+            rows = readers.csv_rows(spark, str(path), "bank")
+            got = [tuple(x or "" for x in r) for r in rows.orderBy("line_no").select(*readers.COLUMNS["bank"]).collect()]
+            assert spark.read.text(str(path)).rdd.getNumPartitions() > 5
+            numbers = [r["line_no"] for r in rows.select("line_no").orderBy("line_no").collect()]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert got == plain_csv(path) and numbers == list(range(1, 3001))
+
+
+def test_processor_document_in_splits(spark, tmp_path):
+    def doc(strange=""):
+        pay = [{"id": f"p{i}", "order_id": "o [1]", "amount": i, "note": f'q " {strange}' if i == 7 else None} for i in range(2000)]
+        trf = [{"id": f"t{i}", "payment_id": f"p{i}", "amount": i} for i in range(1500)]
+        return {"transfers": trf, "refunds": [], "payments": pay, "other": [{"id": "z"}], "reversals": [], "disputes": [{"id": "d1"}], "settlements": []}
+
+    for case, (strange, indent) in enumerate((("", None), ("", 2), ("} {", None))):
+        path = tmp_path / f"doc{case}.json"
+        path.write_text(json.dumps(doc(strange), indent=indent))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+        try:
+            rows = [(r["line_no"], r["kind"], r["id"]) for r in readers.processor_rows(spark, str(path)).selectExpr("line_no", "kind", "variant_get(item, '$.id', 'string') AS id").orderBy("line_no").collect()]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        want = [("payments", f"p{i}") for i in range(2000)] + [("transfers", f"t{i}") for i in range(1500)] + [("disputes", "d1")]
+        assert rows == [(n, *x) for n, x in enumerate(want, 1)]
