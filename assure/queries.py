@@ -48,10 +48,20 @@ class Run:
     def t(self, name: str) -> DataFrame:
         return self.records.table(name)
 
+    @property
+    def placed_payment(self) -> DataFrame:
+        """Payments with the order they belong to."""
+        return self.t("payment")
+
+    @property
+    def placed_recon(self) -> DataFrame:
+        """Settlement rows whose transfer_id is the key of their order, as it is in these tables."""
+        return self.t("recon")
+
     @cached_property
     def chains(self) -> DataFrame:
         """node, component: orders by key, banks from BANK_NODE on, so that a chain's smallest order names it."""
-        return written(components(linking.join_edges(self.t("intent"), self.t("recon"), self.t("bank"), O.BANK_NODE)))
+        return written(components(linking.join_edges(self.t("intent"), self.placed_recon, self.t("bank"), O.BANK_NODE)))
 
     @cached_property
     def routed(self) -> DataFrame:
@@ -63,8 +73,8 @@ class Run:
         recon = {"credit": "credit", "debit": "debit", "settlement_id": "settlement_id", "settled": "settled"}
         members = (
             side(self.t("intent"), F.col("k"), "intent", 0)
-            .unionByName(side(self.t("payment"), F.col("order_id"), "razorpay", 1))
-            .unionByName(side(self.t("recon"), F.col("transfer_id"), "razorpay", 2, **recon))
+            .unionByName(side(self.placed_payment, F.col("order_id"), "razorpay", 1))
+            .unionByName(side(self.placed_recon, F.col("transfer_id"), "razorpay", 2, **recon))
             .unionByName(side(self.t("bank"), F.col("bank_id") + F.lit(O.BANK_NODE), "bank", 3))
         )
         return written(linking.route(members.join(self.chains, "node")))
@@ -89,7 +99,7 @@ class Run:
             self.linked.groups.where("bank_id is not null").select(F.col("pending_id").alias("component"))
         )
         orders = self.chains.where(F.col("node") < O.BANK_NODE).join(with_bank.distinct(), "component", "left_semi")
-        return orders.select(F.col("node").alias("k")).join(self.t("recon").select(F.col("transfer_id").alias("k")), "k", "left_semi")
+        return orders.select(F.col("node").alias("k")).join(self.placed_recon.select(F.col("transfer_id").alias("k")), "k", "left_semi")
 
     @cached_property
     def units(self) -> DataFrame:
