@@ -36,13 +36,10 @@ TABLE_WORDS = 1 << 19
 GROUP_BYTES = 4 << 20
 #: Most ids: code points below the surrogates.
 IDS = 0xD800
-#: Bytes of a word up to which a step of the fold merges one pair: few steps, each a few lookups. In a longer word it
-#: merges all pairs of a rank, so that the steps are as many as the ranks in it; the ids are the same.
-SHORT = 64
+#: Bytes that are folded at once; a fold's cost grows with their square, so a long word's windows are short.
+WINDOW = 24
 #: No merge, and the edge of a word: above all ids.
 NONE, EDGE = "\uffff", "\ufffe"
-#: All pairs of a rank are merged in one step, or the leftmost one.
-ALL, FIRST = "a", "f"
 #: Stands for the id 0 in a call that would drop it.
 ZERO = "\ud7ff"
 
@@ -64,23 +61,7 @@ class Vocabulary:
         self.bytes_ = "".join(chr(self.ids[bytes([b])]) for b in range(256))
         #: Pieces that their own merges don't lead to; the tokenizer takes a word that is a piece at once.
         self.whole = {p: chr(n) for p, n in self.ids.items() if self.merge(p) != chr(n)}
-        self.one_by_one = self._one_by_one()
-
-    def _one_by_one(self) -> frozenset[str]:
-        """Merged ids of which only the leftmost pair may be merged in a step.
-
-        All pairs of the least rank may be merged at once, from left to right, unless a merge opens a pair of a
-        still lower rank, or two different pairs of that rank can share the piece between them.
-        """
-        pairs: dict[str, list[str]] = {}
-        found = set()
-        for pair, merged in self.merges.items():
-            pairs.setdefault(merged, []).append(pair)
-            found.update(x for x in pair if merged < x)
-        for merged, ways in pairs.items():
-            if any(x != y and x[1] == y[0] for x in ways for y in ways):
-                found.add(merged)
-        return frozenset(found)
+        self.window = WINDOW
 
     def merge(self, word: bytes) -> str:
         """The ids of a word of any length, by a heap of its neighbouring pairs."""
@@ -109,11 +90,11 @@ class Vocabulary:
         return chr(self.ids[raw]) if raw in self.ids else self.merge(raw)
 
     def rank_map(self) -> list[dict[str, str]]:
-        """Buckets of pair -> the merged id, and how pairs of that rank are merged."""
+        """Buckets of pair -> the merged id."""
         buckets: list[dict[str, str]] = [{} for _ in range(PAIR_BUCKETS)]
         for pair, merged in self.merges.items():
             h = xxhash.xxh64_intdigest(pair.encode("utf-8"), 42)
-            buckets[(h - (h >> 63 << 64)) % PAIR_BUCKETS][pair] = merged + (FIRST if merged in self.one_by_one else ALL)
+            buckets[(h - (h >> 63 << 64)) % PAIR_BUCKETS][pair] = merged
         return buckets
 
     def pieces(self) -> list[str]:
@@ -145,22 +126,29 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def encoder(vocab: Vocabulary, ranks: Column) -> Callable[[Column], Column]:
-    """word -> its ids, as an expression: the fold of ranked merges over the word's bytes."""
+def encoder(vocab: Vocabulary, ranks: Column, pieces: Column) -> Callable[[Column], Column]:
+    """word -> its ids, as an expression: the fold of ranked merges over the word's bytes, window by window.
+
+    Ids are the encoding of a word if those of each two neighbours are the encoding of what the two stand for: no merge
+    between others could come before. So a window's ids are kept up to one that begins in its first half, if the window
+    that begins there begins with the same id. Else more of the text to the right decides: the window is doubled. Where
+    that changes the id at which the window before it ended, that one is doubled, or else the word begins anew with windows
+    twice as wide.
+    """
     latin = "".join(map(chr, range(256)))
     # translate() would drop a character that goes to U+0000
     start = vocab.bytes_.replace("\0", ZERO)
 
     def rank(pair: Column) -> Column:
-        """The merged id of a pair and how pairs of that rank are merged; null if there is no such merge."""
+        """The merged id of a pair; null if there is no such merge."""
         return F.get(ranks, F.pmod(F.xxhash64(pair), F.lit(PAIR_BUCKETS)).cast("int"))[pair]
 
     def one_merge(state: Column) -> Column:
-        """A step of a short word: the leftmost pair of the least rank is merged, and its two neighbours looked up."""
+        """The leftmost pair of the least rank is merged, and its two neighbours looked up."""
         s, r = state["s"], state["r"]
 
-        def merged(p: Column) -> Column:
-            m = F.substr(F.get(r, p - 1), F.lit(1), F.lit(1))
+        def at(p: Column) -> Column:
+            m = F.get(r, p - 1)
             around = F.array(F.concat(F.substr(s, p - 1, F.lit(1)), m), F.concat(m, F.substr(s, p + 2, F.lit(1))))
             return F.struct(
                 F.concat(F.substr(s, F.lit(1), p - 1), m, F.substr(s, p + 2)).alias("s"),
@@ -168,9 +156,9 @@ def encoder(vocab: Vocabulary, ranks: Column) -> Callable[[Column], Column]:
             )
 
         least = F.array_min(r)
-        return F.when(least == NONE, state).otherwise(_let(F.array_position(r, least).cast("int"), merged))
+        return F.when(least == NONE, state).otherwise(_let(F.array_position(r, least).cast("int"), at))
 
-    def short(raw: Column) -> Column:
+    def merged(raw: Column) -> Column:
         # an edge at both ends merges with nothing, so that every merge has a neighbour on both sides
         s = F.concat(F.lit(EDGE), raw, F.lit(EDGE))
         first = F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.coalesce(rank(F.substr(s, i, F.lit(2))), F.lit(NONE)))
@@ -178,35 +166,64 @@ def encoder(vocab: Vocabulary, ranks: Column) -> Callable[[Column], Column]:
         done = F.aggregate(steps, F.struct(s.alias("s"), first.alias("r")), lambda state, _: one_merge(state))
         return F.translate(done["s"], EDGE, "")
 
-    def least(s: Column) -> Column:
-        """rank() and pair of the least rank in s: of the leftmost pair where only that may be merged."""
+    def starts(ids: Column) -> Column:
+        """Where each id's bytes begin, and where the last's end."""
+        sizes = F.transform(F.split(ids, ""), lambda x: F.length(F.get(pieces, F.ascii(x))).cast("int") / 2)
+        return F.aggregate(sizes, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array((F.element_at(acc, -1) + x).cast("int"))))
+
+    def fold(raw: Column) -> Column:
+        return _let(F.encode(raw, "UTF-16BE"), folded)
 
-        def of_pairs(found: Column) -> Column:
-            return _let(F.array_min(found), lambda m: F.when(F.substr(m, F.lit(2), F.lit(1)) == FIRST, first(found, m)).otherwise(m))
+    def folded(raw: Column) -> Column:
+        """raw: two bytes for each id, so that a window is found by its place."""
+        n, width = (F.octet_length(raw) / 2).cast("int"), vocab.window
 
-        def first(found: Column, m: Column) -> Column:
-            return F.get(F.filter(found, lambda x: F.startswith(x, F.substr(m, F.lit(1), F.lit(1)))), F.lit(0))
+        def state(at: Column, wide: Column, base: Column, done: Column, ids: Column, before: Column | None = None) -> Column:
+            """before: at, wide, done and ids of the window before this one; wide is 0 where it isn't known."""
+            none = F.struct(F.lit(0).alias("at"), F.lit(0).alias("wide"), F.lit("").alias("done"), F.lit("").alias("ids"))
+            return F.struct(at.alias("at"), wide.alias("wide"), base.alias("base"), done.alias("done"), ids.alias("ids"), (none if before is None else before).alias("before"))
 
-        def of_ids(ids: Column) -> Column:
-            pairs = F.transform(F.slice(ids, 2, F.size(ids) - 1), lambda x, i: F.concat(F.get(ids, i), x))
-            return F.transform(pairs, lambda p: F.concat(rank(p), p))
+        def window(at: Column, wide: Column) -> Column:
+            return merged(F.decode(F.substr(raw, at * 2 + 1, wide * 2), "UTF-16BE"))
 
-        return _let(_let(F.split(s, ""), of_ids), of_pairs)
+        def step(now: Column) -> Column:
+            at, wide, base, done, ids, before = (now[c] for c in ("at", "wide", "base", "done", "ids", "before"))
+            anew = state(F.lit(0), base * 2, base * 2, F.lit(""), window(F.lit(0), base * 2))
 
-    def all_merges(now: Column) -> Column:
-        """A step of a long word: all pairs of the least rank are merged, where that comes to the same."""
-        s, found = now["s"], now["least"]
-        m, pair = F.substr(found, F.lit(1), F.lit(1)), F.substr(found, F.lit(3), F.lit(2))
-        one = _let(F.instr(s, pair), lambda at: F.concat(F.substr(s, F.lit(1), at - 1), m, F.substr(s, at + 2)))
-        merged = F.when(F.substr(found, F.lit(2), F.lit(1)) == FIRST, one).otherwise(F.replace(s, pair, m))
-        return F.when(found.isNull(), now).otherwise(_let(merged, lambda s: F.struct(s.alias("s"), least(s).alias("least"))))
+            def begins_alike(a: Column, new: Column, old: Column) -> Column:
+                return (a == 0) | (F.substr(new, F.lit(1), F.lit(1)) == F.substr(old, F.lit(1), F.lit(1)))
 
-    def long(raw: Column) -> Column:
-        steps = F.sequence(F.lit(1), F.greatest(F.length(raw) - 1, F.lit(1)))
-        return F.aggregate(steps, F.struct(raw.alias("s"), least(raw).alias("least")), lambda now, _: all_merges(now))["s"]
+            def back(new: Column) -> Column:
+                same = (before["wide"] > 0) & begins_alike(before["at"], new, before["ids"])
+                return F.when(same, state(before["at"], before["wide"] * 2, base, before["done"], new)).otherwise(anew)
 
-    def fold(raw: Column) -> Column:
-        return F.when(F.length(raw) <= SHORT, short(raw)).otherwise(long(raw))
+            def doubled(new: Column) -> Column:
+                again = _let(window(before["at"], before["wide"] * 2), back)
+                return F.when(begins_alike(at, new, ids), state(at, wide * 2, base, done, new, before)).otherwise(again)
+
+            wider = _let(window(at, wide * 2), doubled)
+            mine = F.struct(at.alias("at"), wide.alias("wide"), done.alias("done"), ids.alias("ids"))
+
+            def cut(places: Column) -> Column:
+                # of the ids that begin in the first half the last; the second id if only one does
+                j = F.greatest(F.size(F.filter(places, lambda p: p * 2 <= wide)) - 1, F.lit(1))
+
+                def kept(q: Column) -> Column:
+                    def next_window(new: Column) -> Column:
+                        same = F.substr(new, F.lit(1), F.lit(1)) == F.substr(ids, j + 1, F.lit(1))
+                        return F.when(same, state(at + q, base, base, F.concat(done, F.substr(ids, F.lit(1), j)), new, mine)).otherwise(wider)
+
+                    return F.when(j >= F.size(places) - 1, wider).otherwise(_let(window(at + q, base), next_window))
+
+                return _let(F.get(places, j), kept)
+
+            return F.when(at + wide >= n, now).otherwise(_let(starts(ids), cut))
+
+        # a window moves on by a quarter, about; a word that isn't done after so many steps is folded as one
+        steps = F.when(n <= width, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), (n * 8 / width).cast("int") + 8))
+        first = state(F.lit(0), F.lit(width), F.lit(width), F.lit(""), window(F.lit(0), F.lit(width)))
+        last = F.aggregate(steps, first, lambda now, _: step(now))
+        return _let(last, lambda x: F.when(x["at"] + x["wide"] >= n, F.concat(x["done"], x["ids"])).otherwise(window(F.lit(0), n)))
 
     def encode(word: Column) -> Column:
         raw = F.replace(F.translate(F.decode(word.cast("binary"), "ISO-8859-1"), latin, start), F.lit(ZERO), F.lit("\0"))
@@ -249,7 +266,7 @@ def _of_word(vocab: Vocabulary, then: Callable[[Callable[[Column], Column]], Col
     """then(word -> struct of its ids and of the decoded bytes, back), with the literals of with_literals()."""
 
     def made(ranks: Column, pieces: Column) -> Callable[[Column], Column]:
-        encode, decode = encoder(vocab, ranks), decoder(pieces)
+        encode, decode = encoder(vocab, ranks, pieces), decoder(pieces)
         return lambda word: _let(encode(word), lambda ids: F.struct(ids.alias("ids"), decode(ids).cast("string").alias("back")))
 
     return _let(F.col("_ranks"), lambda ranks: _let(F.col("_pieces"), lambda pieces: then(made(ranks, pieces))))
