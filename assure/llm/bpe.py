@@ -304,14 +304,15 @@ class Table:
         return pc.if_else(same, self.ids.take(at), none), pc.if_else(same, pc.coalesce(self.other.take(at), words), none)
 
 
-def encoded(docs: DataFrame, path: str | None = None, carry: tuple[str, ...] | None = None) -> DataFrame:
+def encoded(docs: DataFrame, path: str | None = None, carry: tuple[str, ...] | None = None, table_words: int = TABLE_WORDS) -> DataFrame:
     """docs' columns with _ids (a string of id characters) and _decoded (their bytes) of each text.
 
     docs: text and any other columns; carry: those of them to return, all by default. A null text counts as empty.
+    table_words bounds the table of frequent words; the results do not depend on it.
     """
     vocab = vocabulary(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     own = list(carry) if carry is not None else docs.columns
-    table = docs.sparkSession.sparkContext.broadcast(Table(stored(frequent(docs, vocab)).orderBy("hash").toArrow()))
+    table = docs.sparkSession.sparkContext.broadcast(Table(stored(frequent(docs, vocab, table_words)).orderBy("hash").toArrow()))
     pa.default_memory_pool().release_unused()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,13 +366,13 @@ def id_array(ids: Column) -> Column:
     return F.when(F.length(ids) > 0, F.transform(F.sequence(F.lit(1), F.length(ids)), lambda i: F.ascii(F.substr(ids, i, F.lit(1))))).otherwise(F.array().cast("array<int>"))
 
 
-def byte_bpe(docs: DataFrame, path: str | None = None) -> DataFrame:
+def byte_bpe(docs: DataFrame, path: str | None = None, table_words: int = TABLE_WORDS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of docs (doc_id, text).
 
     A null text counts as empty: no tokens, hashes of no bytes. Whole texts and words of any length are
     encoded; repeated rows give repeated results, an empty table an empty one; other columns are ignored.
     """
-    rows = encoded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path, carry=("doc_id",))
+    rows = encoded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path, carry=("doc_id",), table_words=table_words)
     return rows.select(
         "doc_id", F.length("_ids").cast("long").alias("n_tokens"), F.sha2(id_bytes(F.col("_ids")), 256).alias("ids_sha256"),
         F.sha2("_decoded", 256).alias("decoded_sha256"),

@@ -47,7 +47,7 @@ def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return bpe.byte_bpe(spread(table(spark, sf_dir, "documents")))
+    return bpe.byte_bpe(spread(table(spark, sf_dir, "documents")), table_words=1 << 20)
 
 
 def op11_token_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
