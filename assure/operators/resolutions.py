@@ -15,22 +15,27 @@ HINTS = {
     "tool_failure": "a working data source -- a tool call needed for the investigation could not be completed",
 }
 
+NOTHING_TRIED = "the investigation was stopped before any tool call completed"
+
+
+def broken(r: Column) -> Column:
+    """Names of the invariants that a resolution, as a struct of the columns of violations(), breaks: an array."""
+    rules = {
+        "escalation_needs_hint": (r["outcome"] == "ESCALATED_UNRESOLVED") & (F.coalesce(r["resolve"], F.lit("")) == ""),
+        "two_hypotheses": ~r["trivial"] & (r["n_hypotheses"] < 2),
+        "chosen_in_range": r["chosen"].isNotNull() & ~r["chosen"].between(0, r["n_hypotheses"] - 1),
+        "evidence": r["n_evidence"] < 1,
+        "confidence": ~r["confidence_bps"].between(0, 10_000),
+    }
+    return F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in rules.items()]), lambda x: x.isNotNull())
+
 
 def violations(resolutions: DataFrame) -> DataFrame:
     """key, rule of each invariant that a resolution breaks.
 
     resolutions: key, outcome, confidence_bps, n_hypotheses, chosen (0-based, or null), n_evidence, resolve, trivial.
     """
-    c = F.col
-    rules = {
-        "escalation_needs_hint": (c("outcome") == "ESCALATED_UNRESOLVED") & (F.coalesce(c("resolve"), F.lit("")) == ""),
-        "two_hypotheses": ~c("trivial") & (c("n_hypotheses") < 2),
-        "chosen_in_range": c("chosen").isNotNull() & ~c("chosen").between(0, c("n_hypotheses") - 1),
-        "evidence": c("n_evidence") < 1,
-        "confidence": ~c("confidence_bps").between(0, 10_000),
-    }
-    broken = F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in rules.items()]), lambda x: x.isNotNull())
-    return resolutions.select("key", F.explode(broken).alias("rule"))
+    return resolutions.select("key", F.explode(broken(F.struct(*[c for c in resolutions.columns if c != "key"]))).alias("rule"))
 
 
 def grounded(exceptions: DataFrame, gathered: DataFrame, of_findings: DataFrame) -> DataFrame:
@@ -52,7 +57,7 @@ def forced(exceptions: DataFrame, stop_reason: str) -> DataFrame:
     """The escalation of each exception (key, amount) that a stop forces; the amount is the exception's own."""
     return exceptions.select(
         "key", "amount", F.lit("ESCALATED_UNRESOLVED").alias("outcome"), F.lit(0).alias("confidence_bps"), F.lit(stop_reason).alias("stop_reason"),
-        F.lit("the investigation was stopped before any tool call completed").alias("tried"), F.lit(HINTS[stop_reason]).alias("resolve"), F.lit(True).alias("trivial"),
+        F.lit(NOTHING_TRIED).alias("tried"), F.lit(HINTS[stop_reason]).alias("resolve"), F.lit(True).alias("trivial"),
     )
 
 
