@@ -88,6 +88,16 @@ class Evidence:
         on = reduce(lambda x, y: x & y, [F.col(f"a.{n}").eqNullSafe(F.col(f"m.{n}")) for n in CALL[2:]], (F.col("a.tool") == F.col("m.tool")) & (F.col("a.arg") == F.col("m.arg")))
         return a.join(m, on).groupBy(*[F.col(f"a.{n}") for n in by], "m.ref", "m.role").agg(F.min(F.struct("a.turn", "a.pos")).alias("first"))
 
+    def gathered(self, answered: DataFrame, by: str) -> DataFrame:
+        """by, evidence: how many distinct records its calls gave. Only where one tool was asked twice are records met and told apart."""
+        good = answered.where("error IS NULL").groupBy(by, *CALL).agg(F.max("n_rows").alias("n_rows"))
+        per_tool = good.groupBy(by, "tool").agg(F.count("*").alias("asked"), F.sum("n_rows").alias("n"))
+        again = per_tool.where("asked > 1").select(by, "tool")
+        single = per_tool.where("asked = 1").select(by, "n")
+        met = good.join(again, [by, "tool"], "left_semi").withColumns({"error": F.lit(None).cast("string"), "turn": F.lit(0), "pos": F.lit(0)})
+        several = self.refs(met, by).groupBy(by).agg(F.count("*").alias("n"))
+        return single.unionByName(several).groupBy(by).agg(F.sum("n").cast("long").alias("evidence"))
+
 
 #: What makes a call: equal ones have equal answers.
 CALL = ("tool", "arg", "of_seller", "as_of")

@@ -186,21 +186,8 @@ class FileRun(Run):
         return reduce(DataFrame.unionByName, [self.t(kind).select(record_key(prefix, number.get(kind, f"{kind}_id")).alias("key"), F.lit(kind).alias("entity"), F.lit(side).alias("side")) for kind, (side, prefix) in KINDS.items()])
 
     def match_member(self) -> DataFrame:
-        """match_id, key, side of each record in a group: of its chain's orders and of the credit that a pass attached."""
-        groups = self.kept("match_group", lambda: numbered_groups(self.routed, self.linked)).select("match_id", "component")
-        claimed = self.linked.groups.where("bank_id IS NOT NULL").select(F.col("pending_id").alias("component"), "bank_id").distinct()
-        order_of = self.chains.withColumnRenamed("node", "n")
-
-        def side(rows: DataFrame, node: Column, kind: str, number: str) -> DataFrame:
-            return rows.select(node.alias("n"), record_key(KINDS[kind][1], number).alias("key"), F.lit(KINDS[kind][0]).alias("side"))
-
-        placed = reduce(DataFrame.unionByName, [
-            side(self.t("intent"), F.col("k"), "intent", "k"), side(self.placed_payment, F.col("order_id"), "payment", "payment_id"),
-            side(self.placed_recon, F.col("transfer_id"), "recon", "recon_id"), side(self.t("bank"), F.col("bank_id") + F.lit(BANK_NODE), "bank", "bank_id"),
-        ])
-        own = placed.join(order_of, "n").join(groups, "component").select("match_id", "key", "side")
-        late = claimed.join(groups, "component").select("match_id", record_key("bank", "bank_id").alias("key"), F.lit("bank").alias("side"))
-        return own.unionByName(late).distinct()
+        groups = self.kept("match_group", lambda: numbered_groups(self.routed, self.linked))
+        return rundir.match_member(self, groups)
 
     def steps(self) -> DataFrame:
         return checks.trace(self.units, self.specs)

@@ -25,14 +25,17 @@ class Limits:
 
 @dataclass(frozen=True)
 class Investigation:
-    """resolutions: a row an exception; calls: a row a turn (pos 0) and a tool call (pos from 1); evidence: rank, ref, role, first."""
+    """resolutions: a row an exception; calls: a row a turn (pos 0) and a tool call (pos from 1); gathered: rank, evidence (records).
+
+    evidence: rank, ref, role, first. A day's rows that many exceptions asked for are in it once for each: made only where it is used.
+    """
 
     resolutions: DataFrame
     calls: DataFrame
+    gathered: DataFrame
     evidence: DataFrame
 
 
-_FINAL = ("rank", "key", "amount", "outcome", "confidence_bps", "n_hypotheses", "chosen", "tried", "resolve", "trivial", "stop_reason", "iterations", "tokens", "refs")
 NUDGE = "call a tool or submit_resolution"
 
 
@@ -105,7 +108,7 @@ def investigate(exceptions: DataFrame, of_findings: DataFrame, tools: Evidence,
     cut = written(reduce(DataFrame.unionByName, stopped))
     forced = _forced(exceptions.join(cut, "rank"), of_findings, every.join(cut.select("rank"), "rank", "left_semi"), evidence.join(cut.select("rank"), "rank", "left_semi"))
     log = every.select("rank", "turn", "pos", "tool", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("args")))).alias("args"), "digest", "n_rows", "error", F.lit(0).cast("long").alias("tokens_in"), F.lit(0).cast("long").alias("tokens_out"))
-    return Investigation(reduce(DataFrame.unionByName, [*ended, forced]), reduce(DataFrame.unionByName, [*turns, log]), evidence)
+    return Investigation(reduce(DataFrame.unionByName, [*ended, forced]), reduce(DataFrame.unionByName, [*turns, log]), tools.gathered(every, "rank"), evidence)
 
 
 def _forced(cut: DataFrame, of_findings: DataFrame, calls: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assure.functions.text import record_key
+from assure.oracles import BANK_NODE
 from assure.operators import checks, linking, triage
 from assure.plans import runstore
 from assure.plans.projection import AS_OF
@@ -37,6 +39,24 @@ def tables(run) -> dict[str, DataFrame]:
     }
 
 
+def match_member(run, groups: DataFrame) -> DataFrame:
+    """match_id, key, side of each record in a group: of its chain's orders and of the credit that a pass attached."""
+    groups = groups.select("match_id", "component")
+    claimed = run.linked.groups.where("bank_id IS NOT NULL").select(F.col("pending_id").alias("component"), "bank_id").distinct()
+    order_of = run.chains.withColumnRenamed("node", "n")
+
+    def side(rows: DataFrame, node: Column, name: str, prefix: str, number: str) -> DataFrame:
+        return rows.select(node.alias("n"), record_key(prefix, number).alias("key"), F.lit(name).alias("side"))
+
+    placed = reduce(DataFrame.unionByName, [
+        side(run.t("intent"), F.col("k"), "intent", "int", "k"), side(run.placed_payment, F.col("order_id"), "razorpay", "pay", "payment_id"),
+        side(run.placed_recon, F.col("transfer_id"), "razorpay", "rcn", "recon_id"), side(run.t("bank"), F.col("bank_id") + F.lit(BANK_NODE), "bank", "bank", "bank_id"),
+    ])
+    own = placed.join(order_of, "n").join(groups, "component").select("match_id", "key", "side")
+    late = claimed.join(groups, "component").select("match_id", record_key("bank", "bank_id").alias("key"), F.lit("bank").alias("side"))
+    return own.unionByName(late).distinct()
+
+
 def checks_of(made: dict[str, DataFrame]) -> tuple[DataFrame, ...]:
     """What must be empty before a run is committed."""
     from assure.operators import constraints as c
@@ -49,9 +69,22 @@ def checks_of(made: dict[str, DataFrame]) -> tuple[DataFrame, ...]:
     )
 
 
-def commit(run, run_dir: str, sample_label: str = "HELD_OUT", dirty: bool = False) -> None:
-    made = tables(run)
-    runstore.commit(run.spark, run_dir, made, {"sample_label": sample_label, "git_dirty": dirty, "rate_as_of": AS_OF, "tables": sorted(made)}, checks_of(made))
+def commit(run, run_dir: str, sample_label: str = "HELD_OUT", dirty: bool = False, more: Mapping[str, DataFrame] = {}, started_at: float | None = None) -> None:
+    """A run's tables, and what more it has, written and committed; the manifest holds the times if it is told the start."""
+    made = tables(run) | dict(more)
+    manifest = {"sample_label": sample_label, "git_dirty": dirty, "rate_as_of": AS_OF, "tables": sorted(made)}
+    if started_at is not None:
+        manifest["started_at"] = int(started_at)
+    runstore.commit(run.spark, run_dir, made, manifest, checks_of(made))
+
+
+def investigated(run, found, cites: DataFrame) -> dict[str, DataFrame]:
+    """The further tables of a run whose exceptions were investigated, as scoring reads them. cites: finding_ref, key, role."""
+    return {
+        "match_member": match_member(run, linking.numbered_groups(run.routed, run.linked)), "finding_evidence_key": cites,
+        "resolution": found.resolutions.select("rank", "key", "amount", "outcome", "confidence_bps", "n_hypotheses", "chosen", "tried", "resolve", "stop_reason", "iterations", "tokens"),
+        "resolution_evidence": found.resolutions.select("rank", F.explode("refs").alias("key")), "agent_call": found.calls,
+    }
 
 
 def committed(run) -> DataFrame:

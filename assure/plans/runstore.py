@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ def _file(spark: SparkSession, path: str):
 
 
 def commit(spark: SparkSession, run_dir: str, tables: Mapping[str, DataFrame], manifest: Mapping[str, object], checks: tuple[DataFrame, ...] = ()) -> None:
-    """Check the constraints, write each table where none is yet, and the manifest last."""
+    """Check the constraints, write each table where none is yet, and the manifest last; one that has a start gets its end."""
     for name, df in tables.items():
         if wrong := money_columns_are_whole(df.schema):
             raise TypeError(f"{name}: {', '.join(wrong)} must be BIGINT")
@@ -33,6 +34,8 @@ def commit(spark: SparkSession, run_dir: str, tables: Mapping[str, DataFrame], m
         enforce(*checks)
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{run_dir}/{name}")
+    if "started_at" in manifest:
+        manifest = {**manifest, "finished_at": int(time.time())}
     text = spark.createDataFrame([(json.dumps(dict(manifest), sort_keys=True),)], "value string")
     text.coalesce(1).write.mode("errorifexists").text(f"{run_dir}/manifest.json")
 

@@ -525,14 +525,6 @@ def metrics_all(r: Run) -> DataFrame:
     return score.metrics(_matches(r), score.scored_defects(injected, _ids(r)), _abstained(r), judged, auto, r.findings.select(F.lit("ESCALATED_UNRESOLVED").alias("outcome")))
 
 
-@query(f"{O.D} SELECT CAST(COUNT(*) FILTER (k % 10 <> 0) AS DOUBLE) / COUNT(*) AS score FROM intent")
-def determinism_score(r: Run) -> DataFrame:
-    base = r.t("intent").select(text.record_key("ord", "k").alias("key"), "k", text.digest("gross", "commission").alias("h"))
-    second = base.select(F.lit(2).alias("run"), "key", F.when(F.col("k") % 10 == 0, F.lit("other")).otherwise(F.col("h")).alias("hash"))
-    both = base.select(F.lit(1).alias("run"), "key", F.col("h").alias("hash")).unionByName(second)
-    return score.determinism(both, base.count())
-
-
 @query(f"""{O.LINK} SELECT 'bank_without_chain' AS "constraint", COUNT(*) AS n FROM orph UNION ALL SELECT 'shared_utr', COUNT(*) FROM (SELECT utr FROM recon GROUP BY utr HAVING COUNT(*) > 1) UNION ALL SELECT 'recon_positive', COUNT(*) FROM recon WHERE NOT (credit - debit > 0) HAVING COUNT(*) > 0""")
 def constraint_violations(r: Run) -> DataFrame:
     linked = r.t("bank").withColumn("utr", F.coalesce("utr", F.lit("none")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame
@@ -14,7 +15,7 @@ from assure.operators import checks, constraints, linking, resolutions
 from assure.plans import report
 from assure.queries import Run, long, query
 from assure.sources.readers import numbered
-from assure.sources.shared import checkpoint_dir
+from assure.sources.shared import checkpoint_dir, written
 
 _K = O.record_key
 _EDGES = f"""SELECT {_K("ord", "k")} AS key, 'order_id' AS field, {_K("ord", "k")} AS value FROM intent UNION ALL SELECT {_K("int", "k")}, 'order_id', {_K("ord", "k")} FROM intent
@@ -260,3 +261,120 @@ def commit_from_files(r: Run) -> DataFrame:
     source_files.write(r.records, folder)
     ingest.commit_from_files(r.spark, folder, run_dir)
     return ingest.summary(r.spark, run_dir)
+
+
+# Investigations by the playbook, from recorded answers
+
+
+def _investigated(r: Run):
+    """Every exception of the queue investigated by the playbook: its answers are recorded in a store, then replayed from it."""
+    from assure.operators.tools import Evidence
+    from assure.plans import investigate, playbook
+    from assure.sources import replay
+
+    if "investigated" not in r.__dict__:
+        store = f"{checkpoint_dir(r.spark)}/answers-{uuid.uuid4().hex}"
+        cites = r.queue.select("rank", "key").join(_evidence(r).select("key", "ref"), "key").select("rank", "ref")
+        client = replay.recorded(r.spark, store, replay.scripted(playbook.script(r)))
+        found = investigate.investigate(_subjects(r), cites, Evidence(r.records), client, "playbook", "none")
+        r.__dict__["investigated"] = investigate.Investigation(written(found.resolutions), written(found.calls), written(found.gathered), found.evidence)
+    return r.__dict__["investigated"]
+
+
+_PLAY = f"""s AS (SELECT *, CASE WHEN origin = 'FINDING' THEN CAST(SUBSTR(key, 9) AS BIGINT) END AS k, CASE WHEN origin <> 'FINDING' THEN CAST(SUBSTR(key, 6) AS BIGINT) END AS b FROM queue),
+per_day AS (SELECT settled, COUNT(*) AS n FROM recon GROUP BY settled), r_n AS (SELECT payment_id, COUNT(*) AS n FROM refund GROUP BY 1), d_n AS (SELECT payment_id, COUNT(*) AS n FROM dispute GROUP BY 1),
+c_n AS (SELECT i.k, COUNT(c.seller) AS n FROM intent i LEFT JOIN rate_card c ON c.seller = i.seller AND i.placed BETWEEN c.eff_from AND COALESCE(c.eff_to, i.placed) GROUP BY i.k), c_any AS (SELECT DISTINCT seller FROM rate_card),
+x AS (SELECT s.*, COALESCE(pd.n, 0) AS day_n, COALESCE(r_n.n, 0) AS r_n, COALESCE(d_n.n, 0) AS d_n, COALESCE(c_n.n, 0) AS c_n, CAST(p.payment_id IS NOT NULL AS INT) AS p_n, CAST(t.transfer_id IS NOT NULL AS INT) AS t_n, CAST(ca.seller IS NOT NULL AS INT) AS has_card
+  FROM s LEFT JOIN intent i ON i.k = s.k LEFT JOIN c_any ca ON ca.seller = i.seller LEFT JOIN c_n ON c_n.k = s.k LEFT JOIN payment p ON p.order_id = s.k LEFT JOIN transfer t ON t.payment_id = p.payment_id
+  LEFT JOIN r_n ON r_n.payment_id = p.payment_id LEFT JOIN d_n ON d_n.payment_id = p.payment_id LEFT JOIN bank ON bank.bank_id = s.b LEFT JOIN per_day pd ON pd.settled = bank.credited)"""
+
+
+@query(f"""{O.QUEUE}, {_PLAY} SELECT rank, CASE WHEN origin = 'FINDING' THEN 'PROPOSED' ELSE 'ESCALATED_UNRESOLVED' END AS outcome, CASE WHEN reason = 'D03' THEN 3 ELSE 2 END AS rounds,
+  CAST(CASE WHEN reason IN ('D01', 'D02', 'D08', 'D03') THEN 2 ELSE 1 END AS BIGINT) AS calls,
+  CAST(CASE reason WHEN 'D01' THEN 1 - has_card WHEN 'D02' THEN 2 - p_n - t_n WHEN 'D03' THEN 2 - 2 * p_n WHEN 'D06' THEN 1 - t_n WHEN 'D07' THEN 1 - t_n WHEN 'D08' THEN 2 - p_n - LEAST(d_n, 1) ELSE 0 END AS BIGINT) AS failed,
+  CAST(CASE reason WHEN 'D01' THEN 1 + c_n WHEN 'D02' THEN p_n + t_n WHEN 'D03' THEN p_n + r_n WHEN 'D04' THEN 1 WHEN 'D05' THEN 1 WHEN 'D06' THEN t_n WHEN 'D07' THEN t_n WHEN 'D08' THEN p_n + LEAST(d_n, 1) ELSE day_n END AS BIGINT) AS evidence FROM x""")
+def investigation_rounds(r: Run) -> DataFrame:
+    """Outcome, rounds, tool calls, those that failed, and distinct records gathered of each exception."""
+    found = _investigated(r)
+    tool = F.col("pos") > 0
+    calls = found.calls.groupBy("rank").agg(F.count_if(tool).alias("calls"), F.count_if(tool & F.col("error").isNotNull()).alias("failed"))
+    rows = found.resolutions.join(calls, "rank").join(found.gathered, "rank", "left")
+    return rows.select("rank", "outcome", F.col("iterations").alias("rounds"), "calls", "failed", F.coalesce("evidence", F.lit(0)).cast("long").alias("evidence"))
+
+
+@query(f"""{O.QUEUE} SELECT tool, COUNT(*) AS calls FROM (SELECT UNNEST(CASE reason WHEN 'D01' THEN ['search_intent_ledger', 'fetch_rate_card'] WHEN 'D02' THEN ['fetch_payment', 'fetch_transfer']
+  WHEN 'D03' THEN ['fetch_payment', 'fetch_refunds_for_payment', 'model_turn'] WHEN 'D04' THEN ['search_intent_ledger'] WHEN 'D05' THEN ['search_intent_ledger'] WHEN 'D06' THEN ['fetch_transfer'] WHEN 'D07' THEN ['fetch_transfer']
+  WHEN 'D08' THEN ['fetch_payment', 'fetch_dispute'] ELSE ['fetch_settlement_recon'] END || ['model_turn', 'submit_resolution']) AS tool FROM queue) GROUP BY tool""")
+def investigation_calls(r: Run) -> DataFrame:
+    """Turns and tool calls of all investigations, by tool."""
+    return _investigated(r).calls.groupBy("tool").agg(F.count("*").alias("calls"))
+
+
+# A stored run: scored from its folder alone, and compared with one made anew
+
+
+def _stored(r: Run):
+    """The run committed with its investigations to a new folder, and opened again."""
+    from assure.plans import rundir
+    from assure.plans.stored import StoredRun
+
+    started, run_dir = time.time(), f"{checkpoint_dir(r.spark)}/run-{uuid.uuid4().hex}"
+    found = _investigated(r)
+    cites = _evidence(r).select(F.col("key").alias("finding_ref"), F.col("ref").alias("key"), "role")
+    rundir.commit(r, run_dir, more=rundir.investigated(r, found, cites), started_at=started)
+    return StoredRun(r.spark, run_dir)
+
+
+def _truth_of(r: Run):
+    """Each paid order stands alone: its ledger row, payment, settlement row and the credit that bears its number."""
+    from assure.plans.stored import Truth
+    from assure.queries import _truth
+
+    orders, injected = _truth(r)
+    named = lambda rows, n, prefix: rows.select(F.col(n).alias("order"), record_key(prefix, n).alias("member"))
+    legs = named(r.t("intent"), "k", "int").unionByName(named(r.t("payment"), "payment_id", "pay")).unionByName(named(r.t("recon"), "recon_id", "rcn")).unionByName(named(r.t("bank"), "bank_id", "bank"))
+    as_key = lambda df: df.withColumn("order", record_key("ord", "order"))
+    return Truth(as_key(legs.join(orders.select("order"), "order")), as_key(orders), as_key(injected))
+
+
+_SIDES = {"i": "int", "p": "pay", "r": "rcn", "b": "bank"}
+_STORED = f"""mm AS (SELECT match_id, 'i' AS side, o.k AS n FROM ids JOIN o ON o.c = component UNION SELECT match_id, 'p', payment_id FROM ids JOIN o ON o.c = component JOIN payment ON order_id = o.k
+  UNION SELECT match_id, 'r', recon_id FROM ids JOIN o ON o.c = component JOIN recon ON transfer_id = o.k UNION SELECT match_id, 'b', bank_id FROM ids JOIN o ON o.c = component JOIN bank ON bank.utr = o.utr
+  UNION SELECT match_id, 'b', bank_id FROM ids JOIN claims ON pending_id = component),
+tr AS (SELECT k AS o, k % 6 <> 0 AS resolvable FROM intent WHERE has_lines), lg AS (SELECT side, n, o FROM (SELECT 'i' AS side, k AS n FROM intent UNION ALL SELECT 'p', payment_id FROM payment UNION ALL SELECT 'r', recon_id FROM recon UNION ALL SELECT 'b', bank_id FROM bank) z JOIN tr ON tr.o = z.n),
+ij AS (SELECT 'i' || CAST(k AS VARCHAR) AS instance, k AS o, 'D01' AS defect, 1000 AS paise FROM intent WHERE has_lines AND k % 37 = 0 UNION ALL SELECT 'j' || CAST(k AS VARCHAR), k, 'D05', 500 FROM intent WHERE has_lines AND k % 59 = 0),
+ct AS (SELECT key FROM queue WHERE origin = 'UNMATCHED' UNION SELECT ref FROM ev), mk AS (SELECT mm.*, lg.o, CASE side {" ".join(f"WHEN '{s}' THEN {_K(p, 'n')}" for s, p in _SIDES.items())} END AS key FROM mm LEFT JOIN lg USING (side, n)),
+gj AS (SELECT match_id, COUNT(*) AS n, COUNT(o) AS known, MIN(o) AS a, MAX(o) AS z, BOOL_OR(key IN (SELECT key FROM ct)) AS cited, BOOL_OR(side = 'i' AND n IN (SELECT k FROM f)) AS found FROM mk GROUP BY match_id),
+sm AS (SELECT match_id, cited, found, COALESCE(gj.n = known AND a = z AND gj.n = (SELECT COUNT(*) FROM lg WHERE lg.o = gj.a), FALSE) AS good FROM gj),
+au AS (SELECT lg.o, COUNT(*) = COUNT(mm.match_id) AND MIN(mm.match_id) = MAX(mm.match_id) AS auto FROM lg LEFT JOIN (SELECT side, n, MAX(match_id) AS match_id FROM mm GROUP BY 1, 2) mm USING (side, n) GROUP BY lg.o),
+sd AS (SELECT i.instance, i.paise, COUNT(f.k) > 0 AS detected, COALESCE(BOOL_OR(f.defect = i.defect), FALSE) AS same FROM ij i LEFT JOIN f ON f.k = i.o GROUP BY 1, 2),
+fs AS (SELECT f.amount, EXISTS (SELECT 1 FROM ij WHERE ij.o = f.k AND ij.defect = f.defect) AS good FROM f),
+sa AS (SELECT resolvable FROM tr WHERE o IN (SELECT k FROM f)),
+v AS (SELECT (SELECT COUNT(*) FROM tr) AS os, (SELECT COUNT(*) FROM tr WHERE resolvable) AS res, (SELECT COUNT(*) FROM au WHERE auto) AS auto, (SELECT COUNT(*) FROM sm) AS gs, (SELECT COUNT(*) FROM sm WHERE good) AS tp,
+  (SELECT COUNT(*) FROM sm WHERE NOT good AND NOT cited AND NOT found) AS silent, (SELECT COUNT(*) FROM sd) AS inj, (SELECT COUNT(*) FROM sd WHERE detected) AS det, (SELECT COUNT(*) FROM sd WHERE same) AS ok,
+  (SELECT COALESCE(SUM(paise), 0) FROM sd WHERE same) AS caught, (SELECT COALESCE(SUM(paise), 0) FROM sd WHERE NOT detected) AS missed, (SELECT COUNT(*) FROM fs) AS fn, (SELECT COUNT(*) FROM fs WHERE good) AS fg,
+  (SELECT COALESCE(SUM(amount), 0) FROM fs WHERE NOT good) AS fa, (SELECT COUNT(*) FROM sa WHERE resolvable) AS ov, (SELECT COUNT(*) FROM sa WHERE NOT resolvable) AS cor, (SELECT COUNT(*) FROM queue) AS q, (SELECT COUNT(*) FROM queue WHERE origin = 'FINDING') AS prop)"""
+_VALUES = {
+    "auto_match_rate": "auto / os", "match_precision": "tp / gs", "match_recall": "tp / os", "silent_error_rate": "silent / gs", "defect_recall": "det / inj", "defect_precision": "fg / fn", "root_cause_accuracy": "ok / det",
+    "leakage_caught_inr": "caught", "leakage_missed_inr": "missed", "false_alarm_inr": "fa", "correct_abstention_rate": "cor / (os - res)", "over_abstention_rate": "ov / res", "records_per_second": "NULL", "wall_clock_seconds_total": "NULL",
+    "llm_tokens_per_1000_records": "0", "inr_cost_per_1000_records": "NULL", "determinism_score": "NULL", "residual_resolution_rate": "prop / q", "escalated_unresolved_rate": "(q - prop) / q", "exceptions_total": "q",
+    "auto_resolved_count": "0", "proposed_count": "prop", "escalated_unresolved_count": "q - prop",
+}
+
+
+@query(f"{O.QUEUE}, {_EV}, {_GROUPS}, {_STORED} " + " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST({x} AS DOUBLE) AS value FROM v" for m, x in _VALUES.items()))
+def stored_run_metrics(r: Run) -> DataFrame:
+    """The 23 metrics of a run that was committed and opened again; times, which differ from run to run, are left out here."""
+    from assure.plans import stored
+
+    rows = stored.metrics(_stored(r), _truth_of(r))
+    return rows.select("metric", F.when(~F.col("metric").isin("records_per_second", "wall_clock_seconds_total"), F.col("value")).alias("value"))
+
+
+@query(f"{O.QUEUE} SELECT CAST(COUNT(*) AS DOUBLE) / (SELECT COUNT(*) FROM queue) AS score FROM queue")
+def determinism_score(r: Run) -> DataFrame:
+    """Two runs made anew from the tables and committed; the share of the first one's exceptions that come out the same."""
+    from assure.plans import score, stored
+
+    runs = [_stored(Run(r.spark, r.sf_dir)) for _ in range(2)]
+    return score.determinism(stored.observed(runs), runs[0].table("exception").count())

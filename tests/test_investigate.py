@@ -107,6 +107,7 @@ def test_rounds_are_the_loop(spark):
     found = plan.investigate(exceptions, cites, tools.Evidence(Small(spark)), replay.scripted(table), limits=limits)
     got = {r["rank"]: r for r in found.resolutions.collect()}
     evidence, calls = {}, {}
+    sizes = {r["rank"]: r["evidence"] for r in found.gathered.collect()}
     for r in found.evidence.collect():
         evidence.setdefault(r["rank"], set()).add(r["ref"])
     for r in found.calls.collect():
@@ -119,6 +120,7 @@ def test_rounds_are_the_loop(spark):
         stops.add(stop)
         assert (r["stop_reason"], r["iterations"], r["tokens"], r["amount"]) == (stop, rounds, tokens, e["amount"])
         assert evidence.get(e["rank"], set()) == set(gathered)
+        assert sizes.get(e["rank"], 0) == len(gathered)
         mine = calls[e["rank"]]
         assert sum(c["tokens_in"] + c["tokens_out"] for c in mine) == tokens and len(mine) == rounds + len(tried)
         assert sum(c["error"] is not None for c in mine) == sum(looked_up(c["name"], c["args"]) is None for c in tried)
