@@ -5,13 +5,16 @@ their seeds, but none is taken for a secret by its form alone, only where patter
 Seeds induce lexical patterns, the words around them. Patterns and the identifier-like strings that occur in
 them form a bipartite graph, which Spark scores in rounds until one accepts nothing new: a pattern's confidence is the share of its
 instances that are known, an instance's score the chance that not all of its patterns err. Instances that
-score high become known and lend their weight to further patterns.
+score high become known and lend their weight to further patterns. Contexts and candidates have no greatest length; words and
+strings over 256 characters are named by a 128-bit digest in the graph.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
@@ -34,8 +37,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]+")
-#: Strings that might be identifiers which the patterns above don't take.
-_LIKE = re.compile(r"[^\s@]{1,64}@[^\s@]{1,255}|[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,}|(?<![0-9])[0-9]{1,3}(?:[.,:\x20]{1,3}[0-9]{1,3}){3}")
+_AFTER_AT = re.compile(r"@[^\s@]+")
+#: Strings of digits that might be identifiers which the patterns above don't take.
+_NUMBER = re.compile(r"[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,}|(?<![0-9])[0-9]{1,3}(?:[.,:\x20]{1,3}[0-9]{1,3}){3}")
 #: Strings that might be secrets: long runs of letters and digits mixed.
 _MIXED = re.compile(r"[A-Za-z0-9_+/=-]{16,}")
 # Formats of well-known keys and tokens, as prefixes or as hexadecimal digits of usual lengths.
@@ -90,60 +94,94 @@ def _may_be(instance: str) -> list[str]:
     return kinds + ["card"] * (12 <= digits <= 19) + ["phone"] * (7 <= digits <= 15)
 
 
+def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that the spans cover, apart and in order: each point inside one is inside a span."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted(spans):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def _met(taken: tuple[list[int], list[int]], s: int, e: int) -> tuple[int, int]:
+    """First and end place of the stretches that overlap s to e."""
+    return bisect_right(taken[1], s), bisect_left(taken[0], e)
+
+
 def mixed_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, bool]]:
     """start, end and whether it is in a well-known format, of the strings that might be secrets: base spans are within them or apart."""
-    out, k = [], 0
-    taken = sorted((s, e) for s, e, _ in base)
+    out = []
+    taken = _merged([x[:2] for x in base])
     for m in _MIXED.finditer(text):
         s, e = m.span()
         own = m[0]
         digits = sum(map(own.count, "0123456789"))
         if digits < 3 or sum(map(str.isalpha, own)) < 3:
             continue
-        while k < len(taken) and taken[k][1] <= s:
-            k += 1
         # digits inside a key may look like a card by chance; an address reaches beyond the run
-        near = [(a, b) for a, b in taken[max(0, k - 4) : k + 4] if a < e and s < b]
-        if all(s <= a and b <= e for a, b in near):
+        i, j = _met(taken, s, e)
+        if i >= j or (s <= taken[0][i] and taken[1][j - 1] <= e):
             out.append((s, e, bool(_KEYS.fullmatch(own))))
     return out
 
 
+def _might_be(text: str) -> Iterator[tuple[int, int]]:
+    """Places of strings around a single @, however long, and of number-like strings between them."""
+    done = 0
+    for m in _AFTER_AT.finditer(text):
+        first = m.start()
+        for k in range(m.start() - 1, done - 1, -1):  # back to a space, an @ or the string before: no place is passed twice
+            if text[k] == "@" or text[k].isspace():
+                break
+            first = k
+        if first < m.start():
+            yield from (n.span() for n in _NUMBER.finditer(text, done, first))
+            yield first, m.end()
+            done = m.end()
+    yield from (n.span() for n in _NUMBER.finditer(text, done))
+
+
 def like_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, list[str]]]:
     """start, end and possible kinds of the identifier-like strings that overlap none of the places taken."""
-    out, k = [], 0
-    taken = sorted(taken)
-    for m in _LIKE.finditer(text):
-        s, e = m.start(), m.end()
-        while s < e and text[s] in _EDGE and not (text[s] == "(" and ")" in text[s:e]):
+    out = []
+    stretches = _merged(taken)
+    for s, e in _might_be(text):
+        closed = text.rfind(")", s, e)
+        while s < e and text[s] in _EDGE and not (text[s] == "(" and closed > s):
             s += 1
         while e > s and text[e - 1] in _EDGE:
             e -= 1
-        while k < len(taken) and taken[k][1] <= s:
-            k += 1
-        if e - s >= 5 and not any(a < e and s < b for a, b in taken[max(0, k - 4) : k + 4]):
+        i, j = _met(stretches, s, e)
+        if e - s >= 5 and i >= j:
             kinds = _may_be(text[s:e])
             if kinds:
                 out.append((s, e, kinds))
     return out
 
 
+def named(word: str) -> str:
+    """A word, or for one over 256 characters its digest, which stands for it in patterns and in the graph."""
+    return word if len(word) <= 256 else "##" + xxhash.xxh3_128_hexdigest(word.encode("utf-8", "replace"))
+
+
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns of a place: the two words or signs before it, and those on both sides, whole."""
+    """The lexical patterns of a place: the two words or signs before it, and those on both sides, whole and however far."""
     near = 64
     before: list[str] = []
     while True:  # as far back as two whole words need
         first = max(0, start - near)
         before = _CONTEXT.findall(text[first:start].lower())
-        if len(before) > 2 or first == 0 or near > 4096:
+        if len(before) > 2 or first == 0:
             break
         near *= 4
-    after = ""
-    m = _CONTEXT.search(text, end, end + 64)
-    if m:
-        after = _CONTEXT.match(text, m.start(), m.start() + 4096)[0].lower()
+    m = _CONTEXT.search(text, end)
+    after = m[0].lower() if m else ""
     left = (["", ""] + before[-2:])[-2:]
-    return [f"{left[0]} {left[1]} _", f"{left[1]} _ {after}"]
+    return [f"{named(left[0])} {named(left[1])} _", f"{named(left[1])} _ {named(after)}"]
 
 
 def _span_text(spans: list[tuple[int, int, str]]) -> str:
@@ -165,7 +203,7 @@ def scanned(docs: DataFrame) -> DataFrame:
             # 2: a span of its own right, 1: a seed that patterns have to confirm, 0: unknown
             mentions = [(s, e, k, 2) for s, e, k in base] + [(s, e, SECRET, int(known)) for s, e, known in mixed] + [(s, e, k, 0) for s, e, ks in like for k in ks]
             row |= {"m_start": [m[0] for m in mentions], "m_end": [m[1] for m in mentions], "m_kind": [m[2] for m in mentions]}
-            row |= {"m_seed": [m[3] for m in mentions], "m_text": [text[m[0] : m[1]].lower() for m in mentions]}
+            row |= {"m_seed": [m[3] for m in mentions], "m_text": [named(text[m[0] : m[1]].lower()) for m in mentions]}
             around = [contexts(text, m[0], m[1]) for m in mentions]
             row |= {"m_left": [c[0] for c in around], "m_both": [c[1] for c in around]}
             for name, x in row.items():
