@@ -50,7 +50,7 @@ STAGES = [
     ("mixing", mix_sources),
     ("byte_bpe", byte_bpe),
 ]
-#: Perplexity, fingerprints and BPE are beyond SQL; tests hold run() against a brute-force version.
+#: Perplexity, fingerprints and BPE are beyond SQL; tests hold each stage's operator against a brute-force version of its own.
 ORACLE_SQL = None
 
 
