@@ -174,15 +174,15 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
 class Model:
     """The n-grams of the highest order of each language, sorted by hash, with their log probabilities in UNITs."""
 
-    def __init__(self, rows: pa.Table):
+    def __init__(self, runs: pa.Table):
+        """runs: those of sorted_runs(); nothing is sorted or copied twice here, as the driver builds it."""
+        parts: dict[str | None, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+        for lang, first, g, lp in zip(*(runs[c] for c in ("lang", "first", "g", "lp"))):
+            parts.setdefault(lang.as_py(), []).append((first.as_py(), np.frombuffer(g.as_buffer(), np.int64), np.frombuffer(lp.as_buffer(), np.int32)))
         self.arrays: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
-        langs = rows["lang"].combine_chunks().dictionary_encode(null_encoding="encode")
-        own, g, lp = langs.indices.to_numpy(), rows["g"].to_numpy(), rows["lp"].to_numpy()
-        order = np.lexsort((g, own))
-        own, g, lp = own[order], g[order], lp[order].astype(np.int32)
-        for k, lang in enumerate(langs.dictionary.to_pylist()):
-            part = slice(np.searchsorted(own, k), np.searchsorted(own, k, "right"))
-            self.arrays[lang] = g[part], lp[part]
+        for lang, found in parts.items():
+            found.sort(key=lambda run: run[0])
+            self.arrays[lang] = np.concatenate([run[1] for run in found]), np.concatenate([run[2] for run in found])
 
     def sums(self, lang: str | None, texts: list[str]) -> tuple[list[int], list[int]]:
         """Of each text, whose n-grams the model has counted: its log probability and number of n-grams."""
@@ -290,6 +290,22 @@ def model_rows(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("n") < ORDER).unionByName(top.select("lang", "n", "g", mix.alias("logp"), "loggamma"))
 
 
+def sorted_runs(rows: DataFrame) -> DataFrame:
+    """lang, first, g, lp: runs of a language's sorted n-grams and their log probabilities as packed arrays, 12 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column("lang").dictionary_encode(null_encoding="encode")
+            place, g, lp = own.indices.to_numpy(), batch.column("g").to_numpy(), batch.column("lp").to_numpy().astype(np.int32)
+            cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(place)]
+            made = [(own.dictionary[int(place[a])].as_py(), int(g[a]), g[a:b].tobytes(), lp[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*made), (pa.string(), pa.int64(), pa.binary(), pa.binary()))], ["lang", "first", "g", "lp"])
+
+    return rows.orderBy("lang", "g").mapInArrow(run, "lang string, first long, g binary, lp binary")
+
+
 def trained(docs: DataFrame):
     """The model of docs as a broadcast variable; as a table where it is too large for that, None without words."""
     top = model_rows(docs).where(F.col("n") == ORDER)
@@ -297,7 +313,9 @@ def trained(docs: DataFrame):
     n = rows.count()
     if not n or n > BROADCAST_GRAMS:
         return rows if n else None
-    return docs.sparkSession.sparkContext.broadcast(Model(rows.toArrow()))
+    model = docs.sparkSession.sparkContext.broadcast(Model(sorted_runs(rows).toArrow()))
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def _joined_scores(docs: DataFrame, model: DataFrame) -> DataFrame:
@@ -335,6 +353,8 @@ def judged(docs: DataFrame, carry: tuple[str, ...] | None = None) -> DataFrame:
     own = docs.columns if carry is None else list(carry)
     made = [c.split()[0] for c in BASE.split(", ")] + ["logppl"]
     rows = stored(rows.select(*own, F.col("lang").alias("_lang"), F.xxhash64("text").alias("_text"), *made))
+    if model and not by_join:
+        model.destroy()
     fence = small(stored(bands(rows.withColumnRenamed("_lang", "lang") if "lang" not in own else rows)).withColumnRenamed("lang", "_l"))
     rows = rows.join(fence, rows["_lang"].eqNullSafe(fence["_l"]), "left").drop("_l", "_lang", "_text")
     inside = F.coalesce((F.col("logppl") >= F.col("low")) & (F.col("logppl") <= F.col("high")), F.lit(True))
