@@ -1,8 +1,8 @@
 """Quality rules: base counts of words, symbols and repetitions, and bands of n-gram perplexity.
 
 The language model is a modified Kneser-Ney model of the characters of a text, its words joined by single spaces,
-so that n-grams cross from word to word; there is one for each language. Spark counts all n-grams of the corpus
-and derives discounts, continuation counts and probabilities by joins and aggregations. An n-gram is packed
+so that n-grams cross from word to word; there is one for each language. Spark lists all n-grams of the corpus,
+counts them where the text is no heap of symbols (junk would explain itself otherwise), and derives discounts, continuation counts and probabilities by joins and aggregations. An n-gram is packed
 into 64 bits, 16 a character (code points beyond 16 bits share 2,048 classes), and the model is stored in arrays
 sorted by that hash, with log probabilities in whole millionths. Each language's perplexities have quartiles;
 documents outside their fences are rejected.
@@ -31,6 +31,8 @@ FENCE, LEAST_WIDTH = 3.0, 0.1
 POOLED = 0.3
 #: Steps of log perplexity in the histogram that the quartiles are read from.
 STEP = 1e-4
+#: Symbols (those of SYMBOLS) a word beyond which the model does not learn from a text; it is judged like any other.
+LEARN_SYMBOLS = 0.1
 #: Units of a natural logarithm that scores are summed in.
 UNIT = 1e6
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
@@ -57,6 +59,10 @@ def _pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield grams.view(np.int64), text[at]
 
 
+def symbols(raw: bytes) -> int:
+    return len(raw) - len(raw.translate(None, SYMBOLS))
+
+
 def _text_of(words: list[bytes]) -> str:
     return b" ".join(words).decode("utf-8", "replace")
 
@@ -73,37 +79,41 @@ def _counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """lang, g, c: how often each n-gram of the highest order is in the texts of a language; all documents count."""
+    """lang, g, c: each n-gram of the highest order in the texts of a language, and how often it is in those that are
+    no heaps of symbols (0 where it is only in such)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[str | None, list[str]] = {}
-        size: dict[str | None, int] = {}
-        held: dict[str | None, list[tuple[np.ndarray, np.ndarray]]] = {}
+        # a language's texts are held in two lots: those to learn from, and the others
+        waiting: dict[tuple[str | None, bool], list[str]] = {}
+        size: dict[tuple[str | None, bool], int] = {}
+        held: dict[tuple[str | None, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
 
-        def count(lang: str | None) -> None:
-            held.setdefault(lang, []).append(_counted(waiting.pop(lang)))
-            size[lang] = 0
-            if sum(len(g) for g, _ in held[lang]) > GRAMS_KEPT:
-                held[lang] = [_summed([g for g, _ in held[lang]], [c for _, c in held[lang]])]
+        def count(lot: tuple[str | None, bool]) -> None:
+            held.setdefault(lot, []).append(_counted(waiting.pop(lot)))
+            size[lot] = 0
+            if sum(len(g) for g, _ in held[lot]) > GRAMS_KEPT:
+                held[lot] = [_summed([g for g, _ in held[lot]], [c for _, c in held[lot]])]
 
-        def flush(lang: str | None) -> pa.RecordBatch:
-            g, c = _summed([g for g, _ in held[lang]], [c for _, c in held.pop(lang)])
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(c)], ["lang", "g", "c"])
+        def flush(lot: tuple[str | None, bool]) -> pa.RecordBatch:
+            g, c = _summed([g for g, _ in held[lot]], [c for _, c in held.pop(lot)])
+            return pa.RecordBatch.from_arrays([pa.array([lot[0]] * len(g), pa.string()), pa.array(g), pa.array(c * lot[1])], ["lang", "g", "c"])
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), texts_of(batch)):
-                words = text.encode("utf-8", "replace").split()
+                raw = text.encode("utf-8", "replace")
+                words = raw.split()
                 if words:
-                    waiting.setdefault(lang, []).append(_text_of(words))
-                    size[lang] = size.get(lang, 0) + len(text)
-                    if size[lang] > GROUP_BYTES:
-                        count(lang)
-                        if len(held[lang]) == 1 and len(held[lang][0][0]) > GRAMS_KEPT // 2:
-                            yield flush(lang)
-        for lang in list(waiting):
-            count(lang)
-        for lang in list(held):
-            yield flush(lang)
+                    lot = lang, symbols(raw) <= LEARN_SYMBOLS * len(words)
+                    waiting.setdefault(lot, []).append(_text_of(words))
+                    size[lot] = size.get(lot, 0) + len(text)
+                    if size[lot] > GROUP_BYTES:
+                        count(lot)
+                        if len(held[lot]) == 1 and len(held[lot][0][0]) > GRAMS_KEPT // 2:
+                            yield flush(lot)
+        for lot in list(waiting):
+            count(lot)
+        for lot in list(held):
+            yield flush(lot)
 
     counted = docs.select("lang", "text").mapInArrow(run, "lang string, g long, c long")
     return counted.groupBy("lang", "g").agg(F.sum("c").alias("c"))
@@ -126,25 +136,25 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     logp is null where an n-gram is a context only.
 
     counts: lang, g, c of the highest order. Lower orders have continuation counts: of distinct one character
-    longer n-grams that end so.
+    longer n-grams that end so and were learnt. An n-gram of count 0 gets what its shorter one gives it.
     """
     levels = [counts]
     for n in range(ORDER - 1, 0, -1):
         shorter = F.col("g").bitwiseAND(F.lit((1 << 16 * n) - 1))
-        levels.append(stored(levels[-1].groupBy("lang", shorter.alias("g")).agg(F.count("*").alias("c"))))
+        levels.append(stored(levels[-1].groupBy("lang", shorter.alias("g")).agg(F.count_if(F.col("c") > 0).alias("c"))))
     known: DataFrame | None = None
     made = []
     for n, level in enumerate(reversed(levels), 1):
         cut = small(_discounts(level))
         rows = level.join(cut, level["lang"].eqNullSafe(cut["_l"])).drop("_l")
         rows = rows.withColumn("ctx", F.shiftrightunsigned("g", 16))
-        taken = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        context = stored(rows.groupBy("lang", "ctx").agg(
-            F.sum("c").alias("total"),
-            ((F.first("d1") * F.count_if(F.col("c") == 1) + F.first("d2") * F.count_if(F.col("c") == 2) + F.first("d3") * F.count_if(F.col("c") > 2)) / F.sum("c")).alias("gamma"),
-        ).withColumnsRenamed({"lang": "_l", "ctx": "_x"}))
+        taken = F.when(F.col("c") == 0, F.lit(0.0)).when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+        total = F.sum("c")
+        left = F.first("d1") * F.count_if(F.col("c") == 1) + F.first("d2") * F.count_if(F.col("c") == 2) + F.first("d3") * F.count_if(F.col("c") > 2)
+        weights = rows.groupBy("lang", "ctx").agg(total.alias("total"), F.coalesce(F.try_divide(left, total), F.lit(1.0)).alias("gamma"))
+        context = stored(weights.withColumnsRenamed({"lang": "_l", "ctx": "_x"}))
         rows = rows.join(context, rows["lang"].eqNullSafe(context["_l"]) & (rows["ctx"] == context["_x"]))
-        own = (F.col("c") - taken) / F.col("total")
+        own = F.when(F.col("c") > 0, (F.col("c") - taken) / F.col("total")).otherwise(F.lit(0.0))
         if known is None:
             kinds = small(level.groupBy("lang").agg(F.count("*").alias("kinds")).withColumnRenamed("lang", "_v"))
             rows = rows.join(kinds, rows["lang"].eqNullSafe(kinds["_v"]))
@@ -185,7 +195,7 @@ class Model:
             self.arrays[lang] = np.concatenate([run[1] for run in found]), np.concatenate([run[2] for run in found])
 
     def sums(self, lang: str | None, texts: list[str]) -> tuple[list[int], list[int]]:
-        """Of each text, whose n-grams the model has counted: its log probability and number of n-grams."""
+        """Of each text, whose n-grams the model has listed: its log probability and number of n-grams."""
         keys, lp = self.arrays[lang]
         total, n = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         for grams, text in _pieces(texts):
@@ -224,8 +234,7 @@ def base_counts(text: str) -> tuple[list[bytes], list]:
             dup += line in seen
             seen.add(line)
     n, repeat = len(words), repeated_words(words)
-    symbols = len(raw) - len(raw.translate(None, SYMBOLS))
-    return words, [n, len(text) - spaces, symbols, dup, repeat, n < 50 or 100 * repeat > 50 * n]
+    return words, [n, len(text) - spaces, symbols(raw), dup, repeat, n < 50 or 100 * repeat > 50 * n]
 
 
 def scored(docs: DataFrame, model) -> DataFrame:

@@ -34,17 +34,22 @@ def text_of(text):
     return " ".join((text or "").split())
 
 
+def learnt(text):
+    return sum(text.count(s) for s in "#*$%&|<>") * 10 <= len(text.split())
+
+
 def model_of(texts):
     """(context, character) -> probability in the highest order, by the definition of modified Kneser-Ney."""
     grams = Counter()
     for t in texts:
         padded = "\x02" * 3 + t + "\x03"
-        grams.update(padded[k - 3 : k + 1] for k in range(3, len(padded)))
+        each = [padded[k - 3 : k + 1] for k in range(3, len(padded))]
+        grams.update(each if learnt(t) else dict.fromkeys(each, 0))
     levels = [grams]
     for n in (3, 2, 1):
         ends = Counter()
         for g in levels[-1]:
-            ends[g[1:]] += 1
+            ends[g[1:]] += levels[-1][g] > 0
         levels.append(ends)
     p = None
     for level in reversed(levels):
@@ -55,15 +60,14 @@ def model_of(texts):
             raw = k - (k + 1) * y * of[k + 1] / of[k] if of[k] else 0.5 * k
             return min(max(raw, 0.05 * k), 0.95 * k)
 
-        cuts = [cut(1), cut(2), cut(3)]
+        cuts = [0, cut(1), cut(2), cut(3)]
         total, taken = defaultdict(int), defaultdict(float)
         for g, c in level.items():
             total[g[:-1]] += c
-            taken[g[:-1]] += cuts[min(c, 3) - 1]
-        p = {
-            g: (c - cuts[min(c, 3) - 1]) / total[g[:-1]] + taken[g[:-1]] / total[g[:-1]] * (p[g[1:]] if p else 1 / len(level))
-            for g, c in level.items()
-        }
+            taken[g[:-1]] += cuts[min(c, 3)]
+        back = {x: taken[x] / total[x] if total[x] else 1 for x in total}
+        own = {g: (c - cuts[min(c, 3)]) / total[g[:-1]] if c else 0 for g, c in level.items()}
+        p = {g: own[g] + back[g[:-1]] * (p[g[1:]] if p else 1 / len(level)) for g in level}
     return p
 
 
@@ -145,3 +149,14 @@ def test_words_in_another_order_score_worse(spark):
     rows = [(i, prose + f" {i}", "en") for i in range(40)] + [(99, " ".join(salad), "en")]
     got = {r["doc_id"]: r["logppl"] for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert got[99] > max(v for k, v in got.items() if k != 99)
+
+
+def test_symbols_in_many_texts_do_not_explain_themselves(spark):
+    rng = random.Random(2)
+    words = "a stone lies by the river and the water runs past it to the sea where ships wait for wind".split()
+    prose = [(i, " ".join(rng.choice(words) for _ in range(200)), "en") for i in range(40)]
+    noise = [(100 + i, " ".join(rng.choice(words) + rng.choice(["***", "%%%", " |"]) for _ in range(200)), "en") for i in range(8)]
+    alone = [(200 + i, t, "xx") for i, (_, t, _) in enumerate(noise[:2])]
+    got = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame(prose + noise + alone, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i]["kept"] for i, _, _ in prose) and not any(got[i]["kept"] for i, _, _ in noise)
+    assert all(got[i]["logppl"] > 0 for i, _, _ in alone)
