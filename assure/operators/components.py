@@ -11,21 +11,20 @@ from assure.sources.shared import checkpoint_dir
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """node, component (the smallest node reachable) from edges (node BIGINT, value): equal values join nodes.
 
-    A null value joins nothing. Each round is a minimum by value and one by node, both combined before the
+    A null value joins nothing, and nodes without a value stay out of the rounds. Each round is a minimum by value and one by node, both combined before the
     shuffle; chains longer than `rounds` are an error, never a silent stop.
     """
     checkpoint_dir(edges.sparkSession)
     known = edges.where(F.col("value").isNotNull()).select("node", "value").distinct().checkpoint()
-    label = edges.select("node").distinct().withColumn("component", F.col("node")).checkpoint()
+    alone = edges.groupBy("node").agg(F.count("value").alias("n")).where("n = 0").select("node", F.col("node").alias("component"))
+    label = known.select("node").distinct().withColumn("component", F.col("node")).checkpoint()
     for _ in range(rounds):
         low = known.join(label, "node").groupBy("value").agg(F.min("component").alias("low"))
         near = known.join(low, "value").groupBy("node").agg(F.min("low").alias("low"))
-        new = label.join(near, "node", "left").select(
-            "node", F.col("component").alias("was"), F.least("component", F.coalesce("low", "component")).alias("component")
-        )
+        new = label.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "low").alias("component"))
         jump = new.select(F.col("node").alias("component"), F.col("component").alias("next"))
         new = new.join(jump, "component").select("node", "was", F.least("component", "next").alias("component")).checkpoint()
         label = new.select("node", "component")
         if new.where("was <> component").isEmpty():
-            return label
+            return label.unionByName(alone)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

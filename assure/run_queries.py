@@ -12,7 +12,7 @@ from assure import oracles as O
 from assure.functions import dates, money
 from assure.functions.text import record_key
 from assure.operators import checks, constraints, linking, resolutions
-from assure.plans import report
+from assure.plans import report, versions
 from assure.queries import Run, long, query
 from assure.sources.readers import numbered
 from assure.sources.shared import checkpoint_dir, written
@@ -378,3 +378,14 @@ def determinism_score(r: Run) -> DataFrame:
 
     runs = [_stored(Run(r.spark, r.sf_dir)) for _ in range(2)]
     return score.determinism(stored.observed(runs), runs[0].table("exception").count())
+
+
+@query(f"""{O.QUEUE} SELECT CAST(CASE WHEN origin = 'FINDING' THEN 1 ELSE 2 END AS BIGINT) AS version, COUNT(*) AS n, CAST(SUM(amount) AS BIGINT) AS paise, TRUE AS intact FROM queue GROUP BY ALL""")
+def append_only_versions(r: Run) -> DataFrame:
+    """The queue as an append-only table: its findings, then all of it, of which the findings are there already."""
+    path = f"{checkpoint_dir(r.spark)}/versions-{uuid.uuid4().hex}"
+    rows = r.queue.select("rank", "origin", "key", "amount")
+    for part in (rows.where("origin = 'FINDING'"), rows):
+        versions.append(r.spark, path, part, "rank")
+    sums = versions.table(r.spark, path).groupBy("version").agg(F.count("*").alias("n"), money.sum_paise("amount").alias("paise"))
+    return sums.join(versions.intact(r.spark, path), "version").select(*long("version", "n", "paise"), "intact")

@@ -10,7 +10,7 @@ FAST = [k for k in catalogue.SQL if k.startswith(("f_", "ingest_", "rate_", "clo
     "match_p0_components", "match_p1_exact", "match_p3_band", "match_residual", "units_completeness", "findings_all", "exception_queue", "metrics_all", "constraint_violations",
     "match_p0_edges", "match_p0_routing", "match_ids", "finding_ids", "finding_trace_steps", "contested_key", "constraint_catalogue", "escalation_grounds", "resolution_invariants",
     "resolution_hashes", "score_fabrication", "truth_closure", "exceptions_by_record", "report_exceptions", "variance_bars", "refund_rollup", "run_tables_counts", "batch_budget_cutoff",
-    "investigation_rounds", "investigation_calls", "stored_run_metrics",
+    "append_only_versions", "investigation_rounds", "investigation_calls", "stored_run_metrics",
 ]
 
 
