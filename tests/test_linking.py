@@ -187,6 +187,26 @@ def test_components_follow_chains(spark):
         components(spark.createDataFrame(edges, "node long, value string"), rounds=1)
 
 
+def test_components_without_shared_nodes_need_no_round(spark):
+    rows = [(i, f"v{i}") for i in range(5)] + [(100 + i, f"v{i}") for i in range(5)] + [(3, "v3"), (50, None), (4, None)]
+    got = dict(components(spark.createDataFrame(rows, "node long, value string"), rounds=0).collect())
+    assert got == {**{i: i for i in range(5)}, **{100 + i: i for i in range(5)}, 50: 50}
+
+
+def test_components_equal_a_plain_search(spark):
+    rows = [(n, None if (n * 7 + v) % 5 == 0 else f"v{(n * n + 13 * v) % 60}") for n in range(90) for v in range(1 + n % 3)]
+    of = {n: n for n, _ in rows}
+    for _ in rows:
+        for a, x in rows:
+            for b, y in rows:
+                if x is not None and x == y and of[a] != of[b]:
+                    of[a] = of[b] = min(of[a], of[b])
+        if all(of[a] == of[b] for a, x in rows for b, y in rows if x is not None and x == y):
+            break
+    got = components(spark.createDataFrame(rows, "node long, value string")).collect()
+    assert len(got) == len(of) and dict(got) == of
+
+
 def test_contested_key(spark):
     df = spark.createDataFrame([([["b2", "o1"], ["b1", "o1"]],), ([["b9", "o1"]],)], "c array<array<string>>")
     assert [r[0] for r in df.select(linking.contested(F.col("c"))).collect()] == ["b1", "b9"]
