@@ -35,3 +35,16 @@ def test_a_lost_run_goes_on(spark, sf, tmp_path):
     assert all(d["rows"] for t, d in manifest["digests"].items() if t not in ("quarantine",))
     with pytest.raises(ingest.InputsChanged):
         ingest.commit_from_files(spark, files, run, label="IN_SAMPLE")
+
+
+def test_tied_credits_go_by_their_references(spark, tmp_path):
+    """The first of tied credits is that of the least reference as text, though its line comes later."""
+    from assure.operators.linking import Linked
+
+    bank = spark.createDataFrame([(1, 100, "bank_99999"), (2, 200, "bank_100000"), (3, 300, "bank_7")], "bank_id long, amount long, bank_ref string")
+    run = ingest.FileRun(spark, f"file://{tmp_path}/none", f"file://{tmp_path}/run")
+    run.t = lambda name: {"bank": bank}[name]
+    tied = spark.createDataFrame([("P3", 5, 1), ("P3", 5, 2), ("P3", 6, 1), ("P3", 6, 3)], "pass string, pending_id long, bank_id long")
+    run.linked = Linked(None, tied, bank.select("bank_id").limit(0))
+    run.findings = spark.createDataFrame([], "k long, defect string, amount long")
+    assert [(r["key"], r["amount"]) for r in run.queue.orderBy("rank").collect()] == [("bank_00003", 300), ("bank_00002", 200)]
