@@ -1,5 +1,6 @@
 """What one task holds doesn't grow with the tables: more of them make more tasks."""
 
+import datetime as dt
 import os
 
 from assure.operators import linking
@@ -40,3 +41,22 @@ def test_pairs_are_made_once(spark, tmp_path):
     got = [sorted(map(tuple, df.collect())) for df in (a.claimed, a.tied, a.pending, a.banks)]
     assert got == [[(1, 10)], [(2, 20), (2, 21)], [(3,)], [(30,)]]
     assert made.value == 3
+
+
+def test_alike_chains_and_credits_are_met_once(spark, monkeypatch):
+    """n chains and m credits of one amount and day are one pair of values in every pass; claims, ties and leftovers are those of the pairs."""
+    day = dt.date(2026, 7, 1)
+    chains = [(i, 50_000, i, day) for i in range(30)] + [(100, 70_000, 100, day), (101, 90_000, 101, day)] + [(200 + i, 40_000_000, 200 + i, day) for i in range(30)]
+    credits = [(i, 50_000, day) for i in range(1000, 1040)] + [(1100, 70_000, day), (1101, 90_010, day), (1102, 5, day)] + [(1200 + i, 40_000_100, day) for i in range(40)]
+    p = spark.createDataFrame(chains, "pending_id long, target_paise long, settlement_id long, settled date")
+    b = spark.createDataFrame(credits, "bank_id long, amount long, credited date")
+    sizes, write = [], linking.written
+    monkeypatch.setattr(linking, "written", lambda df: (made := write(df), sizes.append(made.count()))[0])
+    got = linking.link(p, b)
+    claims = {tuple(r) for r in got.groups.where("bank_id IS NOT NULL").select("pending_id", "pass", "bank_id").collect()}
+    first = {(r["pass"], r["pending_id"]): r["first"]["key"] for r in got.torn.collect()}
+    assert max(sizes) < 10
+    assert claims == {(100, "P1", 1100), (101, "P3", 1101)}
+    assert first == {("P1", i): "bank_01000" for i in range(30)} | {("P3", 200 + i): "bank_01200" for i in range(30)}
+    assert {tuple(r) for r in got.ambiguous.select("pass", "pending_id", "bank_id").collect()} == {("P1", c, k) for c in range(30) for k in range(1000, 1040)} | {("P3", 200 + c, 1200 + k) for c in range(30) for k in range(40)}
+    assert {r["bank_id"] for r in got.unmatched_banks.collect()} == {k for k, *_ in credits} - {1100, 1101}
