@@ -155,3 +155,13 @@ def test_nothing_open(spark):
 
 def test_prompt_hash():
     assert replay.prompt_hash({"b": "2", "a": "1"}) == replay.prompt_hash({"a": "1", "b": "2"}) != replay.prompt_hash({"a": "12", "b": ""})
+
+
+def test_lookups_read_rows_of_their_kind_only(spark, monkeypatch):
+    made, write = [], tools.written
+    monkeypatch.setattr(tools, "written", lambda df: made.append({r["tool"] for r in df.select("tool").distinct().collect()}) or write(df))
+    evidence = tools.Evidence(Small(spark))
+    calls = spark.createDataFrame([(1, 1, 1, "fetch_payment", {"payment_id": "pay_00001"}), (1, 1, 2, "no_such_tool", {})], "rank long, turn int, pos int, tool string, args map<string,string>")
+    answered = evidence.answers(calls)
+    evidence.gathered(answered, "rank").collect()
+    assert made == [{"fetch_payment"}]
