@@ -4,6 +4,7 @@ import datetime as dt
 import os
 
 from assure.operators import linking
+from assure.queries import QUERIES
 from assure.sources import shared
 
 
@@ -60,3 +61,9 @@ def test_alike_chains_and_credits_are_met_once(spark, monkeypatch):
     assert first == {("P1", i): "bank_01000" for i in range(30)} | {("P3", 200 + i): "bank_01200" for i in range(30)}
     assert {tuple(r) for r in got.ambiguous.select("pass", "pending_id", "bank_id").collect()} == {("P1", c, k) for c in range(30) for k in range(1000, 1040)} | {("P3", 200 + c, 1200 + k) for c in range(30) for k in range(40)}
     assert {r["bank_id"] for r in got.unmatched_banks.collect()} == {k for k, *_ in credits} - {1100, 1101}
+
+
+def test_values_are_parsed_once(spark, sf):
+    """The detail of a quarantined row and its columns read one parse of each value, in one pass over the rows."""
+    plan = QUERIES["ingest_quarantine_split"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and plan.count("gettimestamp(") == 1
