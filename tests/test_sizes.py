@@ -4,6 +4,7 @@ import datetime as dt
 import os
 
 from assure.operators import linking
+from assure.plans.projection import Records
 from assure.queries import QUERIES
 from assure.sources import shared
 
@@ -67,3 +68,23 @@ def test_values_are_parsed_once(spark, sf):
     """The detail of a quarantined row and its columns read one parse of each value, in one pass over the rows."""
     plan = QUERIES["ingest_quarantine_split"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") == 1 and plan.count("gettimestamp(") == 1
+
+
+def test_findings_are_evaluated_once(spark, sf):
+    """Readers of the findings read what is written down: no check is evaluated again."""
+    plan = QUERIES["findings_all"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "gross" not in plan
+
+
+def test_lines_are_summed_once(spark, sf):
+    """The pairs of sellers and categories are read off the written intent, not off lines summed and joined again."""
+    plan = Records(spark, sf).table("rate_card")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan
+
+
+def test_members_are_shuffled_once(spark):
+    rows = [(1, 4, "intent", None, None, None, None), (1, 5, "razorpay", None, None, None, None), (1, 6, "razorpay", 900, 100, 1, None), (2, 8, "intent", None, None, None, None)]
+    rows += [(3, 12, "razorpay", 50, 0, 3, None), (3, 15, "bank", None, None, None, None), (4, 16, "intent", None, None, None, None), (4, 17, "razorpay", None, None, None, None)]
+    made = linking.route(spark.createDataFrame(rows, "component long, ord long, side string, credit long, debit long, settlement_id long, settled date"))
+    assert {(r["component"], r["kind"], r["target_paise"]) for r in made.collect()} == {(1, "pending", 800), (2, "remaining", 0), (3, "group", 50), (4, "group", 0)}
+    assert made._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") == 2  # before and after one shuffle
