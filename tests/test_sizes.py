@@ -3,6 +3,8 @@
 import datetime as dt
 import os
 
+from pyspark.sql import functions as F
+
 from assure.operators import linking
 from assure.plans.projection import Records
 from assure.queries import QUERIES
@@ -28,6 +30,17 @@ def test_tasks_follow_the_size_of_the_tables(spark, tmp_path, monkeypatch):
             spark.conf.unset(n) if v is None else spark.conf.set(n, v)
 
 
+def test_many_rows_in_small_files_are_not_sent_whole(spark, tmp_path):
+    """Written tables are taken to be as large as their compressed files; joins with them hold no more in the driver as they grow."""
+    (tmp_path / "small").write_bytes(b"x")
+    shared.small_tasks(spark, [f"file://{tmp_path}/small"])
+    groups = shared.written(spark.range(3_000_000).selectExpr("id AS component", "CONCAT('match_', LPAD(id, 7, '0')) AS match_id"), f"file://{tmp_path}/groups")
+    assert sum(f.stat().st_size for f in (tmp_path / "groups").iterdir()) < 10 << 20  # Spark's limit, for 100 MB of rows
+    members = groups.select((F.col("component") * 7).alias("component")).join(groups, "component")
+    assert "Broadcast" not in members._jdf.queryExecution().sparkPlan().toString()
+    assert spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == str(shared.SENT_ROWS)
+
+
 def test_pairs_are_made_once(spark, tmp_path):
     """Claims, ties and leftovers of a pass read its pairs, and don't make them again."""
     pairs = spark.createDataFrame([(1, 10), (2, 20), (2, 21)], "pending_id long, bank_id long")
