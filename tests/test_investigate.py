@@ -165,3 +165,20 @@ def test_lookups_read_rows_of_their_kind_only(spark, monkeypatch):
     answered = evidence.answers(calls)
     evidence.gathered(answered, "rank").collect()
     assert made == [{"fetch_payment"}]
+
+
+def test_the_script_is_made_once(spark):
+    """Each round reads the answers that were written, whatever it took to make them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    table = spark.createDataFrame([("a", 1), ("b", 1), ("a", 2)], "key string, turn int").mapInArrow(counted, "key string, turn int")
+    client = replay.scripted(table.select("key", "turn", F.from_json(F.concat(F.lit('{"text": "'), "key", F.lit('"}')), replay.RESPONSE).alias("response")))
+    for turn, keys in ((1, {"a", "b"}), (2, {"a"})):
+        asked = spark.createDataFrame([(k, turn) for k in ("a", "b")], "key string, turn int")
+        assert {r["key"]: r["response"]["text"] for r in client(asked).where("response IS NOT NULL").collect()} == {k: k for k in keys}
+    assert made.value == 3
