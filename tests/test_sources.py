@@ -46,6 +46,28 @@ def test_provenance(spark, tmp_path):
     assert (r["sha256"], r["bytes"], r["extension"]) == (hashlib.sha256(b"x\n").hexdigest(), 2, "csv")
 
 
+def test_files_are_digested_in_order_and_never_as_one_value(spark, tmp_path):
+    import hashlib
+
+    texts = {
+        "a.csv": b"x", "c.csv": b"a\r\nb\n\n\nc\r\n", "d.csv": b"\xef\xbb\xbfa,b\n1,2", "e.csv": b"\xff\xfe\x00bad\n\xc3" * 5, "f.csv": b"\n", "g.csv": b"".join(b"%d,abc\n" % i for i in range(50_000)),
+        "h.json": b'{"a": [{"x": 1}, {"y": "}"}]}\n', "i.json": b'{"a": 1}', "j.json": b"\xef\xbb\xbf" + b'{"a": 1},' * 20_000,
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text)
+    most = "spark.sql.sources.binaryFile.maxLength"  # by default what one value may hold: no file is read as such
+    before = spark.conf.get(most)
+    spark.conf.set(most, 10)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = readers.provenance(spark, [f"file://{tmp_path}/{name}" for name in texts]).collect()
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "8k"
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.set(most, before)
+    assert {r["path"].split("/")[-1]: (r["sha256"], r["bytes"]) for r in rows} == {name: (hashlib.sha256(text).hexdigest(), len(text)) for name, text in texts.items()}
+
+
 def test_sellers_of_one_name(spark):
     sellers = spark.createDataFrame([("s1", "A"), ("s2", "A"), ("s3", "B")], "seller_id string, seller_name string")
     rows = spark.createDataFrame([("A",), ("B",), ("C",)], "seller_name string")
